@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridix.llm import bpe, langid, mixing, secrets, sharding
+from meridix.llm import bpe, langid, mixing, neardup, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op5_jump_shards, op7_secret_scan, op8_language_id, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_mix_sources, op5_jump_shards, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
