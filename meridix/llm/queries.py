@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridix.llm import bpe, langid, mixing, neardup, secrets, sharding
+from meridix.llm import additive, bitsliced, bpe, langid, mixing, neardup, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).taken()
 
 
+def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return bitsliced.top_products(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return additive.nearest(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op5_jump_shards, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
