@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridix.llm import additive, bitsliced, bpe, langid, mixing, neardup, secrets, sharding
+from meridix.llm import additive, bitsliced, bpe, langid, mixing, neardup, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
