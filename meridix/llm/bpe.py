@@ -1,33 +1,30 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through tables of distinct words.
 
-Texts are split into words by the tokenizer file's own normaliser and pattern; each distinct word is encoded once, in
-Spark, and decoded through a join of its ids with the vocabulary's pieces. Ids go back to their places by two joins on
-position: the ``HOT`` most frequent words by a broadcast table of bounded size, all others by a shuffled join on the word.
-A text travels as the ranks of its hot words, one to four bytes each, with holes that the shuffled join fills.
+Texts are split into words by the tokenizer file's own normaliser and pattern. Each task keeps a table of the distinct
+words it has met: a word is encoded once, its ids are joined with the vocabulary's pieces once, and both go back to their
+places in every text by position. A table of all words of the corpus, joined by shuffles, gave the same results at several
+times the cost (figures in the README).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import sys
 import unicodedata
-from collections import Counter
 
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridix.llm.common import materialize
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words of the broadcast table and the most UTF-8 bytes of one: together they bound it. Words counted before a partial flush.
-HOT, HOT_BYTES, FLUSH = 300_000, 48, 400_000
-#: A hole in a ranked text (a word that isn't hot), and the first rank.
-HOLE = 0
+#: Words that a task's table holds at most, and words of the texts that are coded together.
+MOST, STEP = 300_000, 200_000
+# The white space of the file's patterns.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -58,145 +55,70 @@ class Splitter:
         return [w for part in self.special.split(text) for w in ([part] if part in self.specials else self._plain(part))]
 
 
-def _pieces(spark: SparkSession, spec: dict) -> DataFrame:
-    """id, piece: the vocabulary with its added tokens; its size is the file's."""
-    rows = [(i, p) for p, i in spec["model"]["vocab"].items()] + [(t["id"], t["content"]) for t in spec["added_tokens"]]
-    return spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": [r[1] for r in rows]}).to_pandas(), "id int, piece string")
-
-
-def word_table(docs: DataFrame, spec_text: str) -> DataFrame:
-    """Distinct words of all texts: word, n (occurrences), ids (as text, joined by spaces), n_ids, pieces (joined by spaces)."""
-    spark = docs.sparkSession
-    spec = json.loads(spec_text)
-    sent = spark.sparkContext.broadcast(spec_text)
+class WordTable:
+    """The distinct words of a task: ids (as text, joined by spaces), their number, and pieces (joined by spaces), each word encoded once.
 
-    def count(batches):
-        split, seen = Splitter(json.loads(sent.value)), Counter()
+    Decoding joins ids with the vocabulary's pieces when a word enters. Beyond ``MOST`` words the table starts anew, so its memory is bounded."""
 
-        def out():
-            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return got
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(split(text))
-                if len(seen) >= FLUSH:
-                    yield out()
-        yield out()
-
-    def encode(batches):
+    def __init__(self, spec_text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_str(sent.value)
-        coder.no_truncation()
-        coder.no_padding()
-        for words in batches:
-            yield pa.array([e.ids for e in coder.encode_batch(words.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
-
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = words.withColumn("ids", F.arrow_udf(encode, "array<int>", F.ArrowUDFType.SCALAR_ITER)("word")) if hasattr(F, "ArrowUDFType") else _encoded(words, sent)
-    spread = coded.select("word", "n", F.posexplode("ids").alias("at", "id")).join(F.broadcast(_pieces(spark, spec)), "id")
-    whole = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
-    table = spread.groupBy("word", "n").agg(whole.alias("ids"))
-    return table.select("word", "n", F.array_join(F.transform("ids", lambda x: x["id"].cast("string")), " ").alias("ids"), F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x["piece"]), " ").alias("pieces"))
-
-
-def _encoded(words: DataFrame, sent) -> DataFrame:
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_str(sent.value)
-        coder.no_truncation()
-        coder.no_padding()
-        for part in parts:
-            yield pd.Series([e.ids for e in coder.encode_batch(part.tolist(), add_special_tokens=False)])
-
-    return words.withColumn("ids", encode("word"))
+        spec = json.loads(spec_text)
+        self.split = Splitter(spec)
+        self.coder = Tokenizer.from_str(spec_text)
+        self.coder.no_truncation()
+        self.coder.no_padding()
+        self.piece = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.ids: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
+        self.n: dict[str, int] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Make sure that the words are in the table."""
+        fresh = list(set(words).difference(self.ids))
+        if len(self.ids) + len(fresh) > MOST:
+            for table in (self.ids, self.pieces, self.n):
+                table.clear()
+            fresh = list(set(words))
+        for word, coded in zip(fresh, self.coder.encode_batch(fresh, add_special_tokens=False), strict=True):
+            self.ids[word] = " ".join(map(str, coded.ids))
+            self.pieces[word] = " ".join([self.piece[i] for i in coded.ids])
+            self.n[word] = len(coded.ids)
+
+    def code(self, words: list[str]) -> tuple[int, str, str]:
+        """(number of ids, ids, decoded text) of a text's words, in their places."""
+        return sum(map(self.n.__getitem__, words)), " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.pieces.__getitem__, words))
 
 
 def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ids (text, joined by spaces) and decoded.
 
     Whole texts are encoded without added special tokens, truncation or padding; special tokens that stand in a text keep
-    their ids. The file has no decoder, so decoding joins the pieces by spaces. Null and empty texts have no ids. Equal
-    texts of a partition are encoded once; null ids and equal rows stay as they are; other columns are ignored."""
-    spark = docs.sparkSession
+    their ids. The file has no decoder, so decoding joins the pieces by spaces. Null and empty texts have no ids. Null ids
+    and equal rows stay as they are; an empty table gives no rows; other columns are ignored."""
     with open(path, encoding="utf-8") as file:
-        spec_text = file.read()
-    sent = spark.sparkContext.broadcast(spec_text)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(word_table(docs, spec_text), "bpe-words")
-    top = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids", "n_ids", "pieces").toArrow()
-    hot = spark.sparkContext.broadcast(tuple(top.column(c).to_pylist() for c in range(4)))
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).select("key", "doc_id", "text")
-
-    def ranks():
-        skip = 0xD800  # ranks become code points, so that frequent words take one byte
-        return {w: chr(k + 1 if k + 1 < skip else k + 1 + 0x800) for k, w in enumerate(hot.value[0])}
-
-    def rare(batches):
-        split, known, done = Splitter(json.loads(sent.value)), frozenset(hot.value[0]), set()
-        for batch in batches:
-            keys, at, words = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if key in done:
-                    continue
-                if len(done) < FLUSH:
-                    done.add(key)
-                n = 0
-                for word in split(text):
-                    if word not in known:
-                        keys.append(key)
-                        at.append(n)
-                        words.append(word)
-                        n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["key", "at", "word"])
-
-    def ranked(batches):
-        split, rank = Splitter(json.loads(sent.value)), ranks()
-        hole = chr(HOLE)
-        for batch in batches:
-            held: dict[bytes, tuple[list, bytes]] = {}
-            for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
-                if key in held:
-                    held[key][0].append(doc_id)
-                else:
-                    held[key] = ([doc_id], "".join([rank.get(w, hole) for w in split(text)]).encode())
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([v[0] for v in held.values()], pa.list_(pa.int64())), pa.array([v[1] for v in held.values()], pa.binary())], names=["key", "docs", "ranks"])
-
-    def whole(batches):
-        _, ids, n_ids, pieces = hot.value
-        own = {chr(k + 1 if k + 1 < 0xD800 else k + 1 + 0x800): k for k in range(len(ids))}
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def code(batches):
+        table = WordTable(sent.value)
         for batch in batches:
-            rows = []
-            for members, codes, fills in zip(*(batch.column(c).to_pylist() for c in ("docs", "ranks", "fills")), strict=True):
-                fill = iter(fills or ())
-                ids_out, pieces_out, n = [], [], 0
-                for c in codes.decode():
-                    if c == "\0":
-                        f = next(fill)
-                        ids_out.append(f["ids"])
-                        pieces_out.append(f["pieces"])
-                        n += f["n_ids"]
-                    else:
-                        k = own[c]
-                        ids_out.append(ids[k])
-                        pieces_out.append(pieces[k])
-                        n += n_ids[k]
-                a, b = " ".join(ids_out), " ".join(pieces_out)
-                row = (n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), a if keep else None, b if keep else None)
-                rows += [(d, *row) for d in members]
-            types = [pa.int64(), pa.int64()] + [pa.string()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
-
-    fills = keyed.select("key", "text").mapInArrow(rare, "key binary, at int, word string").dropDuplicates(["key", "at"]).join(table.select("word", "ids", "n_ids", "pieces"), "word")
-    fills = fills.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "ids", "n_ids", "pieces"))).alias("fills"))
-    coded = keyed.mapInArrow(ranked, "key binary, docs array<long>, ranks binary")
-    out = coded.join(fills, "key", "left").select("docs", "ranks", "fills").mapInArrow(whole, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string")
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            at = 0
+            while at < len(ids):
+                part, held, size = [], [], 0
+                while at < len(ids) and size < STEP:
+                    part.append(ids[at])
+                    held.append(table.split(texts[at].as_py()))
+                    size += len(held[-1])
+                    at += 1
+                table.learn([w for words in held for w in words])
+                rows = []
+                for doc_id, words in zip(part, held, strict=True):
+                    n, a, b = table.code(words)
+                    rows.append((doc_id, n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), a if keep else None, b if keep else None))
+                types = [pa.int64(), pa.int64()] + [pa.string()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string")
     return out if keep else out.drop("ids", "decoded")
