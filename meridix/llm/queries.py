@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridix.llm import additive, bitsliced, bpe, langid, mixing, neardup, secrets, sharding, toxicity
+from meridix.llm import additive, bitsliced, bpe, html_extract, langid, mixing, neardup, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).taken()
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return bitsliced.top_products(rows, rows.where("vec_id % 100 = 0"), 10)
@@ -56,7 +60,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_text, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
