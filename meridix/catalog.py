@@ -1,4 +1,6 @@
 """All registered queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from meridix.plans import accounts, queue, records  # noqa: F401  (they register their queries)
+from meridix.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
