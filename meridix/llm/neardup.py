@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that near_duplicates doesn't keep, with its columns as they are. Equal rows become one; rows with neither id nor company stay."""
+    """``docs`` without the rows that near_duplicates doesn't keep, with its columns as they are. Equal rows become one; a row without an id goes if a row of its component has one, else it stays."""
     found = materialize(near_duplicates(docs), "dup-result")
-    gone = found.where("not kept and doc_id is not null").select("doc_id", "text_hash").distinct()
+    gone = found.where("not kept and component_id is not null").select("doc_id", "text_hash").distinct()
     again = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    left = keyed.join(small(gone.toDF("_gone", "_text"), gone.count()), (F.col("doc_id").cast("long") == F.col("_gone")) & (F.col("_hash") == F.col("_text")), "left_anti")
+    left = keyed.join(small(gone.toDF("_gone", "_text"), gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_text")), "left_anti")
     return (left if again.isEmpty() else left.dropDuplicates(["doc_id", "_hash"])).drop("_hash")
