@@ -1,9 +1,11 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full shingle sets, connected components.
 
 Equal word sequences are one class from the start. A bucket of the banding never emits all its pairs: its members are
-compared with one hub, links merge classes into components, and only members that are still outside their bucket's
-largest component are compared with its other members, ``HUBS`` a bucket and round, until no bucket holds an untested
-pair of classes from two components. So nothing is capped, and a bucket of near copies costs as many pairs as members.
+compared with one hub, and links merge classes into components. Buckets of more than ``FEW`` members that still hold
+several components mostly gather texts around a common passage; their classes are dealt anew by the rarest shingles of
+their sets, at least one of which every two sets at the threshold share. Then only members that are still outside their
+bucket's largest component are compared with its other members, ``HUBS`` a bucket, then four times as many each round, until no bucket holds an
+untested pair of classes from two components. So nothing is capped, and near copies cost as many pairs as members.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ WIDTH, PERCENT = 5, 75
 #: A pair at the threshold shares none of 36 bands of 4 ranks with probability (1 - 0.75**4) ** 36, about 1e-6.
 BANDS, ROWS = 36, 4
 HUBS = 16
+#: Members of a bucket that are compared with each other as they are.
+FEW = HUBS + 1
+#: Shingles in more classes than ``FEW`` are put last, the most frequent ``RANKED`` of them by frequency; this order,
+#: whatever it is, decides the speed and never the links.
+RANKED = 500_000
 #: Shingles that one signature batch holds at most (a longer text is a batch of its own).
 BATCH = 400_000
 
@@ -119,10 +126,14 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("class_no")).union(pairs.select("b")).distinct().join(classes.select("class_no", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text_hash"), "class_no")
-    wanted = materialize(wanted, "dup-wanted")
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class_no, text of the classes named in ``wanted``; a class may come more than once, from equal rows."""
+    wanted = materialize(wanted.distinct().join(classes.select("class_no", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text_hash"), "class_no"), "dup-wanted")
+    return _source(docs).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(small(wanted, wanted.count()), ["_id", "text_hash"]).select("class_no", "text")
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """class_no, shingles: the sorted hashes of each text's set."""
 
     def sets(batches):
         seen = set()
@@ -135,6 +146,47 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             part = batch.take(pa.array(fresh, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("class_no"), pa.array([shingle_set(normal_words(t)).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["class_no", "shingles"])
 
+    return texts.mapInArrow(sets, "class_no long, shingles binary")
+
+
+def rarest(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The part of a set, in one order for all sets, of which any other set at the threshold has an element in its own such part.
+
+    Sets at the threshold share at least PERCENT of each one's elements, so the first n - ceil(n * PERCENT / 100) + 1 suffice."""
+    n = len(shingles)
+    at = np.minimum(np.searchsorted(known, shingles), max(len(known) - 1, 0))
+    late = np.where(known[at] == shingles, rank[at], 0) if len(known) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, late))[: n + (-n * PERCENT) // 100 + 1]]
+
+
+def _by_rare_shingles(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """bucket (a shingle), class_no: each class of ``wanted`` under the rarest part of its set; shingles of one class are left out."""
+    held = materialize(_shingled(_texts(docs, classes, wanted)), "dup-rare-sets")
+
+    def counts(batches):
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.frombuffer(s.as_py(), np.uint64) for s in batch.column("shingles")] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+    often = held.select("shingles").mapInArrow(counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > FEW).orderBy(F.desc("n"), "shingle").limit(RANKED).toPandas()
+    known, rank = often["shingle"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    order = np.argsort(known)
+    ranks = docs.sparkSession.sparkContext.broadcast((known[order], rank[order]))
+
+    def parts(batches):
+        known, rank = ranks.value
+        for batch in batches:
+            chosen = [rarest(np.frombuffer(s.as_py(), np.uint64), known, rank) for s in batch.column("shingles")]
+            owner = np.repeat(batch.column("class_no").to_numpy(zero_copy_only=False), [len(c) for c in chosen])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen or [np.empty(0, np.uint64)]).view(np.int64)), pa.array(owner, pa.int64())], names=["bucket", "class_no"])
+
+    placed = held.mapInArrow(parts, "bucket long, class_no long")
+    shared = placed.groupBy("bucket").agg(F.min("class_no").alias("lo"), F.max("class_no").alias("hi")).where("lo < hi").select("bucket")
+    return placed.join(shared, "bucket").distinct()
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold."""
     def compare(batches):
         for batch in batches:
             good = []
@@ -144,12 +196,11 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                 good.append(100 * both >= PERCENT * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = _source(docs).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(small(wanted, wanted.count()), ["_id", "text_hash"])
-    held = materialize(texts.select("class_no", "text").mapInArrow(sets, "class_no long, shingles binary"), "dup-sets")
+    held = materialize(_shingled(_texts(docs, classes, pairs.select(F.col("a").alias("class_no")).union(pairs.select("b")))), "dup-sets")
     left = pairs.join(held.select(F.col("class_no").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(held.select(F.col("class_no").alias("b"), F.col("shingles").alias("right")), "b")
     found = materialize(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "dup-links")
-    discard(wanted, held)
+    discard(held)
     return found
 
 
@@ -194,20 +245,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialize(shared.where("class_no != hub").where(_similar_sizes("n", "hub_n")).select(F.col("hub").alias("a"), F.col("class_no").alias("b")).distinct(), "dup-pairs")
     links = _verified(docs, classes, pairs)
     roots = components(links)
-    larger = shared.where("members > 2").select("bucket", "class_no", "n", "hub")
+    named = shared.where("members > 2").join(roots, F.col("class_no") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "class_no"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    larger = materialize(named.join(mixed, "bucket").select("bucket", "class_no", "n", "hub", "members"), "dup-larger")
+    dense = larger.where(F.col("members") > FEW).select("class_no", "n").distinct()
+    anew = _by_rare_shingles(docs, classes, dense.select("class_no")).join(dense, "class_no")
+    larger = materialize(larger.where(F.col("members") <= FEW).select("bucket", "class_no", "n", "hub").union(anew.select("bucket", "class_no", "n", F.lit(-1).cast("long").alias("hub"))), "dup-dealt")
     done = larger.where("class_no = hub").select("bucket", "class_no")
+    hubs = HUBS
     while True:
         named = larger.join(roots, larger["class_no"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "class_no")).select("bucket", "class_no", "n", "hub", "comp")
         mixed = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "k").alias("main")).where("comps > 1")
         named = materialize(named.join(mixed, "bucket"), "dup-mixed")
         open_ = named.where("comp != main").join(done, ["bucket", "class_no"], "left_anti")
-        turn = materialize(open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= HUBS).select("bucket", F.col("class_no").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp")), "dup-turn")
+        turn = materialize(open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= hubs).select("bucket", F.col("class_no").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp")), "dup-turn")
         if turn.isEmpty():
             break
         met = named.join(turn, "bucket").where("comp != x_comp and class_no != hub").where(_similar_sizes("n", "x_n"))
         more = materialize(met.select(F.least("class_no", "x").alias("a"), F.greatest("class_no", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "dup-more")
         done = materialize(done.union(turn.select("bucket", "x")), "dup-done")
-        pairs = pairs.union(more)
+        pairs, hubs = pairs.union(more), 4 * hubs
         found = _verified(docs, classes, more)
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))

@@ -264,6 +264,30 @@ def test_near_duplicates_equal_brute_force(docs, texts, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_around_a_common_passage(spark):
+    """Dense buckets of several components: texts that share most of their words, some above and some below the threshold."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{n}" for n in range(100)]
+    texts = {k: " ".join([*(f"d{n}" for n in rng.integers(0, 10_000, int(rng.integers(8, 40)))), *passage]) for k in range(150)}
+    texts |= {150 + k: texts[k] + f" tail{k}" for k in range(30)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_components(texts)
+    assert len({c for _, c in got.values()}) > 10
+
+
+def test_rarest_parts_of_sets_at_the_threshold_meet():
+    rng = np.random.default_rng(6)
+    known = np.arange(0, 300, 2, dtype=np.uint64)
+    rank = rng.integers(1, 50, len(known))
+    for n in range(1, 60):
+        whole = np.sort(rng.choice(300, 2 * n, replace=False).astype(np.uint64))
+        share = -(-n * neardup.PERCENT // 100)
+        a, b = whole[:n], np.sort(np.concatenate([rng.choice(whole[:n], share, replace=False), whole[n : n + n - share]]))
+        if 100 * share >= neardup.PERCENT * (2 * n - share):
+            assert np.intersect1d(neardup.rarest(a, known, rank), neardup.rarest(b, known, rank)).size
+    assert len(neardup.rarest(known, np.empty(0, np.uint64), np.empty(0, np.int64))) == len(known) - 113 + 1
+
+
 def test_near_duplicates_chains_and_awkward_rows(spark, awkward):
     rng = np.random.default_rng(2)
     base = [f"w{n}" for n in rng.integers(0, 10_000, 120)]
