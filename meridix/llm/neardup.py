@@ -1,11 +1,13 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full shingle sets, connected components.
 
-Equal word sequences are one class from the start. A bucket of the banding never emits all its pairs: its members are
-compared with one hub, and links merge classes into components. Buckets of more than ``FEW`` members that still hold
-several components mostly gather texts around a common passage; their classes are dealt anew by the rarest shingles of
-their sets, at least one of which every two sets at the threshold share. Then only members that are still outside their
-bucket's largest component are compared with its other members, ``HUBS`` a bucket, then four times as many each round, until no bucket holds an
-untested pair of classes from two components. So nothing is capped, and near copies cost as many pairs as members.
+Equal word sequences are one class from the start. The members of a bucket of the banding are compared with one hub, and
+links merge classes into components. In buckets of up to ``FEW`` members that still hold several components, members of
+different ones are compared as they are. Larger ones mostly gather texts around a common passage; their classes are dealt
+anew by the rarest shingles of their sets, at least one of which every two sets at the threshold share. Of those outside
+their bucket's largest component, ``HUBS`` a bucket, then eight times as many each round, are held against the others,
+until no bucket holds an untested pair of classes from two components. A round's hubs go to all tasks as an inverted index
+if their sets are small enough, and a task counts each member's shared shingles with all hubs in one pass; else hubs and
+members are joined by bucket. So nothing is capped, and no bucket emits all its pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH, PERCENT = 5, 75
 #: A pair at the threshold shares none of 36 bands of 4 ranks with probability (1 - 0.75**4) ** 36, about 1e-6.
 BANDS, ROWS = 36, 4
-HUBS = 16
+HUBS, GROWTH = 16, 8
 #: Members of a bucket that are compared with each other as they are.
 FEW = HUBS + 1
+#: Shingles that an index of hubs holds at most (24 bytes each in every task); more hubs are joined instead.
+INDEXED = 2_000_000
+#: Links that one task joins into a forest at a time.
+FOREST = 500_000
 #: Shingles in more classes than ``FEW`` are put last, the most frequent ``RANKED`` of them by frequency; this order,
 #: whatever it is, decides the speed and never the links.
 RANKED = 500_000
@@ -159,9 +165,8 @@ def rarest(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndar
     return shingles[np.lexsort((shingles, late))[: n + (-n * PERCENT) // 100 + 1]]
 
 
-def _by_rare_shingles(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """bucket (a shingle), class_no: each class of ``wanted`` under the rarest part of its set; shingles of one class are left out."""
-    held = materialize(_shingled(_texts(docs, classes, wanted)), "dup-rare-sets")
+def _by_rare_shingles(held: DataFrame) -> DataFrame:
+    """bucket (a shingle), class_no: each class of ``held`` under the rarest part of its set; shingles of one class are left out."""
 
     def counts(batches):
         for batch in batches:
@@ -171,7 +176,7 @@ def _by_rare_shingles(docs: DataFrame, classes: DataFrame, wanted: DataFrame) ->
     often = held.select("shingles").mapInArrow(counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > FEW).orderBy(F.desc("n"), "shingle").limit(RANKED).toPandas()
     known, rank = often["shingle"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(known)
-    ranks = docs.sparkSession.sparkContext.broadcast((known[order], rank[order]))
+    ranks = held.sparkSession.sparkContext.broadcast((known[order], rank[order]))
 
     def parts(batches):
         known, rank = ranks.value
@@ -185,8 +190,8 @@ def _by_rare_shingles(docs: DataFrame, classes: DataFrame, wanted: DataFrame) ->
     return placed.join(shared, "bucket").distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets reach the threshold."""
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets, in ``held``, reach the threshold."""
     def compare(batches):
         for batch in batches:
             good = []
@@ -196,19 +201,97 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                 good.append(100 * both >= PERCENT * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = materialize(_shingled(_texts(docs, classes, pairs.select(F.col("a").alias("class_no")).union(pairs.select("b")))), "dup-sets")
     left = pairs.join(held.select(F.col("class_no").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(held.select(F.col("class_no").alias("b"), F.col("shingles").alias("right")), "b")
-    found = materialize(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "dup-links")
+    return materialize(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "dup-links")
+
+
+def _verified_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """_verified on sets that are made from the texts for these pairs alone."""
+    held = materialize(_shingled(_texts(docs, classes, pairs.select(F.col("a").alias("class_no")).union(pairs.select("b")))), "dup-sets")
+    found = _verified(pairs, held)
     discard(held)
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+class HubIndex:
+    """Shingles to hubs: for any set, the hubs at the threshold by one pass over the hubs of its shingles."""
+
+    def __init__(self, sets: list[np.ndarray], names: np.ndarray, comps: np.ndarray):
+        flat, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.hubs, self.sizes, self.names, self.comps = owner[order], np.array([len(s) for s in sets], np.int64), names, comps
+        self.known, self.starts, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def linked(self, shingles: np.ndarray, comp: int) -> np.ndarray:
+        """One hub's name for each component other than ``comp`` that has a hub at the threshold."""
+        if not len(self.known):
+            return self.names[:0]
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        at = at[self.known[at] == shingles]
+        n = self.counts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.hubs[places], minlength=len(self.sizes))
+        good = np.flatnonzero((100 * both >= PERCENT * (len(shingles) + self.sizes - both)) & (self.comps != comp))
+        return self.names[good[np.unique(self.comps[good], return_index=True)[1]]]
+
+
+def _probed(held: DataFrame, roots: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ``held`` and the few of ``hubs`` (class_no), by an index that every task gets."""
+    named = _named(held, roots)
+    chosen = named.join(F.broadcast(hubs), "class_no").select("class_no", "comp", "shingles").toPandas()
+    index = held.sparkSession.sparkContext.broadcast(HubIndex([np.frombuffer(s, np.uint64) for s in chosen["shingles"]], chosen["class_no"].to_numpy(np.int64), chosen["comp"].to_numpy(np.int64)))
+
+    def probe(batches):
+        hubs = index.value
+        for batch in batches:
+            found = [hubs.linked(np.frombuffer(s.as_py(), np.uint64), c) for s, c in zip(batch.column("shingles"), batch.column("comp").to_pylist(), strict=True)]
+            own = np.repeat(batch.column("class_no").to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())], names=["a", "b"])
+
+    return materialize(named.select("class_no", "comp", "shingles").mapInArrow(probe, "a long, b long"), "dup-links")
+
+
+def _forests(batches):
+    """Union-find over ``FOREST`` links at a time: (node, root) of every node that isn't its tree's smallest."""
+    held, size = [], 0
+
+    def forest():
+        nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+        up = list(range(len(nodes)))
+        for a, b in at.reshape(-1, 2).tolist():
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        top = np.array(up)
+        while (top[top] != top).any():
+            top = top[top]
+        low = np.flatnonzero(top != np.arange(len(top)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[low], pa.int64()), pa.array(nodes[top[low]], pa.int64())], names=["node", "root"])
+
+    for batch in batches:
+        held.append(np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]).ravel())
+        size += batch.num_rows
+        if size >= FOREST:
+            yield forest()
+            held, size = [], 0
+    if size:
+        yield forest()
+
+
+def components(edges: DataFrame, most: int = FOREST) -> DataFrame:
     """(node, root): the smallest node of the component of every node of ``edges`` (a, b) that isn't itself the smallest.
 
-    Alternating large-star and small-star steps: neighbours of a node move to its smallest neighbour until only stars remain."""
-    stars = materialize(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node > root").distinct(), "cc")
+    Every task joins its links into forests. Up to ``most`` links that are left make the last forest; more of them go through
+    alternating large-star and small-star steps: neighbours of a node move to its smallest neighbour until only stars remain."""
+    stars = materialize(edges.select("a", "b").mapInArrow(_forests, "node long, root long"), "cc")
+    rows = stars.count()
+    if rows <= most:
+        whole = materialize(stars.coalesce(1).mapInArrow(_forests, "node long, root long"), "cc") if rows else stars
+        return whole
     mark = None
     while True:
         state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
@@ -226,6 +309,43 @@ def components(edges: DataFrame) -> DataFrame:
         stars = new
 
 
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (with class_no) and comp, the class that stands for their component."""
+    return rows.join(small(roots, roots.count()), rows["class_no"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "class_no")).drop("node", "root")
+
+
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after the links ``found`` (a, b)."""
+    return roots if found.isEmpty() else components(roots.toDF("a", "b").union(found))
+
+
+def _dense_links(docs: DataFrame, classes: DataFrame, dense: DataFrame, roots: DataFrame) -> DataFrame:
+    """The components after all links between classes of ``dense`` (class_no, n)."""
+    held = materialize(_shingled(_texts(docs, classes, dense.select("class_no"))), "dup-rare-sets")
+    placed = materialize(_by_rare_shingles(held).join(dense, "class_no").select("bucket", "class_no", "n"), "dup-dealt")
+    done, hubs = None, HUBS
+    while True:
+        named = _named(placed, roots)
+        mixed = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "k").alias("main")).where("comps > 1")
+        open_ = named.join(mixed, "bucket").where("comp != main")
+        if done is not None:
+            open_ = open_.join(small(done, done.count()), "class_no", "left_anti")
+        ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= hubs)
+        turn = materialize(ranked.select("class_no", "n").distinct(), "dup-turn")
+        rows, shingles = turn.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if not rows:
+            return roots
+        if shingles <= INDEXED:
+            found = _probed(held, roots, turn.select("class_no"))
+        else:
+            x = named.join(turn.select("class_no"), "class_no", "left_semi").select("bucket", F.col("class_no").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+            met = named.join(x, "bucket").where("comp != x_comp").where(_similar_sizes("n", "x_n"))
+            found = _verified(materialize(met.select(F.least("class_no", "x").alias("a"), F.greatest("class_no", "x").alias("b")).distinct(), "dup-more"), held)
+        roots = _merged(roots, found)
+        done = turn.select("class_no") if done is None else done.union(turn.select("class_no"))
+        hubs *= GROWTH
+
+
 def _similar_sizes(a: str, b: str):
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
 
@@ -243,31 +363,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = placed.groupBy("bucket").agg(F.min("class_no").alias("hub"), F.min_by("n", "class_no").alias("hub_n"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(placed.join(hubs, "bucket").where("class_no != hub or members > 2"), "dup-buckets")
     pairs = materialize(shared.where("class_no != hub").where(_similar_sizes("n", "hub_n")).select(F.col("hub").alias("a"), F.col("class_no").alias("b")).distinct(), "dup-pairs")
-    links = _verified(docs, classes, pairs)
-    roots = components(links)
-    named = shared.where("members > 2").join(roots, F.col("class_no") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "class_no"))
+    roots = components(_verified_texts(docs, classes, pairs))
+    named = _named(shared.where("members > 2"), roots)
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    larger = materialize(named.join(mixed, "bucket").select("bucket", "class_no", "n", "hub", "members"), "dup-larger")
-    dense = larger.where(F.col("members") > FEW).select("class_no", "n").distinct()
-    anew = _by_rare_shingles(docs, classes, dense.select("class_no")).join(dense, "class_no")
-    larger = materialize(larger.where(F.col("members") <= FEW).select("bucket", "class_no", "n", "hub").union(anew.select("bucket", "class_no", "n", F.lit(-1).cast("long").alias("hub"))), "dup-dealt")
-    done = larger.where("class_no = hub").select("bucket", "class_no")
-    hubs = HUBS
-    while True:
-        named = larger.join(roots, larger["class_no"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "class_no")).select("bucket", "class_no", "n", "hub", "comp")
-        mixed = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "k").alias("main")).where("comps > 1")
-        named = materialize(named.join(mixed, "bucket"), "dup-mixed")
-        open_ = named.where("comp != main").join(done, ["bucket", "class_no"], "left_anti")
-        turn = materialize(open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= hubs).select("bucket", F.col("class_no").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp")), "dup-turn")
-        if turn.isEmpty():
-            break
-        met = named.join(turn, "bucket").where("comp != x_comp and class_no != hub").where(_similar_sizes("n", "x_n"))
-        more = materialize(met.select(F.least("class_no", "x").alias("a"), F.greatest("class_no", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "dup-more")
-        done = materialize(done.union(turn.select("bucket", "x")), "dup-done")
-        pairs, hubs = pairs.union(more), 4 * hubs
-        found = _verified(docs, classes, more)
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    larger = materialize(named.join(mixed, "bucket").select("bucket", "class_no", "n", "hub", "members", "comp"), "dup-larger")
+    few = larger.where(F.col("members") <= FEW).where("class_no != hub").select("bucket", "class_no", "n", "comp")
+    met = few.join(few.toDF("bucket", "x", "x_n", "x_comp"), "bucket").where("class_no < x and comp != x_comp").where(_similar_sizes("n", "x_n"))
+    more = materialize(met.select(F.col("class_no").alias("a"), F.col("x").alias("b")).distinct(), "dup-more")
+    if not more.isEmpty():
+        roots = _merged(roots, _verified_texts(docs, classes, more))
+    dense = materialize(larger.where(F.col("members") > FEW).select("class_no", "n").distinct(), "dup-dense")
+    if not dense.isEmpty():
+        roots = _dense_links(docs, classes, dense, roots)
     # The smallest id of each component, then one row for each document.
     least = classes.select("class_no", "key", "doc_id").join(roots, F.col("class_no") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "class_no")).select("key", "doc_id", "comp")
     tops = roots.select("root").distinct()

@@ -264,8 +264,10 @@ def test_near_duplicates_equal_brute_force(docs, texts, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
-def test_near_duplicates_around_a_common_passage(spark):
+@pytest.mark.parametrize("indexed", [neardup.INDEXED, 0])  # hubs as an index, and joined by bucket
+def test_near_duplicates_around_a_common_passage(spark, monkeypatch, indexed):
     """Dense buckets of several components: texts that share most of their words, some above and some below the threshold."""
+    monkeypatch.setattr(neardup, "INDEXED", indexed)
     rng = np.random.default_rng(5)
     passage = [f"p{n}" for n in range(100)]
     texts = {k: " ".join([*(f"d{n}" for n in rng.integers(0, 10_000, int(rng.integers(8, 40)))), *passage]) for k in range(150)}
@@ -275,6 +277,19 @@ def test_near_duplicates_around_a_common_passage(spark):
     assert len({c for _, c in got.values()}) > 10
 
 
+@pytest.mark.parametrize("most", [neardup.FOREST, 0])  # one last forest, and star steps
+def test_components_equal_union_find(spark, most):
+    rng = np.random.default_rng(9)
+    links = [(k, k + 1) for k in range(100, 160)] + [tuple(map(int, rng.integers(1000, 1300, 2))) for _ in range(150)] + [(7, 7)]
+    up = {n: n for link in links for n in link}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    found = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(5), most)
+    assert sorted(map(tuple, found.collect())) == sorted((n, r) for n, r in up.items() if n != r)
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), most).count() == 0
+
+
 def test_rarest_parts_of_sets_at_the_threshold_meet():
     rng = np.random.default_rng(6)
     known = np.arange(0, 300, 2, dtype=np.uint64)
