@@ -4,10 +4,11 @@ Equal word sequences are one class from the start. The members of a bucket of th
 links merge classes into components. In buckets of up to ``FEW`` members that still hold several components, members of
 different ones are compared as they are. Larger ones mostly gather texts around a common passage; their classes are dealt
 anew by the rarest shingles of their sets, at least one of which every two sets at the threshold share. Of those outside
-their bucket's largest component, ``HUBS`` a bucket, then eight times as many each round, are held against the others,
-until no bucket holds an untested pair of classes from two components. A round's hubs go to all tasks as an inverted index
-if their sets are small enough, and a task counts each member's shared shingles with all hubs in one pass; else hubs and
-members are joined by bucket. So nothing is capped, and no bucket emits all its pairs.
+their bucket's largest component, ``HUBS`` a bucket are held against the others, then all that are left if their sets are
+small enough for an index, or else eight times as many each round, until no bucket holds an untested pair of classes from
+two components. Such an index of a round's hubs goes to all tasks, and a task counts each member's shared shingles with all
+hubs in one pass; hubs too large for it are joined with the members by bucket. So nothing is capped, and no bucket of more
+than ``FEW`` members emits all its pairs.
 """
 
 from __future__ import annotations
@@ -319,6 +320,11 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
     return roots if found.isEmpty() else components(roots.toDF("a", "b").union(found))
 
 
+def _ranked(members: DataFrame, most: int) -> DataFrame:
+    """class_no, n of the first ``most`` members of each bucket."""
+    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= most).select("class_no", "n").distinct()
+
+
 def _dense_links(docs: DataFrame, classes: DataFrame, dense: DataFrame, roots: DataFrame) -> DataFrame:
     """The components after all links between classes of ``dense`` (class_no, n)."""
     held = materialize(_shingled(_texts(docs, classes, dense.select("class_no"))), "dup-rare-sets")
@@ -327,12 +333,17 @@ def _dense_links(docs: DataFrame, classes: DataFrame, dense: DataFrame, roots: D
     while True:
         named = _named(placed, roots)
         mixed = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "k").alias("main")).where("comps > 1")
-        open_ = named.join(mixed, "bucket").where("comp != main")
-        if done is not None:
-            open_ = open_.join(small(done, done.count()), "class_no", "left_anti")
-        ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= hubs)
-        turn = materialize(ranked.select("class_no", "n").distinct(), "dup-turn")
+        others = named.join(mixed, "bucket").where("comp != main")
+        if done is None:
+            turn = materialize(_ranked(others, hubs), "dup-turn")
+        else:
+            # Written first: else Catalyst moves the anti join below the distinct, to every row of every bucket.
+            left = materialize(others.select("class_no", "n").distinct(), "dup-left")
+            turn = materialize(left.join(small(done, done.count()), "class_no", "left_anti"), "dup-turn")
         rows, shingles = turn.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if done is not None and rows and shingles > INDEXED:
+            turn = materialize(_ranked(others.join(turn.select("class_no"), "class_no", "left_semi"), hubs), "dup-turn")
+            shingles = turn.agg(F.sum("n")).first()[0]
         if not rows:
             return roots
         if shingles <= INDEXED:
