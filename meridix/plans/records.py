@@ -89,7 +89,12 @@ def conversation_history(spark, folder):
     return c.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("history"), F.size("lines").cast("long").alias("turns"))
 
 
-REPLIES = [(r"(?im)\bunsubscribe\b|\bund\b", "unsubscribe"), (r"(?im)\bles\b", "negative"), (r"(?im)\bque\b", "not_now"), (r"(?im)\band\b", "interested"), (r"(?im)\?$", "question")]
+def _word(*words):
+    """A pattern for whole words. The ends are written out, as \\b counts accented letters as letters in some engines only."""
+    return r"(?im)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(words) + r")(?:$|[^\p{L}\p{N}_])"
+
+
+REPLIES = [(_word("unsubscribe", "und"), "unsubscribe"), (_word("les"), "negative"), (_word("que"), "not_now"), (_word("and"), "interested"), (r"(?im)\?$", "question")]
 CLASS = "CASE WHEN trim(coalesce(text, '')) = '' THEN 'unclassified' " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for p, k in REPLIES) + " ELSE 'other' END"
 ACTION = "CASE class WHEN 'unsubscribe' THEN 'suppress' WHEN 'negative' THEN 'stop' WHEN 'interested' THEN 'handoff' ELSE 'human_review' END"
 
