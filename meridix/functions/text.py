@@ -51,3 +51,9 @@ def stable_bucket(key: Column, buckets: int = 10_000) -> Column:
 def decimal(c: Column, digits: int) -> Column:
     """Rounded half up, as an exact decimal."""
     return F.round(c, digits).cast(f"decimal(18,{digits})")
+
+
+def emails(text: Column) -> Column:
+    """The e-mail addresses of a text in lower case, distinct and sorted."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))

@@ -53,3 +53,8 @@ def reply_class(text: Column, rules: list[tuple[str, str]], default: str) -> Col
 def backoff_seconds(attempt: Column, base: int = 60, cap: int = 3600, most: int = 3) -> Column:
     """Seconds until the next attempt; null when there is none."""
     return F.when(attempt >= most, F.lit(None)).otherwise(F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(cap)))).cast("long")
+
+
+def job_status(decided: Column, attempts: Column, most: int = 5) -> Column:
+    """complete, failed after ``most`` attempts, or pending."""
+    return F.when(decided, "complete").when(attempts >= most, "failed").otherwise("pending")

@@ -46,3 +46,8 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: l
     """New rows whose keys don't exist yet, the first of each key; null keys never collide."""
     known = first_wins(new.where(F.forall(F.array(*[F.col(k).cast("string") for k in keys]), lambda k: k.isNotNull())), keys, order)
     return known.join(existing.select(*keys), keys, "left_anti")
+
+
+def first_decisive(df: DataFrame, key: str, order: str, value: str, decisive: Column) -> DataFrame:
+    """Per key the first decisive value in order, or else the last one (column result)."""
+    return df.groupBy(key).agg(F.coalesce(F.min_by(value, F.when(decisive, F.col(order))), F.max_by(value, order)).alias("result"))

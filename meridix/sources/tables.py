@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,9 @@ def adapt(records: DataFrame, bindings: dict[str, str]) -> DataFrame:
     there = {source: field for source, field in bindings.items() if source in records.columns}
     pairs = F.array(*[F.struct(F.lit(field).alias("field"), F.col(source).cast("string").alias("raw")) for source, field in there.items()])
     return records.select("*", F.explode(pairs).alias("_pair")).select(*[c for c in records.columns if c not in there], "_pair.field", "_pair.raw")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one that the cluster names; below a temporary one only where none is set (local tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="meridix-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

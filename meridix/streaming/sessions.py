@@ -19,3 +19,13 @@ def idempotent(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 def session_state(events: DataFrame) -> DataFrame:
     """Per user: first arrival's time, last time seen, last event type by arrival, and events so far (batch or complete-mode stream)."""
     return events.groupBy("user_id").agg(F.min_by("ts", "event_id").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("event_type", "event_id").alias("last_type"), F.count(F.lit(1)).alias("n_events"))
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a complete-mode stream over what is there; each batch's state replaces the Parquet table that is returned."""
+    def replace(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(f"{folder}/state")
+
+    query = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(replace).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/state")
