@@ -2,8 +2,9 @@
 
 Two bigram models, of toxic and of ordinary labelled texts, share their lowest order: continuation counts pooled over both
 classes smooth what one class has rarely seen. A text's score follows from the length-normalised difference of the two
-log-likelihoods, over the whole text and over its most suspicious window, through a logistic curve fitted on texts that
-the models haven't counted. Counts are gathered in Spark; the models are hashed tables of fixed size.
+log-likelihoods, over the whole text and over its most suspicious window, through a logistic curve fitted on a bounded
+sample that the models haven't counted. All other labelled texts are counted, in Spark; every distinct word and bigram has
+its own entry. Words are broadcast; bigrams too while they are few, else they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from meridix.llm.common import GOLDEN, held_out, learning_share, materialize, mi
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Texts a class that learning reads (about; whole texts, chosen by a hash of the id), and the part of them kept for the curve.
+#: The curve learns from about CURVE_SHARE of a class, CURVE_SHARE * SAMPLE_PER_CLASS texts at most (whole texts, chosen by a hash of the id); all others are counted.
 SAMPLE_PER_CLASS, CURVE_SHARE = 6000, 0.3
-#: Sizes of the hashed tables, and words of a window.
-PAIR_BITS, WORD_BITS, WINDOW = 21, 19, 24
+#: Words of a window, and most bigrams that are broadcast (12 bytes each); more are joined.
+WINDOW, MOST_PAIRS = 24, 8_000_000
+#: Words that a task holds at once while it counts.
+AT_ONCE = 300_000
 #: Absolute discounts of words (by kinds of context, which copies don't raise) and of bigrams (by sightings, which they do): sightings up to them prove nothing and pass to the back-off. What a word's log-ratio must exceed to count as suspicious.
 DISCOUNT, PAIR_DISCOUNT, SUSPICIOUS = 2.0, 10.0, 1.0
 #: Pooled sightings count up to RARE in the shared back-off, which is for rare words; one word's log-ratio counts up to CLIP.
@@ -45,45 +48,54 @@ def pair_hash(before: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(before * GOLDEN ^ w)
 
 
-def _slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions in sorted keys; their number where a key is missing."""
+    at = np.searchsorted(keys, h)
+    return np.where(np.append(keys, np.uint64(0))[at] == h, at, len(keys)) if len(keys) else np.zeros(len(h), np.int64)
 
 
 @dataclass
 class ToxicityModel:
-    """Per class (0 ordinary, 1 toxic): discounted pair counts, context totals, back-off mass of contexts, lower-order probabilities; and the curve."""
+    """Per class (0 ordinary, 1 toxic) and word, in the order of ``words`` with an entry for unknown ones at the end: its sightings as a context, their back-off mass, its lower-order probability.
 
-    pairs: np.ndarray
+    ``pairs`` are bigrams and ``gains`` what a bigram's own counts add to its log-ratio; if they are too many, ``table`` has them (h, gain)."""
+
+    words: np.ndarray
     totals: np.ndarray
     mass: np.ndarray
     lower: np.ndarray
-    curve: np.ndarray
+    pairs: np.ndarray | None = None
+    gains: np.ndarray | None = None
+    curve: tuple = (-2.0, 0.0, 0.0, 2.0, 2.0)
 
-    def ratios(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Per word the toxic less the ordinary log-probability, clipped: by the bigram models, and by their lower order alone."""
-        w, before = words_of(text)
-        at, ctx, pair = _slot(w, WORD_BITS), _slot(before, WORD_BITS), _slot(pair_hash(before, w), PAIR_BITS)
+    def ratio(self, ctx: np.ndarray, at: np.ndarray, n: tuple) -> np.ndarray:
+        """The toxic less the ordinary log-probability of words after contexts, clipped, given the bigrams' discounted counts."""
         logs = []
         for c in (0, 1):
             total, low = self.totals[c][ctx], self.lower[c][at]
             seen = total > 0
-            full = np.where(seen, (self.pairs[c][pair] + self.mass[c][ctx] * low) / np.where(seen, total, 1), low)
-            logs.append((np.log(np.minimum(full, 1.0)), np.log(low)))
-        return tuple(np.clip(toxic - ordinary, -CLIP, CLIP) for toxic, ordinary in zip(logs[1], logs[0], strict=True))
+            logs.append(np.log(np.minimum(np.where(seen, (n[c] + self.mass[c][ctx] * low) / np.where(seen, total, 1), low), 1.0)))
+        return np.clip(logs[1] - logs[0], -CLIP, CLIP)
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(features(self.ratios(text)) @ self.curve, -60, 60))))
+    def ratios(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word the log-ratio by the bigram models (without the gains that aren't broadcast) and by their lower order alone; and the bigrams."""
+        w, before = words_of(text)
+        at, h = _find(self.words, w), pair_hash(before, w)
+        ctx = np.concatenate((_find(self.words, before[:1]), at[:-1]))
+        full = self.ratio(ctx, at, (0.0, 0.0))
+        if self.pairs is not None and len(self.pairs):
+            full = full + np.append(self.gains, 0.0)[_find(self.pairs, h)]
+        return full, np.clip(np.log(self.lower[1][at]) - np.log(self.lower[0][at]), -CLIP, CLIP), h
 
 
-def features(ratios: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A constant, the mean bigram ratio of the text, then by the lower order, whose counts of contexts copies don't raise: the mean, the largest mean over WINDOW words, and the mean excess over SUSPICIOUS. A text shorter than a window counts as padded to one."""
-    full, low = ratios
+def features(full: np.ndarray, low: np.ndarray) -> tuple[float, float, float, float]:
+    """The mean bigram ratio of the text, then by the lower order, whose counts of contexts copies don't raise: the mean, the largest mean over WINDOW words, and the mean excess over SUSPICIOUS. A text shorter than a window counts as padded to one."""
     n = len(low)
     if not n:
-        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+        return 0.0, 0.0, 0.0, 0.0
     sums = np.concatenate(([0.0], np.cumsum(low)))
     window = (sums[WINDOW:] - sums[:-WINDOW]).max() if n >= WINDOW else sums[-1]
-    return np.array([1.0, full.sum() / max(n, WINDOW), sums[-1] / max(n, WINDOW), window / WINDOW, np.maximum(low - SUSPICIOUS, 0).sum() / max(n, WINDOW) * 10])
+    return full.sum() / max(n, WINDOW), sums[-1] / max(n, WINDOW), window / WINDOW, np.maximum(low - SUSPICIOUS, 0).sum() / max(n, WINDOW) * 10
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -105,90 +117,151 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(small(marks, labels.count()), "doc_id")
 
 
-def _count_pairs(sample: DataFrame) -> DataFrame:
-    """toxic, v, w, n: how often each bigram stands in the texts of each class."""
+def _count_pairs(rows: DataFrame) -> DataFrame:
+    """v, w, n0, n1: how often each bigram stands in the texts of each class."""
+
+    def counted(label, got):
+        w, v = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        _, at, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
+        n0, n1 = (pa.array(n.astype(np.int64) * (label == c)) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), n0, n1], names=["v", "w", "n0", "n1"])
 
     def count(batches):
+        got, size = ([], []), [0, 0]
         for batch in batches:
-            for label in (0, 1):
-                got = [words_of(t) for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True) if y == label]
-                if got:
-                    w, v = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                    _, at, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label, np.int32)), pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["toxic", "v", "w", "n"])
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                got[label].append(words_of(text.as_py()))
+                size[label] += len(got[label][-1][0])
+                if size[label] >= AT_ONCE:
+                    yield counted(label, got[label])
+                    got[label].clear()
+                    size[label] = 0
+        yield from (counted(label, got[label]) for label in (0, 1) if got[label])
+
+    return rows.mapInArrow(count, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _by_key(rows: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
+    """The key column h, sorted as unsigned numbers, and other columns in its order."""
+    h = np.asarray(rows["h"]).astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], *(np.asarray(rows[c]).astype(np.float64)[order] for c in columns)
+
+
+def _word_model(pairs: DataFrame) -> ToxicityModel:
+    """The models' word tables, from the counts of bigrams. Words whose counts the discounts use up equal unknown ones in every ratio, so they stay in Spark."""
+    zero, held = F.lit(0.0), lambda k, most: F.least(F.col(k).cast("double"), F.lit(most))
+    ends = pairs.select(F.col("w").alias("h"), *[zero.alias(k) for k in ("t0", "t1", "m0", "m1")], *[(F.col(f"n{c}") > 0).cast("double").alias(f"k{c}") for c in (0, 1)], F.greatest("n0", "n1").alias("most"))
+    starts = pairs.select(F.col("v").alias("h"), *[F.col(f"n{c}").cast("double").alias(f"t{c}") for c in (0, 1)], *[held(f"n{c}", PAIR_DISCOUNT).alias(f"m{c}") for c in (0, 1)], zero.alias("k0"), zero.alias("k1"), F.lit(0).alias("most"))
+    names = ("t0", "t1", "m0", "m1", "k0", "k1")
+    table = materialize(starts.union(ends).groupBy("h").agg(*[F.sum(k).alias(k) for k in names], F.max("most").alias("most")), "toxic-words")
+    shared = F.least(F.col("k0") + F.col("k1"), F.lit(RARE))
+    sums = table.agg(F.count(F.lit(1)).alias("words"), F.sum((shared > 0).cast("double")).alias("kinds"), F.sum(shared).alias("shared"), *[F.sum(k).alias(k) for k in ("k0", "k1")], *[F.sum(held(f"k{c}", DISCOUNT)).alias(f"f{c}") for c in (0, 1)]).first().asDict()
+    sums = {k: x or 0 for k, x in sums.items()}
+    words, *got = _by_key(table.where(f"k0 > {DISCOUNT} or k1 > {DISCOUNT} or t0 > m0 or t1 > m1 or most > {PAIR_DISCOUNT}").select("h", *names).toArrow(), *names)
+    t0, t1, m0, m1, k0, k1 = (np.append(x, 0.0) for x in got)
+    # The lowest order: continuation counts of both classes together, with a little for words that neither has.
+    base = (np.maximum(np.minimum(k0 + k1, RARE) - 0.75, 0) + 0.75 * max(1.0, sums["kinds"]) / (sums["words"] + 1)) / max(1.0, sums["shared"])
+    # Both classes give the same part to it, else the smaller one, which knows fewer words, would claim every rare word.
+    back = (sums["f0"] + sums["f1"]) / max(1.0, sums["k0"] + sums["k1"])
+    lower = []
+    for k, name in ((k0, "0"), (k1, "1")):
+        kept = sums["k" + name] - sums["f" + name]
+        lower.append((1 - back) * np.maximum(k - DISCOUNT, 0) / kept + back * base if kept > 0 else base)
+    return ToxicityModel(words, *(np.stack(x).astype(np.float32) for x in ((t0, t1), (m0, m1), lower)))
+
 
-    return sample.mapInArrow(count, "toxic int, v long, w long, n long").groupBy("toxic", "v", "w").agg(F.sum("n").alias("n"))
+def _gains(pairs: DataFrame, held) -> DataFrame:
+    """h, gain: what the counts of a bigram add to its log-ratio, where they add anything."""
 
+    def gain(batches):
+        for batch in batches:
+            v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+            m, n = held.value, tuple(np.maximum(batch.column(f"n{c}").to_numpy() - PAIR_DISCOUNT, 0).astype(np.float32) for c in (0, 1))
+            ctx, at = _find(m.words, v), _find(m.words, w)
+            more = (m.ratio(ctx, at, n) - m.ratio(ctx, at, (0.0, 0.0))).astype(np.float32)
+            some = more != 0
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(v, w)[some].view(np.int64)), pa.array(more[some])], names=["h", "gain"])
 
-def _dense(rows: pa.Table, key: str, value: str, bits: int, label: int | None = None) -> np.ndarray:
-    """Sums of a column in the slots of its hashed key."""
-    got = rows if label is None else rows.filter(pa.array(np.asarray(rows["toxic"]) == label))
-    return np.bincount(_slot(np.asarray(got[key]).astype(np.int64).view(np.uint64), bits), weights=np.asarray(got[value]), minlength=1 << bits).astype(np.float32)
+    return pairs.mapInArrow(gain, "h long, gain float")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
-    """Learn from labelled rows that are not held out: about ``sample_per_class`` whole texts a class."""
-    rows = labelled(docs, labels)
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Both classes count about as many texts, else the smaller one knows fewer words and every rare word speaks against it.
-    wanted = min(sample_per_class, *(counts.get(c, 0) for c in (0, 1)))
-    share = F.when(F.col("toxic") == 1, wanted / max(1, counts.get(1, 0))).otherwise(wanted / max(1, counts.get(0, 0)))
-    sample = materialize(rows.where(learning_share(F.col("doc_id"), share)), "toxic-sample")
-    for_curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1000)) < int(1000 * CURVE_SHARE)
-    pairs = materialize(_count_pairs(sample.where(~for_curve).select("text", "toxic")), "toxic-pairs")
-    by_context = pairs.groupBy("toxic", "v").agg(F.sum("n").alias("total"), F.sum(F.least(F.col("n").cast("double"), F.lit(PAIR_DISCOUNT))).alias("mass")).toArrow()
-    by_word = pairs.groupBy("toxic", "w").agg(F.count(F.lit(1)).alias("kinds")).withColumn("freed", F.least(F.col("kinds").cast("double"), F.lit(DISCOUNT))).toArrow()
-    # Counts of a bigram travel by slot, so what reaches the driver is bounded by the table's size.
-    slotted = pairs.mapInArrow(_slots, "toxic int, slot int, n double").groupBy("toxic", "slot").agg(F.sum("n").alias("n")).where(F.col("n") > PAIR_DISCOUNT).toArrow()
-    shared = _dense(by_word, "w", "kinds", WORD_BITS)
-    # The lowest order: continuation counts of both classes together, with a little for words that neither has.
-    shared = np.minimum(shared, RARE)
-    base = (np.maximum(shared - 0.75, 0) + 0.75 * max(1.0, float((shared > 0).sum())) / (1 << WORD_BITS)) / max(1.0, float(shared.sum()))
-    model: dict[str, list[np.ndarray]] = {"pairs": [], "totals": [], "mass": [], "lower": []}
-    for c in (0, 1):
-        own, freed = _dense(by_word, "w", "kinds", WORD_BITS, c), _dense(by_word, "w", "freed", WORD_BITS, c)
-        model["lower"].append(((np.maximum(own - freed, 0) + max(1.0, float(freed.sum())) * base) / max(1.0, float(own.sum()))).astype(np.float32))
-        pair = np.zeros(1 << PAIR_BITS, np.float32)
-        at = np.asarray(slotted["toxic"]) == c
-        pair[np.asarray(slotted["slot"])[at]] = np.asarray(slotted["n"])[at] - PAIR_DISCOUNT
-        model["pairs"].append(pair)
-        model["totals"].append(_dense(by_context, "v", "total", WORD_BITS, c))
-        model["mass"].append(_dense(by_context, "v", "mass", WORD_BITS, c))
-    made = ToxicityModel(*(np.stack(model[k]) for k in ("pairs", "totals", "mass", "lower")), np.array([-2.0, 0.0, 0.0, 2.0, 2.0]))
-    held = docs.sparkSession.sparkContext.broadcast(made)
+@dataclass
+class Learned:
+    """A model, and the table of bigrams where they are too many for it."""
+
+    model: ToxicityModel
+    table: DataFrame | None
+
+
+def measured(rows: DataFrame, got: Learned) -> DataFrame:
+    """``rows`` (doc_id, text and a column ``mark``) with the features of the text in place of it: doc_id, mark, full, mean, window, excess."""
+    held, joined, kind = rows.sparkSession.sparkContext.broadcast(got.model), got.table is not None, dict(rows.dtypes)["mark"]
+    names = ["doc_id", "mark", "full", "mean", "window", "excess"]
 
     def look(batches):
         for batch in batches:
-            x = [features(held.value.ratios(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in x], pa.float64()) for c in range(1, 5)), batch.column("toxic")], names=["full", "mean", "window", "excess", "toxic"])
-
-    seen = sample.where(for_curve).select("text", "toxic").mapInArrow(look, "full double, mean double, window double, excess double, toxic int").orderBy("toxic", "full", "mean", "window", "excess").toArrow()
-    y = np.asarray(seen["toxic"])
+            x, n, pairs = [], [], []
+            for text in batch.column("text").to_pylist():
+                full, low, h = held.value.ratios(text)
+                x.append(features(full, low))
+                if joined:
+                    n.append(max(len(low), WINDOW))
+                    pairs.append(h.view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("mark"), *(pa.array([r[c] for r in x], pa.float64()) for c in range(4))]
+            if joined:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(pairs, pa.list_(pa.int64()))], names=[*names, "n", "pairs"])
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"doc_id long, mark {kind}, full double, mean double, window double, excess double"
+    found = rows.select("doc_id", "mark", "text").mapInArrow(look, schema + ", n long, pairs array<long>" if joined else schema)
+    if not joined:
+        return found
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "toxic-texts")
+    sums = found.select("row", F.explode("pairs").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("times")).join(got.table, "h").groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
+    full = F.col("full") + F.coalesce(F.col("gain"), F.lit(0.0)) / F.col("n")
+    return found.drop("pairs").join(sums, "row", "left").withColumn("full", full).select(*names)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Learned:
+    """Learn from all labelled rows that are not held out: the curve from about ``CURVE_SHARE * sample_per_class`` whole texts a class at most, the counts from all others."""
+    rows = labelled(docs, labels)
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = CURVE_SHARE * min(sample_per_class, *(counts.get(c, 0) for c in (0, 1)))
+    share = F.when(F.col("toxic") == 1, wanted / max(1, counts.get(1, 0))).otherwise(wanted / max(1, counts.get(0, 0)))
+    for_curve = learning_share(F.col("doc_id"), share)
+    counted = rows.where(~for_curve) if len(counts) == 2 else rows.limit(0)
+    pairs = materialize(_count_pairs(counted.select("text", "toxic")), "toxic-pairs")
+    made = Learned(_word_model(pairs), None)
+    # Bigrams up to the discount gain nothing.
+    strong = pairs.where(f"n0 > {PAIR_DISCOUNT} or n1 > {PAIR_DISCOUNT}")
+    gains = _gains(strong, docs.sparkSession.sparkContext.broadcast(made.model))
+    if strong.count() <= MOST_PAIRS:
+        made.model.pairs, gain = _by_key(gains.toArrow(), "gain")
+        made.model.gains = gain.astype(np.float32)
+    else:
+        made.table = materialize(gains, "toxic-gains")
+    sample = materialize(rows.where(for_curve).select("doc_id", "text", F.col("toxic").alias("mark")), "toxic-sample")
+    seen = measured(sample, made).drop("doc_id").toArrow().sort_by([(c, "ascending") for c in ("mark", "full", "mean", "window", "excess")])
+    y = np.asarray(seen["mark"])
     if 4 <= y.sum() <= len(y) - 4:
         x = np.stack([np.ones(len(y)), *(np.asarray(seen[c]) for c in ("full", "mean", "window", "excess"))], axis=1)
-        made.curve = fit_curve(x, y)
+        curve = fit_curve(x, y)
         # The curve saw both classes equally often; scores are for texts as they come.
-        made.curve[0] += np.log(counts[1] / counts[0])
+        curve[0] += np.log(counts[1] / counts[0])
+        made.model.curve = tuple(float(c) for c in curve)
     return made
 
 
-def _slots(batches):
-    for batch in batches:
-        v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(_slot(pair_hash(v, w), PAIR_BITS).astype(np.int32)), pa.array(batch.column("n").to_numpy().astype(np.float64))], names=["toxic", "slot", "n"])
-
-
-def score(docs: DataFrame, labels: DataFrame | None = None, model: ToxicityModel | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame | None = None, model: Learned | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 from THRESHOLD up). Learns from ``docs`` and ``labels`` unless a model is given.
 
     Null and empty texts get the score of a text without evidence. Without labels of both classes the curve is a fixed one.
     A null id counts as an empty one for the hold-out; equal rows give equal rows; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs, labels))
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            s = np.array([m.score(t) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    got = model or learn(docs, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("mark"), F.col("text").cast("string").alias("text"))
+    first, *rest = got.model.curve
+    logit = sum((F.col(c) * k for c, k in zip(("full", "mean", "window", "excess"), rest, strict=True)), F.lit(first))
+    found = measured(rows, got).select("doc_id", F.col("mark").alias("held_out"), (1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(60.0)), F.lit(-60.0))))).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

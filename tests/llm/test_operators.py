@@ -175,6 +175,29 @@ def test_toxicity_finds_held_out_insults(spark, awkward):
     assert toxicity.score(awkward, d.limit(0).select("doc_id", "toxic")).count() == len(AWKWARD)
 
 
+def test_toxicity_counts_all_labelled_texts(spark, monkeypatch):
+    plain = ["tide", "garden", "river", "ship", "evening", "sky"]
+    # An insult in 1 of 50 toxic texts, whose words follow on many others; ordinary texts are many.
+    text = lambda k: " ".join(plain[(k * p + p) % 6] for p in range(1, 9))
+    rows = [(k, text(k) + (f" you {plain[k % 6]} gloomface {plain[k // 50 % 6]} fool" if k % 150 == 0 else " you fool" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counted = []
+    real = toxicity._count_pairs
+    monkeypatch.setattr(toxicity, "_count_pairs", lambda r: counted.append(r.count()) or real(r))
+    docs, labels = d.drop("toxic"), d.select("doc_id", "toxic")
+    got = toxicity.learn(docs, labels, 100)
+    learning = toxicity.labelled(docs, labels).count()
+    # All but about 30 texts a class for the curve, though a class may give 100.
+    assert learning - 120 <= counted[0] < learning
+    # Bigrams that are joined give the scores of those that are broadcast.
+    near = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model=got).collect()}
+    monkeypatch.setattr(toxicity, "MOST_PAIRS", 0)
+    far_model = toxicity.learn(docs, labels, 100)
+    assert far_model.table is not None and far_model.table.count() == len(got.model.pairs) > 0
+    far = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model=far_model).collect()}
+    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-5 for k in near)
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
