@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Least pages of a host for a template, least share of them that repeat a node's text, most bytes of references that are broadcast.
 LEAST_PAGES, LEAST_SHARE, BROADCAST_BYTES = 3, 0.5, 32 << 20
+#: Inside the main text a page that has at least COPY_SHARE of the reference's main text, or the other way round, is a version of it and proves nothing, unless the host has MANY_PAGES pages and MOST_SHARE of them repeat the block.
+COPY_SHARE, MANY_PAGES, MOST_SHARE = 0.5, 20, 0.9
 #: Elements deeper than this become siblings; child lists whose product is larger are aligned from both ends only.
 MOST_DEPTH, MOST_PAIRS = 150, 40_000
 
@@ -187,6 +189,16 @@ def _size(node: Node) -> int:
     return len(node.own) + sum(_size(c) for c in node.children if type(c) is not str and not c.furniture)
 
 
+def _numbers(area: Node) -> dict[int, int]:
+    """Numbers of an article's or main element's blocks without furniture, and the lengths of their texts; nothing for a whole page."""
+    found, todo = {}, [area] if area.tag else []
+    while todo:
+        node = todo.pop()
+        found[node.number] = len(node.own)
+        todo += [c for c in node.children if type(c) is not str and not c.furniture]
+    return found
+
+
 def _main(root: Node) -> Node:
     """The largest outermost article that isn't furniture, else the main element, else the page."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
@@ -264,19 +276,31 @@ def extract(pages: DataFrame) -> DataFrame:
         return F.broadcast(table) if bytes_ <= BROADCAST_BYTES else table
 
     def compare(batches):
-        same: dict[tuple[str, int], int] = {}
+        # Node -1 counts the host's pages that are no versions of the reference.
+        same: dict[tuple[str, int, bool], list[int]] = {}
         for batch in batches:
             for host, html, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                for a, b in matched(parse(html), _reference(reference)):
-                    if b.own and a.own == b.own:
-                        same[host, b.number] = same.get((host, b.number), 0) + 1
+                page, model = parse(html), _reference(reference)
+                alike = [(a, b) for a, b in matched(page, model) if b.own and a.own == b.own]
+                inside, own = _numbers(_main(model)), _numbers(_main(page))
+                common = sum(len(b.own) for a, b in alike if b.number in inside and a.number in own)
+                far = int(common < COPY_SHARE * min(sum(inside.values()), sum(own.values())))
+                for key in [(host, b.number, b.number in inside) for a, b in alike] + [(host, -1, False)]:
+                    got = same.setdefault(key, [0, 0])
+                    got[0] += 1
+                    got[1] += far
             if len(same) > 200_000:
                 yield _counted(same)
                 same = {}
         yield _counted(same)
 
-    seen = p.join(near(refs), "host").select("host", "html", "reference").mapInArrow(compare, "host string, node int, same long").groupBy("host", "node").agg(F.sum("same").alias("same"))
-    constant = seen.join(refs.select("host", "pages"), "host").where(F.col("same") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("node").alias("template"))
+    seen = p.join(near(refs), "host").select("host", "html", "reference").mapInArrow(compare, "host string, node int, inside boolean, same long, far long").groupBy("host", "node", "inside").agg(F.sum("same").alias("same"), F.sum("far").alias("far"))
+    seen = materialize(seen, "html-support")
+    others = seen.where("node < 0").select("host", F.col("far").alias("others"))
+    # The reference is one page more.
+    independent = (F.col("others") + 1 >= LEAST_PAGES) & (F.col("far") + 1 >= LEAST_SHARE * (F.col("others") + 1)) & (F.col("far") + 1 >= LEAST_PAGES)
+    common = (F.col("pages") >= MANY_PAGES) & (F.col("same") >= MOST_SHARE * F.col("pages"))
+    constant = seen.where("node >= 0").join(refs.select("host", "pages"), "host").join(others, "host").where(F.when(F.col("inside"), independent | common).otherwise(F.col("same") >= LEAST_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("node").alias("template"))
     wrappers = materialize(refs.join(constant, "host").select("host", "reference", "template"), "html-wrappers")
 
     def text_of(batches):
@@ -289,4 +313,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def _counted(same: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in same], pa.string()), pa.array([k[1] for k in same], pa.int32()), pa.array(list(same.values()), pa.int64())], names=["host", "node", "same"])
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in same], pa.string()), pa.array([k[1] for k in same], pa.int32()), pa.array([k[2] for k in same], pa.bool_()), *(pa.array([n[c] for n in same.values()], pa.int64()) for c in (0, 1))], names=["host", "node", "inside", "same", "far"])

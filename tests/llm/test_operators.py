@@ -130,6 +130,19 @@ def test_html_furniture_templates_and_broken_markup(spark):
     assert got[None] == "" and got[9].startswith("a\n\nb") and got[10] == "deep"
 
 
+def test_html_versions_of_an_article_are_no_template(spark):
+    shared = "".join(f"<p>Paragraph {k} which both versions of the article share word by word</p>" for k in range(4))
+    page = "<body><div><p>Site line</p></div><article><h1>{}</h1>{}</article></body>"
+    bodies = [shared + "<p>The first ending</p>", shared + "<p>The second ending</p>", "<p>Something else altogether</p>"]
+    # Of hosts with all hashes of urls, some take a version as the reference; and every page of a large host has one line.
+    rows = [(10 * h + k, f"http://h{h}.example/{k}", page.format("Title", bodies[k])) for h in range(8) for k in range(3)]
+    rows += [(1000 + k, f"http://large.example/{k}", page.format(f"T{k}", f"<p>Written by our staff for all our readers everywhere</p><p>News {k}</p>")) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in range(8):
+        assert all(got[10 * h + k].count("which both versions") == 4 for k in (0, 1)) and got[10 * h + 2].endswith("Something else altogether")
+    assert all(got[1000 + k] == f"T{k}\n\nNews {k}" for k in range(30))
+
+
 def test_bit_slices_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 9)).astype(np.float32)
