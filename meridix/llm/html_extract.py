@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST_PAGES, LEAST_SHARE, BROADCAST_BYTES = 3, 0.5, 32 << 20
 #: Inside the main text a page that has at least COPY_SHARE of the reference's main text, or the other way round, is a version of it and proves nothing, unless the host has MANY_PAGES pages and MOST_SHARE of them repeat the block.
 COPY_SHARE, MANY_PAGES, MOST_SHARE = 0.5, 20, 0.9
-#: Elements deeper than this become siblings; child lists whose product is larger are aligned from both ends only.
+#: Elements deeper than this become siblings, but their end tags and furniture count; child lists whose product is larger are aligned in linear memory.
 MOST_DEPTH, MOST_PAIRS = 150, 40_000
 
 # Element names of the HTML standard, and words that name page furniture in classes, ids and roles.
@@ -72,25 +72,40 @@ def parse(html: str | None) -> Node:
     """The element tree of a page, with the standard's implied end tags for paragraphs, list items and table cells; broken markup never fails."""
     root = Node("", "", False)
     stack, at, text, articles = [root], 0, html or "", 0
+    # Open elements below the stack, each with the node that takes what it holds.
+    below: list[tuple[Node, Node]] = []
+    into = lambda: below[-1][1] if below else stack[-1]
     for m in iter(lambda: TOKEN.search(text, at), None):
         if m.start() > at:
-            stack[-1].children.append(text[at : m.start()])
+            into().children.append(text[at : m.start()])
         at = m.end()
         tag, closing, attrs = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
         if not tag:
             continue
         if closing:
+            for depth in range(len(below) - 1, -1, -1):
+                if below[depth][0].tag == tag:
+                    articles -= sum(n.tag == "article" for n, _ in below[depth:])
+                    del below[depth:]
+                    break
+            else:
+                depth = -1
+            if depth >= 0:
+                if tag in BLOCKS:
+                    into().children.append(Node(tag, tag, False))
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    articles -= sum(n.tag == "article" for n in stack[depth:])
+                    articles -= sum(n.tag == "article" for n in stack[depth:]) + sum(n.tag == "article" for n, _ in below)
+                    below.clear()
                     del stack[depth:]
                     break
             continue
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack[-8:]):
+        if not below and tag in CLOSES_P and any(n.tag == "p" for n in stack[-8:]):
             depth = max(k for k in range(max(0, len(stack) - 8), len(stack)) if stack[k].tag == "p")
             if not any(n.tag in ("article", "div", "section", "td", "li", "body") for n in stack[depth + 1 :]):
                 del stack[depth:]
-        if tag in IMPLIED:
+        if not below and tag in IMPLIED:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in STOPS[tag]:
                     break
@@ -98,15 +113,18 @@ def parse(html: str | None) -> Node:
                     del stack[depth:]
                     break
         node = _element(tag, attrs, articles > 0)
-        stack[-1].children.append(node)
+        into().children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
             at = end.end() if end else len(text)
-        elif tag not in VOID and not attrs.rstrip().endswith("/") and len(stack) < MOST_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not attrs.rstrip().endswith("/"):
+            if len(stack) < MOST_DEPTH:
+                stack.append(node)
+            else:
+                below.append((node, node if node.furniture and not (below and below[-1][1].furniture) else into()))
             articles += tag == "article"
     if at < len(text):
-        stack[-1].children.append(text[at:])
+        into().children.append(text[at:])
     _finish(root)
     return root
 
@@ -148,27 +166,27 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
         key = (p.shape, q.shape)
         if key not in memo:
             x, y = ([c for c in n.children if type(c) is not str] for n in (p, q))
-            memo[key] = 1 + (len(ends(x, y)) if len(x) * len(y) > MOST_PAIRS else table(x, y)[-1][-1])
+            memo[key] = 1 + last(x, y)[-1]
         return memo[key]
 
-    def ends(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-        n = 0
-        while n < min(len(x), len(y)) and x[n].label == y[n].label:
-            n += 1
-        k = 0
-        while k < min(len(x), len(y)) - n and x[-1 - k].label == y[-1 - k].label:
-            k += 1
-        return [*zip(x[:n], y[:n], strict=True), *(zip(x[-k:], y[-k:], strict=True) if k else ())]
-
-    out, todo = [], [(a, b)]
-    while todo:
-        p, q = todo.pop()
-        out.append((p, q))
-        x, y = ([c for c in n.children if type(c) is not str] for n in (p, q))
-        if len(x) * len(y) > MOST_PAIRS:
-            todo += ends(x, y)
-            continue
-        best, i, j = table(x, y), len(x), len(y)
+    def last(x: list[Node], y: list[Node]) -> list[int]:
+        """The table's last row, in linear memory."""
+        row = [0] * (len(y) + 1)
+        for p in x:
+            above, row = row, [0]
+            for k, q in enumerate(y):
+                w = weight(p, q)
+                row.append(max(above[k + 1], row[k], above[k] + w) if w else max(above[k + 1], row[k]))
+        return row
+
+    def aligned(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+        if len(x) > 1 and len(x) * len(y) > MOST_PAIRS:
+            # Hirschberg: halve one list, and cut the other where both halves together match the most.
+            half = len(x) // 2
+            up, down = last(x[:half], y), last(x[half:][::-1], y[::-1])
+            cut = max(range(len(y) + 1), key=lambda k: up[k] + down[len(y) - k])
+            return aligned(x[:half], y[:cut]) + aligned(x[half:], y[cut:])
+        best, i, j, found = table(x, y), len(x), len(y), []
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -176,7 +194,15 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((x[i], y[j]))
+                found.append((x[i], y[j]))
+        return found
+
+    out, todo = [], [(a, b)]
+    while todo:
+        p, q = todo.pop()
+        out.append((p, q))
+        x, y = ([c for c in n.children if type(c) is not str] for n in (p, q))
+        todo += aligned(x, y)
     return out
 
 

@@ -143,6 +143,16 @@ def test_html_versions_of_an_article_are_no_template(spark):
     assert all(got[1000 + k] == f"T{k}\n\nNews {k}" for k in range(30))
 
 
+def test_html_long_lists_and_deep_elements(spark):
+    # The line stands after as many paragraphs as the page has, between elements that the pages don't share.
+    page = lambda k: "<article><h1>T{0}</h1><i class=x{0}></i>{1}<p class=cta>Call us</p>{2}<i class=z{0}></i></article>".format(k, "".join(f"<p>{k} a {n}</p>" for n in range(220 + k)), "".join(f"<p>{k} b {n}</p>" for n in range(9)))
+    rows = [(k, f"http://long.example/{k}", page(k)) for k in range(4)]
+    rows.append((9, "http://deep.example/", "<div><article><p>First</p>" + "<div>" * 200 + "<nav><b>Menu</b></nav>in<div>ner</div>most" + "</div>" * 200 + "<p>Last</p></article></div>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Call us" not in got[k] and got[k].count("\n\n") == 229 + k for k in range(4))
+    assert got[9] == "First\n\nin\n\nner\n\nmost\n\nLast"
+
+
 def test_bit_slices_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 9)).astype(np.float32)
