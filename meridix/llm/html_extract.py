@@ -35,6 +35,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("script style title noscript iframe template head nav aside footer form button select textarea input dialog menu svg canvas object embed audio video map math label option xmp noembed noframes".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside rail footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall share sharing social socials related recommended recommendations teaser teasers comment comments commentlist disqus respond reply replies discussion login signin search searchbox widget widgets toolbar pagination pager copyright legal disclaimer tags tagcloud skip hidden".split())
+#: Elements that a name makes furniture by a part of a class or id; inside an article and for other elements a whole class must consist of names.
+CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form figure fieldset details menu iframe".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "summary", "figcaption"} | {"p"}
 IMPLIED = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,14 +58,18 @@ class Node:
 
 
 def _element(tag: str, attrs: str, inside_article: bool) -> Node:
-    names, label, furniture = (), tag, tag in NEVER or tag == "header" and not inside_article
+    names, label, furniture = (), tag, tag in NEVER and not (inside_article and tag in ("math", "label")) or tag == "header" and not inside_article
     if attrs and "=" in attrs or attrs.strip() == "hidden":
         got = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(attrs)}
         marks = f"{got.get('class', '')} {got.get('id', '')}".lower()
         names = re.findall(r"[a-z]+", marks)
         label = f"{tag}.{got.get('class', '').strip().lower()}" if got.get("class") else tag
         if tag not in ("html", "body", "main", "article") or "comment" in names or "comments" in names:
-            furniture |= not NAMES.isdisjoint(names)
+            if tag not in ("html", "body", "main", "article") and (inside_article or tag not in CONTAINERS):
+                whole = tag in CONTAINERS or not inside_article
+                furniture |= whole and any(c and NAMES.issuperset(re.split(r"[-_]+", c.strip("-_"))) for c in got.get("class", "").lower().split())
+            else:
+                furniture |= not NAMES.isdisjoint(names)
         furniture |= got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
     return Node(tag, label, furniture)
 
@@ -226,7 +232,7 @@ def _numbers(area: Node) -> dict[int, int]:
 
 
 def _main(root: Node) -> Node:
-    """The largest outermost article that isn't furniture, else the main element, else the page."""
+    """The largest outermost article that isn't furniture, if it holds most of the text of the largest main element; else that element, else the page."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [root]
     while todo:
@@ -237,10 +243,10 @@ def _main(root: Node) -> Node:
             found[node.tag].append(node)
         if node.tag != "article":
             todo += [c for c in reversed(node.children) if type(c) is not str]
-    for tag in ("article", "main"):
-        if found[tag]:
-            return max(found[tag], key=_size)
-    return root
+    article, main = (max(found[tag], key=_size, default=None) for tag in ("article", "main"))
+    if article and (not main or 2 * _size(article) > _size(main)):
+        return article
+    return main or root
 
 
 def blocks_of(node: Node, dropped: set[int]) -> list[str]:

@@ -153,6 +153,15 @@ def test_html_long_lists_and_deep_elements(spark):
     assert got[9] == "First\n\nin\n\nner\n\nmost\n\nLast"
 
 
+def test_html_keywords_and_teasers_keep_the_text():
+    kept = '<h2 id="related-work">A</h2><section id="discussion"><p>B</p></section><p class="share-price">C</p><h3 id="legal-history">D</h3><h2 id="search-for-meaning">E</h2><p><math>F</math> <label>G</label></p>'
+    gone = '<div class="newsletter-signup">x</div><ul class="share"><li>x</li></ul><aside>x</aside><article class="comment-body">x</article>'
+    assert html_extract.main_text(f"<article>{kept}{gone}</article>") == "A\n\nB\n\nC\n\nD\n\nE\n\nF G"
+    story = "The story itself lies in a plain block and is longer than its teasers."
+    assert story in html_extract.main_text(f"<main><div><p>{story}</p></div><article>One</article><article>Two</article></main>")
+    assert html_extract.main_text(f"<main><p>Aside</p><article>{story}</article></main>") == story
+
+
 def test_bit_slices_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 9)).astype(np.float32)
