@@ -1,9 +1,9 @@
-"""BPE encoding and decoding through tables of distinct words.
+"""BPE encoding and decoding through one table of the corpus's distinct words.
 
-Texts are split into words by the tokenizer file's own normaliser and pattern. Each task keeps a table of the distinct
-words it has met: a word is encoded once, its ids are joined with the vocabulary's pieces once, and both go back to their
-places in every text by position. A table of all words of the corpus, joined by shuffles, gave the same results at several
-times the cost (figures in the README).
+Texts are split into words by the tokenizer file's own normaliser and pattern, in chunks of bounded size: a chunk keeps its
+distinct words once, and its texts as positions in that list. Spark makes one table of the distinct words of all chunks,
+where every word is encoded once and its ids are joined with the vocabulary's pieces. The table is joined back to the
+chunks' words, and ids and pieces go to their places in every text by position.
 """
 
 from __future__ import annotations
@@ -13,25 +13,32 @@ import json
 import os
 import sys
 import unicodedata
+import uuid
+from collections import defaultdict
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridix.llm.common import scratch_dir
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words that a task's table holds at most, and words of the texts that are coded together.
-MOST, STEP = 300_000, 200_000
-# The white space of the file's patterns.
+#: Words after which a chunk ends (a text is never cut), and words that are encoded together.
+CHUNK, STEP = 1 << 21, 50_000
+# The white space of the file's patterns, and what Python's own splitting takes for white space beside it.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NO_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 class Splitter:
     """Words of a text as the tokenizer file's normaliser and pre-tokenizer make them, special tokens standing for themselves.
 
-    Supports files whose normaliser is NFC, white space to one space, lower case, and whose pre-tokenizer keeps the matches of one pattern and then maps bytes."""
+    Supports files whose normaliser is NFC, white space to one space, lower case, and whose pre-tokenizer keeps the matches of one pattern, which no white space matches, and then maps bytes."""
 
     def __init__(self, spec: dict):
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -41,54 +48,117 @@ class Splitter:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACES))
+        self.space = regex.compile(f"[{SPACES}]+")
 
-    def _plain(self, text: str) -> list[str]:
+    def _runs(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma has no final form here
-        return self.words.findall(text.lower())
+        text = text.lower()
+        return self.space.split(text) if any(c in text for c in NO_SPACES) else text.split()
 
-    def __call__(self, text: str | None) -> list[str]:
+    def runs(self, text: str | None) -> list[str]:
+        """Normalised parts of the text between white space, and special tokens; no word crosses their ends."""
         if not text:
             return []
         if self.special is None or not any(s in text for s in self.specials):
-            return self._plain(text)
-        return [w for part in self.special.split(text) for w in ([part] if part in self.specials else self._plain(part))]
+            return self._runs(text)
+        return [r for part in self.special.split(text) for r in ([part] if part in self.specials else self._runs(part))]
+
+    def words_of(self, run: str) -> list[str]:
+        return [run] if run in self.specials else self.words.findall(run)
+
+
+class Positions(dict):
+    """Of each run of a chunk the positions (32-bit, as bytes) of its words in the chunk's list of distinct words, worked out once a run."""
+
+    def __init__(self, split: Splitter):
+        super().__init__()
+        self.split = split
+        self.words: defaultdict[str, int] = defaultdict(count().__next__)
+
+    def __missing__(self, run: str) -> bytes:
+        at = self[run] = np.array([self.words[w] for w in self.split.words_of(run)], np.int32).tobytes()
+        return at
+
+
+def _pack(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
 
+def _unpack(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.uint8)
 
-class WordTable:
-    """The distinct words of a task: ids (as text, joined by spaces), their number, and pieces (joined by spaces), each word encoded once.
 
-    Decoding joins ids with the vocabulary's pieces when a word enters. Beyond ``MOST`` words the table starts anew, so its memory is bounded."""
+SPLIT = "chunk long, doc_ids array<long>, sizes array<long>, low binary, high binary, words array<string>"
 
-    def __init__(self, spec_text: str):
+
+def _split(docs: DataFrame, sent) -> DataFrame:
+    """Chunks: ids and numbers of words of the texts, positions of all their words (in two planes of 16 bits, packed), and the distinct words."""
+
+    def split(batches):
+        splitter = Splitter(json.loads(sent.value))
+        seen, held, chunk = Positions(splitter), [], 0
+        filled = 0
+
+        def row(part):
+            at = np.frombuffer(b"".join(h[1] for h in held), np.uint32)
+            columns = [(part << 32) + chunk, [h[0] for h in held], [len(h[1]) // 4 for h in held], _pack((at & 0xFFFF).astype(np.uint16).tobytes()), _pack((at >> 16).astype(np.uint16).tobytes()), list(seen.words)]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, types, strict=True)], names=["chunk", "doc_ids", "sizes", "low", "high", "words"])
+
+        part = 0
+        for batch in batches:
+            for doc_id, text, part in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("part").to_pylist(), strict=True):
+                held.append((doc_id, b"".join(map(seen.__getitem__, splitter.runs(text.as_py())))))
+                filled += len(held[-1][1]) // 4
+                if filled >= CHUNK:
+                    yield row(part)
+                    seen, held, chunk, filled = Positions(splitter), [], chunk + 1, 0
+        if held:
+            yield row(part)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"))
+    return rows.mapInArrow(split, SPLIT)
+
+
+def _by_chunk(chunks: DataFrame) -> DataFrame:
+    """Written once to the shared scratch folder, bucketed by chunk, so that the positions need no shuffle to meet their words' ids."""
+    spark = chunks.sparkSession
+    path, name = f"{scratch_dir(spark)}/bpe-chunks-{uuid.uuid4().hex}", f"bpe_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.table(name)
+
+
+def word_table(words: DataFrame, sent) -> DataFrame:
+    """word, n, ids, pieces of every distinct word: encoded once, decoded by a join of its ids with the vocabulary; ids and pieces are joined by spaces."""
+
+    def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        spec = json.loads(spec_text)
-        self.split = Splitter(spec)
-        self.coder = Tokenizer.from_str(spec_text)
-        self.coder.no_truncation()
-        self.coder.no_padding()
-        self.piece = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.ids: dict[str, str] = {}
-        self.pieces: dict[str, str] = {}
-        self.n: dict[str, int] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Make sure that the words are in the table."""
-        fresh = list(set(words).difference(self.ids))
-        if len(self.ids) + len(fresh) > MOST:
-            for table in (self.ids, self.pieces, self.n):
-                table.clear()
-            fresh = list(set(words))
-        for word, coded in zip(fresh, self.coder.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.ids[word] = " ".join(map(str, coded.ids))
-            self.pieces[word] = " ".join([self.piece[i] for i in coded.ids])
-            self.n[word] = len(coded.ids)
-
-    def code(self, words: list[str]) -> tuple[int, str, str]:
-        """(number of ids, ids, decoded text) of a text's words, in their places."""
-        return sum(map(self.n.__getitem__, words)), " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.pieces.__getitem__, words))
+        coder = Tokenizer.from_str(sent.value)
+        coder.no_truncation()
+        coder.no_padding()
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.column("word").slice(at, STEP)
+                coded = coder.encode_batch_fast(part.to_pylist(), add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([part, pa.array([c.ids for c in coded], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    spec = json.loads(sent.value)
+    vocabulary = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    # The vocabulary bounds this broadcast.
+    pieces = F.broadcast(words.sparkSession.createDataFrame(pa.table({"id": pa.array(list(vocabulary), pa.int32()), "piece": list(vocabulary.values())})))
+    coded = words.distinct().mapInArrow(encode, "word string, ids array<int>").select("word", F.posexplode("ids").alias("at", "id"))
+    parts = coded.join(pieces, "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("parts"))
+    joined = lambda field: F.array_join(F.transform("parts", lambda p: p[field].cast("string")), " ")
+    return parts.select("word", F.size("parts").alias("n"), joined("id").alias("ids"), joined("piece").alias("pieces"))
+
+
+CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string"
 
 
 def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
@@ -99,26 +169,32 @@ def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     and equal rows stay as they are; an empty table gives no rows; other columns are ignored."""
     with open(path, encoding="utf-8") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    chunks = _by_chunk(_split(docs, sent))
+    words = chunks.select("chunk", F.posexplode("words").alias("no", "word"))
+    found = words.join(word_table(words.select("word"), sent), "word")
+    tables = found.groupBy("chunk").agg(F.collect_list(F.struct("no", "n", "ids", "pieces")).alias("table"))
 
-    def code(batches):
-        table = WordTable(sent.value)
+    def place(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            at = 0
-            while at < len(ids):
-                part, held, size = [], [], 0
-                while at < len(ids) and size < STEP:
-                    part.append(ids[at])
-                    held.append(table.split(texts[at].as_py()))
-                    size += len(held[-1])
-                    at += 1
-                table.learn([w for words in held for w in words])
-                rows = []
-                for doc_id, words in zip(part, held, strict=True):
-                    n, a, b = table.code(words)
-                    rows.append((doc_id, n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), a if keep else None, b if keep else None))
+            for row in range(batch.num_rows):
+                table = batch.column("table").slice(row, 1).flatten()
+                no, n = (table.field(c).to_numpy() for c in (0, 1))
+                sizes = np.zeros(len(no), np.int64)
+                sizes[no] = n
+                ids, pieces = np.empty(len(no), object), np.empty(len(no), object)
+                ids[no], pieces[no] = table.field(2).to_numpy(zero_copy_only=False), table.field(3).to_numpy(zero_copy_only=False)
+                ids, pieces = ids.tolist(), pieces.tolist()
+                ends = np.cumsum([0, *batch.column("sizes")[row].as_py()])
+                low, high = (_unpack(batch.column(c)[row].as_py(), 2 * int(ends[-1])).view(np.uint16) for c in ("low", "high"))
+                at = low.astype(np.int32) | high.astype(np.int32) << 16
+                out = []
+                for doc_id, start, end in zip(batch.column("doc_ids")[row].as_py(), ends[:-1], ends[1:], strict=True):
+                    own = at[start:end]
+                    places = own.tolist()
+                    a, b = " ".join(map(ids.__getitem__, places)), " ".join(map(pieces.__getitem__, places))
+                    out.append((doc_id, int(sizes[own].sum()), hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), a if keep else None, b if keep else None))
                 types = [pa.int64(), pa.int64()] + [pa.string()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string")
+    out = chunks.drop("words").join(tables.hint("shuffle_hash"), "chunk", "left").mapInArrow(place, CODED)
     return out if keep else out.drop("ids", "decoded")
