@@ -1,9 +1,10 @@
 """BPE encoding and decoding through one table of the corpus's distinct words.
 
 Texts are split into words by the tokenizer file's own normaliser and pattern, in chunks of bounded size: a chunk keeps its
-distinct words once, and its texts as positions in that list. Spark makes one table of the distinct words of all chunks,
-where every word is encoded once and its ids are joined with the vocabulary's pieces. The table is joined back to the
-chunks' words, and ids and pieces go to their places in every text by position.
+distinct words once, and its texts as positions in that list. The table of the corpus's distinct words is dealt over tasks by
+a hash of the word: each word lies in one bucket and is encoded there once. Chunks and buckets exchange blocks (all words
+of a chunk that belong to a bucket, and their ids in the same order), not single words. Ids join the texts by position,
+and the vocabulary's pieces join the ids.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import sys
 import unicodedata
 import uuid
+import zlib
 from collections import defaultdict
 from itertools import count
 
@@ -28,8 +30,8 @@ from meridix.llm.common import scratch_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words after which a chunk ends (a text is never cut), and words that are encoded together.
-CHUNK, STEP = 1 << 21, 50_000
+#: Words after which a chunk ends (a text is never cut), and blocks that a bucket codes at once.
+CHUNK, AT_ONCE = 1 << 22, 64
 # The white space of the file's patterns, and what Python's own splitting takes for white space beside it.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_SPACES = "\x1c\x1d\x1e\x1f"
@@ -81,30 +83,39 @@ class Positions(dict):
         return at
 
 
-def _pack(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True)
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers below 2**32 in two planes of 16 bits, compressed."""
+    return pa.compress(np.concatenate([values & 0xFFFF, values >> 16]).astype(np.uint16).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(packed: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.uint8)
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    low, high = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint16).astype(np.int64).reshape(2, n)
+    return low | high << 16
 
 
-SPLIT = "chunk long, doc_ids array<long>, sizes array<long>, low binary, high binary, words array<string>"
+SPLIT = "chunk long, doc_ids array<long>, sizes array<long>, at binary, buckets binary, n_words long, blocks array<struct<bucket: int, n: int, size: int, words: binary>>"
 
 
-def _split(docs: DataFrame, sent) -> DataFrame:
-    """Chunks: ids and numbers of words of the texts, positions of all their words (in two planes of 16 bits, packed), and the distinct words."""
+def _split(docs: DataFrame, sent, buckets: int) -> DataFrame:
+    """Chunks: ids and numbers of words of the texts, positions of all their words in the list of distinct words, the buckets of those, and the list itself, a block a bucket."""
 
     def split(batches):
         splitter = Splitter(json.loads(sent.value))
-        seen, held, chunk = Positions(splitter), [], 0
-        filled = 0
+        seen, held, chunk, filled = Positions(splitter), [], 0, 0
 
         def row(part):
             at = np.frombuffer(b"".join(h[1] for h in held), np.uint32)
-            columns = [(part << 32) + chunk, [h[0] for h in held], [len(h[1]) // 4 for h in held], _pack((at & 0xFFFF).astype(np.uint16).tobytes()), _pack((at >> 16).astype(np.uint16).tobytes()), list(seen.words)]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, types, strict=True)], names=["chunk", "doc_ids", "sizes", "low", "high", "words"])
+            words = np.empty(len(seen.words), object)
+            words[:] = list(seen.words)
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            blocks = []
+            for b, own in zip(*_groups(bucket[order], words[order]), strict=True):
+                raw = "\n".join(own).encode("utf-8", "surrogatepass")
+                blocks.append({"bucket": int(b), "n": len(own), "size": len(raw), "words": pa.compress(raw, codec="zstd", asbytes=True)})
+            values = [(part << 32) + chunk, [h[0] for h in held], [len(h[1]) // 4 for h in held], _pack(at), _pack(bucket), len(words), blocks]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("words", pa.binary())]))]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["chunk", "doc_ids", "sizes", "at", "buckets", "n_words", "blocks"])
 
         part = 0
         for batch in batches:
@@ -121,41 +132,71 @@ def _split(docs: DataFrame, sent) -> DataFrame:
     return rows.mapInArrow(split, SPLIT)
 
 
-def _by_chunk(chunks: DataFrame) -> DataFrame:
+def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct ones of sorted keys, and the values of each."""
+    found, first = np.unique(keys, return_index=True)
+    return found, np.split(values, first[1:]) if len(found) else []
+
+
+def _by_chunk(chunks: DataFrame, buckets: int) -> DataFrame:
     """Written once to the shared scratch folder, bucketed by chunk, so that the positions need no shuffle to meet their words' ids."""
     spark = chunks.sparkSession
     path, name = f"{scratch_dir(spark)}/bpe-chunks-{uuid.uuid4().hex}", f"bpe_chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.table(name)
 
 
-def word_table(words: DataFrame, sent) -> DataFrame:
-    """word, n, ids, pieces of every distinct word: encoded once, decoded by a join of its ids with the vocabulary; ids and pieces are joined by spaces."""
+class WordTable:
+    """The distinct words of a bucket with their ids (32-bit, as bytes): a word is encoded when it first comes."""
 
-    def encode(batches):
+    def __init__(self, spec_text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_str(sent.value)
-        coder.no_truncation()
-        coder.no_padding()
+        self.coder = Tokenizer.from_str(spec_text)
+        self.coder.no_truncation()
+        self.coder.no_padding()
+        self.ids: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        fresh = list(words.difference(self.ids))
+        for word, coded in zip(fresh, self.coder.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.ids[word] = np.array(coded.ids, np.uint32).tobytes()
+
+
+CODED_BLOCK = "chunk long, bucket int, lengths binary, n int, n_ids long, ids binary"
+
+
+def coded_blocks(blocks: DataFrame, sent) -> DataFrame:
+    """(chunk, bucket, n, size, words) -> (chunk, bucket, lengths, n, n_ids, ids): ids of the block's words in their order. A bucket's blocks come to one task, which holds that bucket's words only."""
+
+    def code(batches):
+        table, now, held = WordTable(sent.value), None, []
+
+        def flush():
+            words = [pa.decompress(words, size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") for _, _, size, words in held]
+            table.learn(set().union(*words))
+            for (chunk, n, _, _), own in zip(held, words, strict=True):
+                ids = list(map(table.ids.__getitem__, own))
+                flat = np.frombuffer(b"".join(ids), np.uint32)
+                values = [chunk, now, _pack(np.fromiter(map(len, ids), np.int64, n) // 4), n, len(flat), _pack(flat)]
+                types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["chunk", "bucket", "lengths", "n", "n_ids", "ids"])
+            held.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.column("word").slice(at, STEP)
-                coded = coder.encode_batch_fast(part.to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part, pa.array([c.ids for c in coded], pa.list_(pa.int32()))], names=["word", "ids"])
+            for chunk, bucket, n, size, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "n", "size", "words")), strict=True):
+                if bucket != now or len(held) >= AT_ONCE:
+                    yield from flush() if held else ()
+                    if bucket != now:
+                        table.ids.clear()
+                        now = bucket
+                held.append((chunk, n, size, words))
+        yield from flush() if held else ()
 
-    spec = json.loads(sent.value)
-    vocabulary = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    # The vocabulary bounds this broadcast.
-    pieces = F.broadcast(words.sparkSession.createDataFrame(pa.table({"id": pa.array(list(vocabulary), pa.int32()), "piece": list(vocabulary.values())})))
-    coded = words.distinct().mapInArrow(encode, "word string, ids array<int>").select("word", F.posexplode("ids").alias("at", "id"))
-    parts = coded.join(pieces, "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("parts"))
-    joined = lambda field: F.array_join(F.transform("parts", lambda p: p[field].cast("string")), " ")
-    return parts.select("word", F.size("parts").alias("n"), joined("id").alias("ids"), joined("piece").alias("pieces"))
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(code, CODED_BLOCK)
 
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string"
@@ -167,34 +208,47 @@ def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     Whole texts are encoded without added special tokens, truncation or padding; special tokens that stand in a text keep
     their ids. The file has no decoder, so decoding joins the pieces by spaces. Null and empty texts have no ids. Null ids
     and equal rows stay as they are; an empty table gives no rows; other columns are ignored."""
+    spark = docs.sparkSession
     with open(path, encoding="utf-8") as file:
-        sent = docs.sparkSession.sparkContext.broadcast(file.read())
-    chunks = _by_chunk(_split(docs, sent))
-    words = chunks.select("chunk", F.posexplode("words").alias("no", "word"))
-    found = words.join(word_table(words.select("word"), sent), "word")
-    tables = found.groupBy("chunk").agg(F.collect_list(F.struct("no", "n", "ids", "pieces")).alias("table"))
+        sent = spark.sparkContext.broadcast(file.read())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _by_chunk(_split(docs, sent, buckets), buckets)
+    coded = coded_blocks(chunks.select("chunk", F.inline("blocks")), sent)
+    tables = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths", "n", "n_ids", "ids"))).alias("table"))
 
     def place(batches):
+        spec = json.loads(sent.value)
+        vocabulary = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         for batch in batches:
             for row in range(batch.num_rows):
-                table = batch.column("table").slice(row, 1).flatten()
-                no, n = (table.field(c).to_numpy() for c in (0, 1))
-                sizes = np.zeros(len(no), np.int64)
-                sizes[no] = n
-                ids, pieces = np.empty(len(no), object), np.empty(len(no), object)
-                ids[no], pieces[no] = table.field(2).to_numpy(zero_copy_only=False), table.field(3).to_numpy(zero_copy_only=False)
-                ids, pieces = ids.tolist(), pieces.tolist()
-                ends = np.cumsum([0, *batch.column("sizes")[row].as_py()])
-                low, high = (_unpack(batch.column(c)[row].as_py(), 2 * int(ends[-1])).view(np.uint16) for c in ("low", "high"))
-                at = low.astype(np.int32) | high.astype(np.int32) << 16
-                out = []
-                for doc_id, start, end in zip(batch.column("doc_ids")[row].as_py(), ends[:-1], ends[1:], strict=True):
+                doc_ids, sizes, at, bucket, n_words, table = (batch.column(c)[row].as_py() for c in ("doc_ids", "sizes", "at", "buckets", "n_words", "table"))
+                lengths, ids, pieces = _placed(_unpack(bucket, n_words), table or [], vocabulary)
+                ends = np.cumsum([0, *sizes])
+                at, out = _unpack(at, int(ends[-1])), []
+                for doc_id, start, end in zip(doc_ids, ends[:-1], ends[1:], strict=True):
                     own = at[start:end]
                     places = own.tolist()
                     a, b = " ".join(map(ids.__getitem__, places)), " ".join(map(pieces.__getitem__, places))
-                    out.append((doc_id, int(sizes[own].sum()), hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), a if keep else None, b if keep else None))
+                    out.append((doc_id, int(lengths[own].sum()), hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), a if keep else None, b if keep else None))
                 types = [pa.int64(), pa.int64()] + [pa.string()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
-    out = chunks.drop("words").join(tables.hint("shuffle_hash"), "chunk", "left").mapInArrow(place, CODED)
+    out = chunks.drop("blocks").join(tables.hint("shuffle_hash"), "chunk", "left").mapInArrow(place, CODED)
     return out if keep else out.drop("ids", "decoded")
+
+
+def _placed(bucket: np.ndarray, table: list[dict], vocabulary: dict[int, str]) -> tuple[np.ndarray, list[str], list[str]]:
+    """Of a chunk's distinct words, in their order: the number of ids, the ids, and the pieces that join them, both as text."""
+    order = np.argsort(bucket, kind="stable")
+    lengths = np.zeros(len(order), np.int64)
+    if table:
+        lengths[order] = in_order = np.concatenate([_unpack(b["lengths"], b["n"]) for b in table])
+        flat = np.concatenate([_unpack(b["ids"], b["n_ids"]) for b in table]).tolist()
+        ends = np.cumsum(in_order).tolist()
+    ids, pieces, start = [""] * len(order), [""] * len(order), 0
+    for k, no in enumerate(order.tolist()):
+        own = flat[start : ends[k]]
+        start = ends[k]
+        ids[no] = " ".join(map(str, own))
+        pieces[no] = " ".join(map(vocabulary.__getitem__, own))
+    return lengths, ids, pieces
