@@ -19,31 +19,33 @@ from meridix.llm.vectors import best, blocks, one_a_query, search, usable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of a segment, queries of a group, and the widest attribute (bits) that is sliced; wider ones are added as integers.
-SEGMENT, GROUP, WIDEST = 8192, 2048, 24
+#: Rows of a segment, and queries of a group.
+SEGMENT, GROUP = 8192, 2048
 SCALE = 1024
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantise(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) as integers; values beyond 2**62 stop there."""
-    with np.errstate(over="ignore"):
-        return np.clip(np.floor(scale * x), -(2.0**62), 2.0**62 - 512).astype(np.int64)
+    """floor(scale * x), exactly: 64-bit integers, or Python's where one is wider."""
+    wide = np.abs(x) >= 2.0**52
+    if not wide.any():
+        return np.floor(scale * x).astype(np.int64)
+    # From 2**52 on a double is a whole number.
+    out = [int(v) * scale if w else int(np.floor(scale * v)) for v, w in zip(x.ravel().tolist(), wide.ravel().tolist(), strict=True)]
+    return np.array([*out, None], object)[:-1].reshape(x.shape)
 
 
-def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(least value of each attribute, bitmaps [attribute, bit, word]) of integer rows; None if an attribute is too wide."""
+def slices(values: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(least value of each attribute, bitmaps [attribute, bit, word]) of integer rows of any width."""
     low = values.min(axis=0)
-    bits = max(1, max(int(h) - int(lo) for h, lo in zip(values.max(axis=0), low, strict=True)).bit_length())
-    if bits > WIDEST:
-        return None
     up = (values - low).T
+    bits = max(1, int(up.max()).bit_length())
     words = -(-len(values) // 64)
     out = np.zeros((values.shape[1], bits, words * 8), np.uint8)
     for b in range(bits):
-        packed = np.packbits((up >> b) & 1, axis=1, bitorder="little")
+        packed = np.packbits(((up >> b) & 1).astype(np.uint8), axis=1, bitorder="little")
         out[:, b, : packed.shape[1]] = packed
-    return low, out.view(np.uint64)
+    return [int(x) for x in low], out.view(np.uint64)
 
 
 def add_slices(columns: dict[int, list[np.ndarray]], words: int) -> list[np.ndarray]:
@@ -85,14 +87,14 @@ def select_top(score: list[np.ndarray], rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([certain, boundary])
 
 
-def top_rows(low: np.ndarray, index: np.ndarray, n: int, query: np.ndarray, skip: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def top_rows(low: list[int], index: np.ndarray, n: int, query: np.ndarray, skip: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
     """(row numbers, scores) of the k rows of a segment with the largest inner products; ``skip`` rows take no part."""
     attributes, bits, words = index.shape
-    base = int(sum(int(q) * int(lo) for q, lo in zip(query, low, strict=True)))
+    base = sum(int(q) * lo for q, lo in zip(query, low, strict=True))
     weight, flip = np.abs(query), query < 0
     # A negative weight adds the complement of its attribute instead, and a constant.
-    base -= int(weight[flip].sum()) * ((1 << bits) - 1)
-    flat = np.where(flip[:, None, None], ~index, index)
+    base -= sum(map(int, weight[flip])) * ((1 << bits) - 1)
+    flat = np.where(flip.astype(bool)[:, None, None], ~index, index)
     columns: dict[int, list[np.ndarray]] = {}
     for a in range(int(weight.max(initial=0)).bit_length()):
         picked = np.flatnonzero((weight >> a) & 1)
@@ -105,59 +107,51 @@ def top_rows(low: np.ndarray, index: np.ndarray, n: int, query: np.ndarray, skip
     for r in skip:
         rows[r // 64] &= ~np.uint64(1 << (int(r) % 64))
     top = select_top(score, rows, k)
-    total = np.zeros(len(top), np.int64)
+    total = [base] * len(top)
     for p, bitmap in enumerate(score):
-        total += ((bitmap[top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << p
-    return top, total + base
+        for at, bit in enumerate(((bitmap[top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)).tolist()):
+            total[at] += bit << p
+    return top, total
+
+
+def sort_key(x: int) -> bytes:
+    """Bytes that order as the integers do, of any size: sign, length, digits; complemented below zero."""
+    n = (abs(x).bit_length() + 7) // 8
+    raw = bytes([0x80 + (n >> 16), n >> 8 & 255, n & 255]) + abs(x).to_bytes(n)
+    return raw if x >= 0 else bytes(255 - c for c in raw)
 
 
 def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k largest integer inner products over all other ids, ties to the smaller id.
 
-    Components are quantised as floor(1024 * x). Vectors that are null or empty, or hold null or non-finite components, and
-    rows without an id take no part; only vectors of a query's length are its candidates. A query whose id repeats counts
-    once, with its smallest vector; candidates that repeat an id are rows like others. Scores beyond 64 bits stop at the
-    end of the range. Fewer than k candidates give as many rows; other columns are ignored."""
+    Components are quantised as floor(1024 * x), of any size. Vectors that are null or empty, or hold null or non-finite
+    components, and rows without an id take no part; only vectors of a query's length are its candidates. A query whose id
+    repeats counts once, with its smallest vector; candidates that repeat an id are rows like others. Ranks follow the exact
+    scores; a score that no long can hold is given as the nearest long. Fewer than k candidates give as many rows; an empty
+    table gives none; other columns are ignored."""
     base = blocks(usable(vectors), SEGMENT, "bit-slices")
 
     def build(batches):
         for batch in batches:
             rows = []
-            for dim, ids, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "data")), strict=True):
-                values = quantise(np.frombuffer(data, np.float64).reshape(-1, dim))
-                made = slices(values)
-                rows.append((values.tobytes() if made is None else None, made and made[0].tobytes(), made and made[1].tobytes(), made[1].shape[1] if made else 0))
-            extra = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("dim"), batch.column("ids"), *extra], names=["block", "dim", "ids", "plain", "low", "slices", "bits"])
+            for dim, data in zip(batch.column("dim").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                low, index = slices(quantise(np.frombuffer(data, np.float64).reshape(-1, dim)))
+                rows.append((" ".join(map(str, low)), index.tobytes(), index.shape[1]))
+            extra = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.binary(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("dim"), batch.column("ids"), *extra], names=["block", "dim", "ids", "low", "slices", "bits"])
 
-    index = base.select("block", "dim", "ids", "data").mapInArrow(build, "block int, dim int, ids binary, plain binary, low binary, slices binary, bits int")
+    index = base.select("block", "dim", "ids", "data").mapInArrow(build, "block int, dim int, ids binary, low string, slices binary, bits int")
 
     def answer(dim, ids, held, q_ids, q):
-        wide = held["plain"] is not None
-        if wide:
-            plain = np.frombuffer(held["plain"], np.int64).reshape(len(ids), dim).astype(object)
-        else:
-            low = np.frombuffer(held["low"], np.int64)
-            index = np.frombuffer(held["slices"], np.uint64).reshape(dim, held["bits"], -1)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q_id, query in zip(q_ids, quantise(q), strict=True):
+        low = [int(x) for x in held["low"].split()]
+        index = np.frombuffer(held["slices"], np.uint64).reshape(dim, held["bits"], -1)
+        out: list[tuple[int, int, int, bytes]] = []
+        for q_id, query in zip(q_ids.tolist(), quantise(q), strict=True):
             skip = np.arange(np.searchsorted(ids, q_id), np.searchsorted(ids, q_id, "right"))
-            if wide or int(np.abs(query).max(initial=0)).bit_length() > WIDEST:
-                rows = plain if wide else (np.frombuffer(held["low"], np.int64) + _unsliced(index, len(ids))).astype(object)
-                all_ = [max(-(2**63), min(2**63 - 1, int(s))) for s in rows @ query.astype(object)]
-                at = sorted((r for r in range(len(ids)) if ids[r] != q_id), key=lambda r: (-all_[r], r))[:k]
-                out.append((np.full(len(at), q_id), ids[at], np.array([all_[r] for r in at], np.int64)))
-            else:
-                at, score = top_rows(low, index, len(ids), query, skip, k)
-                out.append((np.full(len(at), q_id), ids[at], score))
-        joined = [np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int64) for c in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined], names=["query_id", "vec_id", "score"])
-
-    found = search(index, one_a_query(usable(queries)), answer, "query_id long, vec_id long, score long", GROUP)
-    return best(found, k)
-
-
-def _unsliced(index: np.ndarray, n: int) -> np.ndarray:
-    """The integers that the slices hold, rows by attributes."""
-    bits = np.unpackbits(index.view(np.uint8), axis=2, bitorder="little")[:, :, :n].astype(np.int64)
-    return (bits << np.arange(index.shape[1])[None, :, None]).sum(axis=1).T
+            at, scores = top_rows(low, index, len(ids), query, skip, k)
+            out += [(q_id, int(ids[r]), max(-(2**63), min(2**63 - 1, s)), sort_key(s)) for r, s in zip(at.tolist(), scores, strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["query_id", "vec_id", "score", "exact"])
+
+    found = search(index, one_a_query(usable(queries)), answer, "query_id long, vec_id long, score long, exact binary", GROUP)
+    return best(found, k, "exact")

@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Spark counts the n-grams of a bounded, stratified sample of labelled rows; the matrix of log-probabilities (at most
-``MATRIX_MB``) is broadcast, and every whole text is scored in numpy, batch by batch.
+Spark counts the n-grams of a bounded, stratified sample of labelled rows; the matrix of log-probabilities (128 KB a
+language) is broadcast. Every batch of whole texts is a sparse matrix of texts by n-gram buckets, kept as the buckets of all
+n-grams and each text's first one, and numpy multiplies it by the log-probabilities.
 """
 
 from __future__ import annotations
@@ -19,30 +20,54 @@ from meridix.llm.common import held_out, learning_share
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows a language that learning reads (about; whole texts), the largest matrix, and the hashed n-grams.
-SAMPLE_PER_LANG, MATRIX_MB, BUCKET_BITS, ORDERS = 4000, 32, 15, (1, 2, 3)
-CHUNK = 1 << 19
+#: Rows a language that learning reads (about; whole texts), hashed n-grams and their lengths, and most languages (a broadcast of 1 GB).
+SAMPLE_PER_LANG, BUCKET_BITS, ORDERS, MOST_LANGS = 4000, 15, (1, 2, 3), 8192
+#: Characters that are scored at once (a longer text in parts), and languages at once.
+CHUNK, LANGS_AT_ONCE = 1 << 18, 64
 SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
-def ngram_buckets(text: str, bits: int) -> np.ndarray:
-    """Buckets of all character n-grams of the lower-cased text."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out, h = [], np.zeros(len(codes) + 1, np.uint64)
+def codes_of(text: str) -> np.ndarray:
+    """Code points of the lower-cased text."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def ngrams(codes: np.ndarray, owner: np.ndarray, lead: int = 0):
+    """For each order the buckets of all n-grams within one owner, and their owners; n-grams that end in the first ``lead`` characters are left out."""
+    codes = codes.astype(np.uint64)
+    h = np.zeros(len(codes) + 1, np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if len(codes) < n:
-            break
+            return
         h = (h[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(1)) * SALTS[n - 1]
         h ^= h >> np.uint64(29)
         if n in ORDERS:
-            out.append((h * SALTS[-1]) >> np.uint64(64 - bits))
-    return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
-
-
-def chunks(text: str):
-    """Pieces of a very long text that overlap by one n-gram less one character, so that memory stays bounded and no n-gram above order 1 is lost."""
-    for at in range(0, max(len(text), 1), CHUNK):
-        yield text[max(0, at - max(ORDERS) + 1) : at + CHUNK]
+            whole = owner[: len(codes) - n + 1] == owner[n - 1 :]
+            whole[: max(0, lead - n + 1)] = False
+            yield ((h * SALTS[-1]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[whole], owner[: len(codes) - n + 1][whole]
+
+
+def windows(texts: list[np.ndarray]):
+    """(codes, owner, lead) for ``ngrams``: texts side by side up to CHUNK characters; a longer text by itself in parts, each led by the end of the one before, so that every n-gram counts once."""
+    held, size = [], 0
+
+    def out():
+        return np.concatenate([texts[k] for k in held]), np.repeat(held, [len(texts[k]) for k in held]), 0
+
+    for k, codes in enumerate(texts):
+        if len(codes) > CHUNK:
+            for at in range(0, len(codes), CHUNK):
+                first = max(0, at - max(ORDERS) + 1)
+                part = codes[first : at + CHUNK]
+                yield part, np.full(len(part), k), at - first
+            continue
+        if held and size + len(codes) > CHUNK:
+            yield out()
+            held, size = [], 0
+        held.append(k)
+        size += len(codes)
+    if held:
+        yield out()
 
 
 @dataclass
@@ -51,29 +76,36 @@ class LanguageModel:
 
     labels: list[str]
     table: np.ndarray
-    bits: int
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its posterior; ``und`` and 0 without a letter or without a learned language. Ties go to the first label."""
-        if not self.labels or not text or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        total = np.zeros(len(self.labels))
-        for piece in chunks(text):
-            total += self.table[ngram_buckets(piece, self.bits)].sum(axis=0, dtype=np.float64)
-        odds = np.exp(total - total.max())
-        return self.labels[int(total.argmax())], float(odds.max() / odds.sum())
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language of each text and its posterior; ``und`` and 0 without a letter or without a learned language. Ties go to the first label."""
+        some = [k for k, t in enumerate(texts) if self.labels and t and any(map(str.isalpha, t))]
+        total = np.zeros((len(some), len(self.labels)))
+        for codes, owner, lead in windows([codes_of(texts[k]) for k in some]):
+            for buckets, of in ngrams(codes, owner, lead):
+                if len(of):
+                    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                    for at in range(0, len(self.labels), LANGS_AT_ONCE):
+                        own = slice(at, at + LANGS_AT_ONCE)
+                        total[of[first], own] += np.add.reduceat(self.table[buckets, own], first, axis=0, dtype=np.float64)
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if some:
+            best = total.argmax(axis=1)
+            scores[some] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            for k, b in zip(some, best.tolist(), strict=True):
+                langs[k] = self.labels[b]
+        return langs, scores
 
 
 def learn(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Learn from rows with text and lang that are not held out: about ``sample_per_lang`` whole texts a language, chosen by a hash of the id."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
     labels = sorted(counts)
-    bits = BUCKET_BITS
-    while bits > 8 and len(labels) << bits > MATRIX_MB << 18:
-        bits -= 1
+    if len(labels) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not labels:
-        return LanguageModel([], np.empty((0, 0)), bits)
+        return LanguageModel([], np.empty((1 << BUCKET_BITS, 0), np.float32))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_per_lang / n))]), F.col("lang"))
     sample = rows.where(learning_share(F.col("doc_id"), share))
 
@@ -88,45 +120,48 @@ def learn(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageMo
 
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if lang not in held and len(held) >= 64:
+                if lang not in held and len(held) >= LANGS_AT_ONCE:
                     yield from flush()
-                n = held.setdefault(lang, np.zeros(1 << bits, np.int64))
-                for piece in chunks(text):
-                    n += np.bincount(ngram_buckets(piece, bits), minlength=1 << bits)
+                n = held.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
+                for window in windows([codes_of(text)]):
+                    for buckets, _ in ngrams(*window):
+                        n += np.bincount(buckets, minlength=1 << BUCKET_BITS)
         yield from flush()
 
     got = sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros((1 << bits, len(labels)))
+    n = np.zeros((1 << BUCKET_BITS, len(labels)))
     column = {x: k for k, x in enumerate(labels)}
     n[got["bucket"].to_numpy(), [column[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
-    return LanguageModel(labels, np.log((n + 0.5) / (n + 0.5).sum(axis=0)).astype(np.float32), bits)
+    return LanguageModel(labels, np.log((n + 0.5) / (n + 0.5).sum(axis=0)).astype(np.float32))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score. Learns from ``docs`` unless a model is given.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no language could be learned;
-    a null id counts as an empty one for the hold-out; equal rows give equal rows; other columns are ignored."""
+    a null id counts as an empty one for the hold-out; equal rows give equal rows; an empty table gives no rows; other
+    columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            langs, scores = shared.value.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_recognised(docs: DataFrame, least: float, model: LanguageModel | None = None) -> DataFrame:
-    """The rows of ``docs`` whose predicted language is not ``und`` and has a posterior of at least ``least``, with their columns as they are."""
+    """The rows of ``docs`` whose predicted language is not ``und`` and has a posterior of at least ``least``, with their columns as they are.
+
+    Null texts and texts without a letter go, and so does everything if no language could be learned; null ids stay; equal
+    rows stay or go together; columns may have any names; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
     at = docs.columns.index("text")
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            langs, scores = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -362,7 +362,7 @@ def _similar_sizes(a: str, b: str):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, and text_hash.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash, and comp, a number for its component (null for a text without shingles).
 
     Null and empty texts, and texts of white space only, have no shingles and are linked with nothing: each is its own
     component. Fewer words than a shingle has are one shingle. Equal rows and equal texts share a component; null ids
@@ -390,18 +390,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = classes.select("class_no", "key", "doc_id").join(roots, F.col("class_no") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "class_no")).select("key", "doc_id", "comp")
     tops = roots.select("root").distinct()
     linked = least.join(tops, F.col("comp") == F.col("root"), "left_semi").groupBy("comp").agg(F.min("doc_id").alias("least_id"))
-    by_key = least.join(linked, "comp", "left").select("key", F.coalesce("least_id", "doc_id").alias("component_id"))
+    by_key = least.join(linked, "comp", "left").select("key", F.coalesce("least_id", "doc_id").alias("component_id"), "comp")
     slim = profiles.select("doc_id", "n_shingles", "text_hash", "key")
-    named = slim.where("key is not null").join(by_key, "key").select("doc_id", "n_shingles", "component_id", "text_hash")
-    bare = slim.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
-    return named.union(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "text_hash")
+    named = slim.where("key is not null").join(by_key, "key").select("doc_id", "n_shingles", "component_id", "text_hash", "comp")
+    bare = slim.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("comp"))
+    return named.union(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "text_hash", "comp")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that near_duplicates doesn't keep, with its columns as they are. Equal rows become one; a row without an id goes if a row of its component has one, else it stays."""
+    """One row of ``docs`` for each component of near_duplicates, with its columns as they are: a row with the smallest doc_id, null ids last, then the least hash of the text.
+
+    Texts without shingles (null, empty, white space) are linked with nothing and stay. Rows that are equal in doc_id and
+    text become one; if their other columns differ, the one with the least hash of the others stays. Columns may have any
+    names; an empty table gives no rows."""
     found = materialize(near_duplicates(docs), "dup-result")
-    gone = found.where("not kept and component_id is not null").select("doc_id", "text_hash").distinct()
-    again = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    left = keyed.join(small(gone.toDF("_gone", "_text"), gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_text")), "left_anti")
-    return (left if again.isEmpty() else left.dropDuplicates(["doc_id", "_hash"])).drop("_hash")
+    first = found.where("kept or component_id is null")
+    gone = found.where("not kept and component_id is not null").select("doc_id", "text_hash")
+    # Rows of one component that share its smallest id, or all have none.
+    several = first.where("comp is not null").groupBy("comp").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least < most")
+    gone = gone.union(first.join(several, "comp").where("text_hash != least").select("doc_id", "text_hash")).distinct()
+    again = first.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
+    # Own names only: no column of the caller's can clash inside the struct.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("at"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    same = F.col("at").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    left = held.join(small(gone, gone.count()), same, "left_anti")
+    more = again.count()
+    if more:
+        plain = [F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        equal = left.join(small(again, more), same, "left_semi").groupBy("at", "hash").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+        left = left.join(small(again, more), same, "left_anti").select("row").union(equal.select("row"))
+    return left.select("row.*")

@@ -56,7 +56,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "comp")
 
 
 def queries() -> dict:

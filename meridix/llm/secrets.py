@@ -204,7 +204,7 @@ def find_secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by its kind in brackets; ``n_chars``, if there is one, counts the new text. Null texts stay null; all rows and other columns stay."""
+    """``docs`` with every secret replaced by its kind in brackets; ``n_chars``, if there is one, counts the new text. Null texts stay null and empty ones empty; all rows, repeated ones too, and other columns, of any names, stay as they are; an empty table gives no rows."""
     at, kept = docs.columns.index("text"), docs.schema
 
     def run(batches):

@@ -89,9 +89,9 @@ def search(candidates: DataFrame, queries: DataFrame, answer, schema: str, query
     return pairs.mapInArrow(run, schema)
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query, ties to the smaller id. Spark keeps k a query before it shuffles."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def best(found: DataFrame, k: int, by: str = "score") -> DataFrame:
+    """The k highest scores (by the column ``by``) of each query, ties to the smaller id. Spark keeps k a query before it shuffles."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -59,12 +59,57 @@ def test_mixing_meets_targets_and_limits(docs, texts):
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] for s in target)
 
 
+def test_mixing_equals_brute_force(docs, texts):
+    """Draws, permutations, packing and the join by index, worked out row by row."""
+    plan = mixing.mix(docs)
+    sources = sorted(plan.sources.collect(), key=lambda r: r["source_no"])
+    names = sorted({r["source"] for r in docs.collect()}, key=lambda x: (x is None, x))
+    assert [r["source"] for r in sources] == names and [r["weight"] for r in sources] == [k % 3 + 1 for k in range(len(names))]
+    quota, room = np.array([round(r["quota"] * 1e6) for r in sources]) / 1e6, np.array([3 * r["blocks"] for r in sources])
+    n, left, counts = round(quota.sum()), quota.copy(), np.zeros(len(sources), int)
+    rng = np.random.Generator(np.random.Philox(key=[mixing.SEED, mixing.GROUPS]))
+    for k in range(mixing.SHARDS):
+        got = rng.multinomial(n // mixing.SHARDS + (k < n % mixing.SHARDS), np.maximum(left, 0) / np.maximum(left, 0).sum())
+        left, counts = left - got, counts + got
+    uses = defaultdict(int)
+    for r, total in zip(sources, counts, strict=True):
+        slot = np.arange(total)
+        for block in mixing.permuted(slot % r["blocks"], slot // r["blocks"], r["blocks"], r["source_no"]):
+            uses[r["source_no"], int(block)] += 1
+    # The data have a source that reaches its limit in no shard; else draws beyond the room would be dealt anew.
+    assert (counts <= room).all()
+    taken = defaultdict(int)
+    for r in plan.documents.collect():
+        for word in range(r["start"], r["start"] + r["size"]):
+            taken[r["doc_id"]] += uses[r["source_no"], word // mixing.BLOCK]
+    assert {r["doc_id"]: r["taken"] for r in plan.taken().collect()} == {k: taken[k] for k in texts}
+    # The draw of each shard decides what is taken.
+    assert sorted(mixing.mix(docs, 1).taken().collect()) != sorted(plan.taken().collect())
+
+
+def test_draws_stay_within_the_room():
+    lacking, room = np.array([10.0, 1.0, 0.0, -2.0]), np.array([3, 40, 5, 5])
+    for seed in range(20):
+        got = mixing.draw(np.random.default_rng(seed), 30, lacking, room)
+        assert got.sum() == 30 and (got <= room).all() and got[2] == got[3] == 0
+    assert mixing.draw(np.random.default_rng(1), 100, lacking, room).tolist() == room.tolist()
+
+
 def test_mixing_awkward_rows(awkward, nothing):
     got = mixing.mix(awkward).taken().collect()
     assert len(got) == len(AWKWARD) and all(r["taken"] <= 3 * r["size"] for r in got)
     assert mixing.mix(nothing).taken().count() == 0
 
 
+def test_mixing_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 16)
+    rows = spark.createDataFrame([(1, "one two three", "a")] * 100 + [(2, "word " * 5000, "b"), (3, "", "b")] * 2, "doc_id long, text string, source string")
+    plan = mixing.mix(rows)
+    got = plan.taken().collect()
+    assert len(got) == 104 and sum(r["taken"] for r in got if r["doc_id"] == 1) == pytest.approx(900, abs=64) and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert sum(len(words(r["text"])) for r in mixing.mixed_documents(rows, plan).collect()) == sum(r["taken"] for r in got)
+
+
 def test_permutation_is_one():
     for size in (1, 2, 7, 1000):
         assert sorted(mixing.permuted(np.arange(size), np.full(size, 3), size, 5)) == list(range(size))
@@ -169,13 +214,31 @@ def test_bit_slices_equal_brute_force(spark):
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (1000, [1.0, float("nan")] + [0.0] * 7), (1100, []), (None, x[0].tolist()), (1200, [1e30] * 9), (1300, [1.0, 2.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = bitsliced.top_products(table, table.where("vec_id % 100 = 0"), 10).collect()
-    good = {k: [max(-(2**62), min(2**62 - 512, int(np.floor(1024.0 * np.float64(np.float32(c)))))) for c in v] for k, v in rows if k is not None and v and all(np.isfinite(v))}
+    good = {k: [int(np.floor(1024.0 * np.float64(np.float32(c)))) for c in v] for k, v in rows if k is not None and v and all(np.isfinite(v))}
     clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     for q in (k for k in good if k % 100 == 0):
-        want = sorted(((-clip(sum(a * b for a, b in zip(good[q], v, strict=True))), k) for k, v in good.items() if k != q and len(v) == len(good[q])))[:10]
+        want = sorted(((-sum(a * b for a, b in zip(good[q], v, strict=True)), k) for k, v in good.items() if k != q and len(v) == len(good[q])))[:10]
+        want = [(-clip(-s), k) for s, k in want]
         assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+def test_bit_slices_of_any_width(spark):
+    """Components beyond 24, 52 and 64 bits: ranks follow the exact scores, and scores that no long holds stop at its ends."""
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=4) * 10.0 ** rng.choice([0, 6, 14, 18, 40, 200])).tolist()) for k in range(300)] + [(400, [1e308] * 4), (500, [-1e308, 1.0, 2.0, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {k: [int(np.floor(1024.0 * c)) if abs(c) < 2.0**52 else int(c) * 1024 for c in v] for k, v in rows}
+    got = bitsliced.top_products(table, table.where("vec_id % 100 = 0"), 10).collect()
+    for q in (0, 100, 200, 400, 500):
+        want = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), k) for k, v in exact.items() if k != q)[:10]
+        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [(r["vec_id"], r["score"]) for r in own] == [(k, max(-(2**63), min(2**63 - 1, -s))) for s, k in want]
+    numbers = sorted([0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**300, -(2**300)])
+    assert sorted(numbers, key=bitsliced.sort_key) == numbers
+    none = table.limit(0)
+    assert bitsliced.top_products(none, none).count() == 0 and bitsliced.top_products(table, none).count() == 0
+
+
 def test_additive_quantisation_recall(spark):
     rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     v = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
@@ -276,6 +339,34 @@ def test_language_held_out_accuracy(docs, awkward, nothing):
     assert langid.identify(nothing).count() == 0
 
 
+def test_language_scores_equal_brute_force(spark, docs, texts, monkeypatch):
+    """Every n-gram of a text counts once, whatever batch or part of a long text it lies in."""
+    model = langid.learn(docs)
+
+    def brute(text):
+        codes, total = [ord(c) for c in text.lower()], np.zeros(len(model.labels))
+        for at in range(len(codes)):
+            h = 0
+            for n in (1, 2, 3):
+                if at + n > len(codes):
+                    break
+                h = (h + codes[at + n - 1] + 1) * int(langid.SALTS[n - 1]) % (1 << 64)
+                h ^= h >> 29
+                total += model.table[h * int(langid.SALTS[-1]) % (1 << 64) >> 64 - langid.BUCKET_BITS]
+        odds = np.exp(total - total.max())
+        return model.labels[int(total.argmax())], odds.max() / odds.sum()
+
+    some = [t for _, t in sorted(texts.items())][:30] + ["x", "ab", "né à 9", None, "", "12 34"]
+    monkeypatch.setattr(langid, "CHUNK", 700)
+    monkeypatch.setattr(langid, "LANGS_AT_ONCE", 3)
+    langs, scores = model.predict(some)
+    for text, lang, score in zip(some, langs, scores, strict=True):
+        want = brute(text) if text and any(map(str.isalpha, text)) else ("und", 0.0)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-6)
+    long = np.arange(800_000) % 97
+    assert sum(len(b) for w in langid.windows([long]) for b, _ in langid.ngrams(*w)) == 3 * 800_000 - 3
+
+
 def test_bpe_equals_the_library(spark, docs, texts, awkward, nothing):
     from tokenizers import Tokenizer
 
@@ -377,6 +468,30 @@ def test_near_duplicates_chains_and_awkward_rows(spark, awkward):
     assert kept.columns == awkward.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
+CLASHING = "doc_no source_no pieces row key size start n copy place block words uses taken target least k0 k1 k2 k3 k4 text_hash text_hash2 _hash _text _gone _doc_no _pieces _at _part _n sub component_id kept chunk part ids decoded score held_out lang_pred".split()
+
+
+def test_stages_on_awkward_clashing_and_empty_tables(spark, docs, awkward, nothing):
+    import corpus_pipeline
+
+    for table in (awkward, nothing, awkward.limit(0)):
+        wide = table.selectExpr("doc_id", "text", "lang", "source", "length(text) as n_chars", *[f"'{c}!' as `{c}`" for c in CLASHING])
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, wide, FOLDER)
+            assert got.columns == wide.columns, name
+            rows = got.collect()
+            assert all(r[c] == f"{c}!" for r in rows for c in CLASHING) and all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None), name
+            assert bool(rows) == bool(table.count()) or name == "language_id"
+        assert corpus_pipeline.encode(spark, wide, FOLDER).count() == wide.count()
+
+
+def test_representatives_of_rows_without_ids(spark):
+    a, b = "one two three four five six seven eight", "one  two three four five SIX seven eight"
+    rows = [(None, a, 1), (None, a, 2), (None, b, 3), (None, "x", 4), (None, "", 5), (None, "", 5), (3, "y z", 6), (3, "y  z", 7), (4, "y z", 8), (None, "y z", 9)]
+    got = neardup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 0, 3] and {" ".join(words(r["text"].lower())) for r in got} == {a, "x", "", "y z"}
+
+
 def test_pipeline_keeps_its_contract(spark, texts):
     import corpus_pipeline
 
