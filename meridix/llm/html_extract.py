@@ -1,16 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host by simple tree matching. Reference blocks whose text
-is the same on most of the host's pages are its template; an aligned block that repeats template text is dropped, and
-what varies is content. Elements that by tag, role or class are menus, notices, forms and the like never count as content.
-Every page takes part in the induction: pages send counts for the reference's nodes, not their text.
+Pages of one host and layout are aligned with a reference page by simple tree matching. Reference blocks whose text is the
+same on most of those pages, versions of one article counted out, are the template; an aligned block that repeats template
+text is dropped, and what varies is content. Elements that by tag, role or class are menus, headers, footers, sidebars,
+notices, adverts, forms or comments never count as content. Every page takes part in the induction: pages send counts for
+the reference's nodes, not their text.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -18,14 +18,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridix.llm.common import materialize
+from meridix.llm.common import materialize, small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Least pages of a host for a template, least share of them that repeat a node's text, most bytes of references that are broadcast.
-LEAST_PAGES, LEAST_SHARE, BROADCAST_BYTES = 3, 0.5, 32 << 20
-#: Inside the main text a page that has at least COPY_SHARE of the reference's main text, or the other way round, is a version of it and proves nothing, unless the host has MANY_PAGES pages and MOST_SHARE of them repeat the block.
-COPY_SHARE, MANY_PAGES, MOST_SHARE = 0.5, 20, 0.9
+#: Least pages for a template, least share of them that repeat a node's text, pages from which a layout has a reference of its own, most bytes of references that are broadcast.
+LEAST_PAGES, LEAST_SHARE, LAYOUT_PAGES, BROADCAST_BYTES = 3, 0.5, 6, 32 << 20
+#: A page is a version of the reference, and proves nothing, if its main text shares COPY_SHARE of what lies between the least share that any page has (the template's) and all; shares are counted in SHARES steps. From MANY_PAGES pages on, what MOST_SHARE of all pages repeat is template too.
+COPY_SHARE, SHARES, MANY_PAGES, MOST_SHARE = 0.5, 20, 20, 0.9
 #: Elements deeper than this become siblings, but their end tags and furniture count; child lists whose product is larger are aligned in linear memory.
 MOST_DEPTH, MOST_PAIRS = 150, 40_000
 
@@ -33,8 +33,8 @@ MOST_DEPTH, MOST_PAIRS = 150, 40_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("script style title noscript iframe template head nav aside footer form button select textarea input dialog menu svg canvas object embed audio video map math label option xmp noembed noframes".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside rail footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall share sharing social socials related recommended recommendations teaser teasers comment comments commentlist disqus respond reply replies discussion login signin search searchbox widget widgets toolbar pagination pager copyright legal disclaimer tags tagcloud skip hidden".split())
+NEVER = frozenset("script style title noscript iframe template head nav aside footer form button select textarea input dialog menu svg canvas embed audio video map option xmp noembed noframes".split())
+NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead banner footer sidebar aside notice notices cookie cookies consent ad ads advert adverts advertisement sponsor sponsored promo form search login newsletter signup comment comments commentlist respond reply replies".split())
 #: Elements that a name makes furniture by a part of a class or id; inside an article and for other elements a whole class must consist of names.
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form figure fieldset details menu iframe".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
@@ -58,7 +58,7 @@ class Node:
 
 
 def _element(tag: str, attrs: str, inside_article: bool) -> Node:
-    names, label, furniture = (), tag, tag in NEVER and not (inside_article and tag in ("math", "label")) or tag == "header" and not inside_article
+    names, label, furniture = (), tag, tag in NEVER or tag == "header" and not inside_article
     if attrs and "=" in attrs or attrs.strip() == "hidden":
         got = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(attrs)}
         marks = f"{got.get('class', '')} {got.get('id', '')}".lower()
@@ -212,9 +212,20 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-@lru_cache(maxsize=256)
-def _reference(html: str) -> Node:
-    return parse(html)
+class References:
+    """Reference pages of a task, parsed once each; the oldest gives way beyond MOST."""
+
+    MOST = 256
+
+    def __init__(self):
+        self.trees: dict[str, Node] = {}
+
+    def __call__(self, html: str) -> Node:
+        if html not in self.trees:
+            if len(self.trees) >= self.MOST:
+                self.trees.pop(next(iter(self.trees)))
+            self.trees[html] = parse(html)
+        return self.trees[html]
 
 
 def _size(node: Node) -> int:
@@ -222,8 +233,8 @@ def _size(node: Node) -> int:
 
 
 def _numbers(area: Node) -> dict[int, int]:
-    """Numbers of an article's or main element's blocks without furniture, and the lengths of their texts; nothing for a whole page."""
-    found, todo = {}, [area] if area.tag else []
+    """Numbers of an area's blocks without furniture, and the lengths of their texts."""
+    found, todo = {}, [area]
     while todo:
         node = todo.pop()
         found[node.number] = len(node.own)
@@ -281,68 +292,85 @@ def blocks_of(node: Node, dropped: set[int]) -> list[str]:
     return out
 
 
-def main_text(html: str | None, reference: str | None = None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Main text of a page; ``template`` numbers the nodes of the reference whose text belongs to the host's template."""
+def main_text(html: str | None, reference: Node | None = None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """Main text of a page; ``template`` numbers the nodes of the reference whose text belongs to the template."""
     page = parse(html)
     dropped: set[int] = set()
     if reference and template:
-        dropped = {id(p) for p, r in matched(page, _reference(reference)) if r.number in template and p.own and p.own == r.own}
+        dropped = {id(p) for p, r in matched(page, reference) if r.number in template and p.own and p.own == r.own}
     area = _main(page)
     found = blocks_of(area, dropped)
     return "\n\n".join(found or blocks_of(area, set()))
 
 
+def _layout(html):
+    """A number for the classes of the page's containers, digits aside, and for whether it has an article or a main element."""
+    classes = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)<(?:body|div|section|main|article|table|ul|ol)\b[^>]*?\bclass\s*=\s*[\x22']?([^\x22'>]*)"), F.lit(1)))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(classes, lambda c: F.regexp_replace(c, "[0-9]+", "0")))), F.contains(html, F.lit("<article")), F.contains(html, F.lit("<main")))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
-    Null and empty html has an empty text; broken markup is read as far as it goes. Pages without a url form one host, and
-    hosts with fewer than LEAST_PAGES pages have no template. Of equal pages each keeps its row; null ids stay null; other
-    columns are ignored; an empty table gives no rows."""
+    Null and empty html has an empty text; broken markup is read as far as it goes. Pages without a url form one host. A
+    layout (_layout) with LAYOUT_PAGES pages of a host has a reference page of its own, the host's other pages share one;
+    fewer than LEAST_PAGES pages have no template. Of equal pages each keeps its row; null ids stay null; other columns are
+    ignored; an empty table gives no rows."""
     host = F.coalesce(F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))), F.lit(""))
-    p = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host)
-    chosen = p.groupBy("host").agg(F.min_by("html", F.xxhash64("html", "url")).alias("reference"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    p = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host).withColumn("layout", _layout(F.col("html")))
+    own = materialize(p.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LAYOUT_PAGES).select("host", "layout", F.lit(True).alias("own")), "html-layouts")
+    p = p.join(small(own, own.count()), ["host", "layout"], "left").withColumn("layout", F.when(F.col("own"), F.col("layout")).otherwise(F.lit(0).cast("long"))).drop("own")
+    chosen = p.groupBy("host", "layout").agg(F.min_by("html", F.xxhash64("html", "url")).alias("reference"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     refs = materialize(chosen, "html-references")
 
     def near(table: DataFrame) -> DataFrame:
+        # Beyond that size the join is shuffled, and Spark splits the pages of a skewed host, since each has one reference.
         bytes_ = refs.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
         return F.broadcast(table) if bytes_ <= BROADCAST_BYTES else table
 
     def compare(batches):
-        # Node -1 counts the host's pages that are no versions of the reference.
-        same: dict[tuple[str, int, bool], list[int]] = {}
+        # Counts of pages by node and by the share of main text that they have in common with the reference; node -1 counts pages.
+        same: dict[tuple[str, int, int, int], int] = {}
+        trees = References()
         for batch in batches:
-            for host, html, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                page, model = parse(html), _reference(reference)
+            for host, layout, html, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "reference")), strict=True):
+                page, model = parse(html), trees(reference)
                 alike = [(a, b) for a, b in matched(page, model) if b.own and a.own == b.own]
-                inside, own = _numbers(_main(model)), _numbers(_main(page))
-                common = sum(len(b.own) for a, b in alike if b.number in inside and a.number in own)
-                far = int(common < COPY_SHARE * min(sum(inside.values()), sum(own.values())))
-                for key in [(host, b.number, b.number in inside) for a, b in alike] + [(host, -1, False)]:
-                    got = same.setdefault(key, [0, 0])
-                    got[0] += 1
-                    got[1] += far
+                inside, outside = _numbers(_main(model)), _numbers(_main(page))
+                common = sum(len(b.own) for a, b in alike if b.number in inside and a.number in outside)
+                share = SHARES * common // max(1, min(sum(inside.values()), sum(outside.values())))
+                for number in [-1, *(b.number for _, b in alike)]:
+                    key = (host, layout, number, share)
+                    same[key] = same.get(key, 0) + 1
             if len(same) > 200_000:
                 yield _counted(same)
                 same = {}
         yield _counted(same)
 
-    seen = p.join(near(refs), "host").select("host", "html", "reference").mapInArrow(compare, "host string, node int, inside boolean, same long, far long").groupBy("host", "node", "inside").agg(F.sum("same").alias("same"), F.sum("far").alias("far"))
+    group = ["host", "layout"]
+    seen = p.join(near(refs.select(*group, "reference")), group).select(*group, "html", "reference").mapInArrow(compare, "host string, layout long, node int, share int, same long").groupBy(*group, "node", "share").agg(F.sum("same").alias("same"))
     seen = materialize(seen, "html-support")
-    others = seen.where("node < 0").select("host", F.col("far").alias("others"))
+    least = seen.where("node < 0").groupBy(*group).agg(F.min("share").alias("least"))
+    far = F.col("share") < F.col("least") + COPY_SHARE * (SHARES - F.col("least"))
+    seen = seen.join(least, group).groupBy(*group, "node").agg(F.sum("same").alias("same"), F.coalesce(F.sum(F.when(far, F.col("same"))), F.lit(0)).alias("far"))
+    others = seen.where("node < 0").select(*group, F.col("far").alias("others"))
     # The reference is one page more.
-    independent = (F.col("others") + 1 >= LEAST_PAGES) & (F.col("far") + 1 >= LEAST_SHARE * (F.col("others") + 1)) & (F.col("far") + 1 >= LEAST_PAGES)
-    common = (F.col("pages") >= MANY_PAGES) & (F.col("same") >= MOST_SHARE * F.col("pages"))
-    constant = seen.where("node >= 0").join(refs.select("host", "pages"), "host").join(others, "host").where(F.when(F.col("inside"), independent | common).otherwise(F.col("same") >= LEAST_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("node").alias("template"))
-    wrappers = materialize(refs.join(constant, "host").select("host", "reference", "template"), "html-wrappers")
+    independent = (F.col("far") + 1 >= LEAST_SHARE * (F.col("others") + 1)) & (F.col("far") + 1 >= LEAST_PAGES)
+    everywhere = (F.col("pages") >= MANY_PAGES) & (F.col("same") >= MOST_SHARE * F.col("pages"))
+    constant = seen.where("node >= 0").join(refs.select(*group, "pages"), group).join(others, group).where(independent | everywhere).groupBy(*group).agg(F.collect_list("node").alias("template"))
+    wrappers = materialize(refs.join(constant, group).select(*group, "reference", "template"), "html-wrappers")
 
     def text_of(batches):
+        trees = References()
         for batch in batches:
-            texts = [main_text(h, r, set(t or ())) for h, r, t in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "template")), strict=True)]
+            texts = [main_text(h, r and trees(r), set(t or ())) for h, r, t in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "template")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return p.join(near(wrappers), "host", "left").select("page_id", "url", "html", "reference", "template").mapInArrow(text_of, f"page_id {kind}, url string, text string, n_chars long")
+    return p.join(near(wrappers), group, "left").select("page_id", "url", "html", "reference", "template").mapInArrow(text_of, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def _counted(same: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in same], pa.string()), pa.array([k[1] for k in same], pa.int32()), pa.array([k[2] for k in same], pa.bool_()), *(pa.array([n[c] for n in same.values()], pa.int64()) for c in (0, 1))], names=["host", "node", "inside", "same", "far"])
+    columns = list(zip(*((*k, n) for k, n in same.items()), strict=True)) or [()] * 5
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "layout", "node", "share", "same"])
