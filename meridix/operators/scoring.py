@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridix.functions.text import decimal
+from meridix.functions.vocabulary import INTENT_RULES
 from meridix.operators.windows import first_wins
 
-# Signal weights and half-lives in days; a weight of zero is context only.
-SIGNALS = (("signup", 2.4, 30), ("purchase", 3.0, 60), ("click", 1.2, 14), ("view", 0.6, 7), ("error", 0.0, 7))
-PURPOSE = (("signup", "trial"), ("purchase", "commercial"), ("click", "interest"), ("view", "interest"))
+#: What kind of signal an event is; its weight and half-life in days come from the rule table, and context has no weight.
+EVENT_SIGNALS = {"signup": "trial_install", "purchase": "sdk_install", "click": "pricing_visit", "view": "docs_visit", "error": "dark_funnel"}
+SIGNALS = tuple((event, float(INTENT_RULES[s][0]), INTENT_RULES[s][1]) if s in INTENT_RULES else (event, 0.0, 1) for event, s in EVENT_SIGNALS.items())
 
 
 def signal_rules(df: DataFrame) -> DataFrame:
@@ -32,24 +33,11 @@ def intent_scores(events: DataFrame, today: str) -> DataFrame:
     return raw.select("user_id", "n_signals", decimal(F.col("raw"), 4).alias("raw_intent"), decimal(F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.col("raw"))), 2).alias("intent"))
 
 
-def priority(intent: Column, fit: Column) -> Column:
-    """P1 to P4: the first rule that holds."""
-    return F.when((intent >= 4) & (fit >= 6), "P1").when((intent >= 3) | (fit >= 8), "P2").when((intent >= 1.5) | (fit >= 5), "P3").otherwise("P4")
-
-
 def traffic_class(agent: Column, method: Column, repeats: Column, hints: Column) -> Column:
     """automated, unknown or human_candidate, by the first rule that holds."""
     return F.when(agent.rlike(r"(?i)bot|crawl|spider|preview|scanner|proxy"), "automated").when(method != "GET", "automated").when(repeats >= 20, "automated").when(hints >= 2, "human_candidate").otherwise("unknown")
 
 
-def reply_class(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """The label of the first pattern that a text matches; empty texts are unclassified."""
-    out = F.lit(default)
-    for pattern, label in reversed(rules):
-        out = F.when(text.rlike(pattern), label).otherwise(out)
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "unclassified").otherwise(out)
-
-
 def backoff_seconds(attempt: Column, base: int = 60, cap: int = 3600, most: int = 3) -> Column:
     """Seconds until the next attempt; null when there is none."""
     return F.when(attempt >= most, F.lit(None)).otherwise(F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(cap)))).cast("long")

@@ -14,7 +14,6 @@ TODAY = "2024-01-31"
 RULES = "(VALUES " + ", ".join(f"('{t}', CAST({w} AS DOUBLE), {h})" for t, w, h in scoring.SIGNALS) + ") r(event_type, weight, half_life)"
 COMPONENTS = f"""SELECT user_id, event_type, event_id, greatest(0, datediff('day', CAST(ts AS DATE), DATE '{TODAY}')) AS age_days, weight * pow(2.0::DOUBLE, -greatest(0, datediff('day', CAST(ts AS DATE), DATE '{TODAY}'))::DOUBLE / half_life) AS value FROM (SELECT e.*, r.weight, r.half_life, row_number() OVER (PARTITION BY user_id, e.event_type ORDER BY event_id) AS k FROM events e JOIN {RULES} ON e.event_type = r.event_type WHERE weight > 0) WHERE k = 1"""
 SCORES = f"""SELECT user_id, count(*) AS n_signals, CAST(round(sum(value), 4) AS DECIMAL(18, 4)) AS raw_intent, CAST(round(least(10.0, greatest(0.0, sum(value))), 2) AS DECIMAL(18, 2)) AS intent FROM ({COMPONENTS}) GROUP BY user_id"""
-PRIORITY = "CASE WHEN intent >= 4 AND fit >= 6 THEN 'P1' WHEN intent >= 3 OR fit >= 8 THEN 'P2' WHEN intent >= 1.5 OR fit >= 5 THEN 'P3' ELSE 'P4' END"
 
 
 @query(f"SELECT *, CASE WHEN intent >= 3 THEN 'hot' WHEN intent >= 1.5 THEN 'warm' ELSE 'cold' END AS band FROM ({SCORES})")
@@ -28,19 +27,16 @@ def score_component_ledger(spark, folder):
     return scoring.intent_components(table(spark, folder, "events"), TODAY).withColumn("value", decimal(F.col("value"), 4))
 
 
-@query(f"SELECT c_custkey, c_mktsegment, coalesce(intent, 0) AS intent, fit, {PRIORITY.replace('intent', 'coalesce(intent, 0)')} AS priority FROM (SELECT c_custkey, c_mktsegment, CAST(CASE WHEN c_acctbal >= 7500 THEN 5 WHEN c_acctbal >= 2500 THEN 3 ELSE 1 END + CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 4 ELSE 1 END AS INT) AS fit FROM customer) c LEFT JOIN ({SCORES}) s ON c.c_custkey = s.user_id")
-def priority_routing(spark, folder):
-    c = table(spark, folder, "customer")
-    fit = F.when(F.col("c_acctbal") >= 7500, 5).when(F.col("c_acctbal") >= 2500, 3).otherwise(1) + F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 4).otherwise(1)
-    s = scoring.intent_scores(table(spark, folder, "events"), TODAY).select("user_id", "intent")
-    j = c.select("c_custkey", "c_mktsegment", fit.alias("fit")).join(s, F.col("c_custkey") == F.col("user_id"), "left").withColumn("intent", F.coalesce("intent", F.lit(0).cast("decimal(18,2)")))
-    return j.select("c_custkey", "c_mktsegment", "intent", "fit", scoring.priority(F.col("intent"), F.col("fit")).alias("priority"))
+REPEATED = "SELECT event_id % 5000 AS event_key, event_id, user_id, event_type FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT NULL, event_id, user_id, event_type FROM events WHERE event_id % 7 = 0"
 
 
-@query("SELECT event_id, user_id, event_type FROM events")
+@query(f"SELECT event_key, min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id, arg_min(event_type, event_id) AS event_type FROM ({REPEATED}) WHERE event_key IS NOT NULL GROUP BY event_key UNION ALL SELECT * FROM ({REPEATED}) WHERE event_key IS NULL")
 def event_idempotent_dedupe(spark, folder):
-    e = table(spark, folder, "events").select("event_id", "user_id", "event_type")
-    return e.unionByName(e).dropDuplicates(["event_id"])
+    """The first event of each key counts, whatever later ones say; events without a key never collide."""
+    key = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 5000)
+    e = table(spark, folder, "events").select(key.alias("event_key"), "event_id", "user_id", "event_type")
+    first = e.where("event_key is not null").groupBy("event_key").agg(F.min(F.struct("event_id", "user_id", "event_type")).alias("first"))
+    return first.select("event_key", "first.*").unionByName(e.where("event_key is null"))
 
 
 @query("SELECT user_id, arg_min(ts, event_id) AS first_seen, max(ts) AS last_seen, arg_max(event_type, event_id) AS last_type, arg_max(event_type, event_id) FILTER (WHERE event_type <> 'error') AS last_good_type, count(*) AS n_events FROM events GROUP BY user_id")
@@ -101,10 +97,13 @@ def upsert_latest_wins(spark, folder):
     return windows.upsert_latest(e.where("version % 2 = 0"), e.where("version % 2 = 1"), ["user_id", "event_type"], "version", "created_at")
 
 
-@query()
+MOVES = {("new", "view"): "aware", ("new", "click"): "engaged", ("aware", "click"): "engaged", ("aware", "signup"): "trial", ("engaged", "signup"): "trial", ("trial", "purchase"): "customer", ("engaged", "error"): "follow_up_due", ("follow_up_due", "click"): "engaged", ("follow_up_due", "signup"): "trial"}
+STEP = "CASE " + " ".join(f"WHEN s = '{a}' AND x = '{b}' THEN '{c}'" for (a, b), c in MOVES.items()) + " ELSE s END"
+
+
+@query(f"SELECT user_id, list_reduce(list_prepend('new', list(event_type ORDER BY event_id)), lambda s, x: {STEP}) AS state, count(*) AS n_events FROM events GROUP BY user_id")
 def contact_state_machine(spark, folder):
-    moves = {("new", "view"): "aware", ("new", "click"): "engaged", ("aware", "click"): "engaged", ("aware", "signup"): "trial", ("engaged", "signup"): "trial", ("trial", "purchase"): "customer", ("engaged", "error"): "follow_up_due", ("follow_up_due", "click"): "engaged", ("follow_up_due", "signup"): "trial"}
-    return folds.fold_states(table(spark, folder, "events"), "user_id", "event_id", "event_type", "new", moves)
+    return folds.fold_states(table(spark, folder, "events"), "user_id", "event_id", "event_type", "new", MOVES)
 
 
 BUCKET = "CAST(('0x' || substr(sha256('exp-1:' || c_custkey), 1, 16))::UBIGINT % 10000 AS INT)"

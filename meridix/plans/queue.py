@@ -83,11 +83,6 @@ def touchpoint_schedule(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).cast("long").alias("delay_days"))
 
 
-@query("SELECT s_nationkey, s_suppkey, s_name, rank FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_suppkey % 7 = 0) DESC, s_acctbal DESC, s_name DESC) AS rank FROM supplier) WHERE rank <= 6")
-def decision_maker_rank(spark, folder):
-    return windows.top_per_group(table(spark, folder, "supplier"), ["s_nationkey"], [F.desc(F.col("s_suppkey") % 7 == 0), F.desc("s_acctbal"), F.desc("s_name")], 6).select("s_nationkey", "s_suppkey", "s_name", F.col("rank").cast("long").alias("rank"))
-
-
 @query("SELECT 'without_orders' AS side, count(*) AS n FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'unknown_account', count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
 def set_reconciliation(spark, folder):
     c, o = table(spark, folder, "customer").select(F.col("c_custkey").alias("k")), table(spark, folder, "orders").select(F.col("o_custkey").alias("k"))

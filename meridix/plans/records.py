@@ -89,28 +89,6 @@ def conversation_history(spark, folder):
     return c.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("history"), F.size("lines").cast("long").alias("turns"))
 
 
-def _word(*words):
-    """A pattern for whole words. The ends are written out, as \\b counts accented letters as letters in some engines only."""
-    return r"(?im)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(words) + r")(?:$|[^\p{L}\p{N}_])"
-
-
-REPLIES = [(_word("unsubscribe", "und"), "unsubscribe"), (_word("les"), "negative"), (_word("que"), "not_now"), (_word("and"), "interested"), (r"(?im)\?$", "question")]
-CLASS = "CASE WHEN trim(coalesce(text, '')) = '' THEN 'unclassified' " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for p, k in REPLIES) + " ELSE 'other' END"
-ACTION = "CASE class WHEN 'unsubscribe' THEN 'suppress' WHEN 'negative' THEN 'stop' WHEN 'interested' THEN 'handoff' ELSE 'human_review' END"
-
-
-@query(f"SELECT *, {ACTION} AS action FROM (SELECT conv_id, turn, {CLASS} AS class FROM conversations WHERE role = 'user')")
-def reply_classification(spark, folder):
-    c = table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", scoring.reply_class(F.col("text"), REPLIES, "other").alias("class"))
-    return c.withColumn("action", F.when(F.col("class") == "unsubscribe", "suppress").when(F.col("class") == "negative", "stop").when(F.col("class") == "interested", "handoff").otherwise("human_review"))
-
-
-@query("SELECT doc_id, toxic, quality, CASE WHEN toxic = 1 THEN 'block' WHEN quality = 0 THEN 'review' ELSE 'accept' END AS policy FROM documents JOIN labels USING (doc_id)")
-def policy_reconcile(spark, folder):
-    j = table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels"), "doc_id")
-    return j.select("doc_id", "toxic", "quality", F.when(F.col("toxic") == 1, "block").when(F.col("quality") == 0, "review").otherwise("accept").alias("policy"))
-
-
 @query("SELECT doc_id, contains(lower(text), 'license') AS licence, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS has_email, contains(lower(text), 'password') OR contains(lower(text), 'token') AS credential, CAST(CASE WHEN contains(lower(text), 'license') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'password') OR contains(lower(text), 'token') THEN 3 ELSE 0 END AS INT) AS points FROM documents")
 def keyword_fit_flags(spark, folder):
     low = F.lower("text")
