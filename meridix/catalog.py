@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL twins."""
 
-from meridix.plans import accounts, delivery, people, queue, records, routing  # noqa: F401  (they register their queries)
+from meridix.plans import accounts, delivery, intake, people, queue, records, routing  # noqa: F401  (they register their queries)
 from meridix.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -46,15 +46,6 @@ def suppression_anti_join(spark, folder):
     return table(spark, folder, "documents").join(table(spark, folder, "labels").where("toxic = 1"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("SELECT c_custkey, 'NEGATIVE_BALANCE' AS code, 'warning' AS severity FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'SEGMENT_OUT_OF_SCOPE', 'error' FROM customer WHERE c_mktsegment = 'HOUSEHOLD' UNION ALL SELECT c_custkey, 'NAME_MISSING', 'error' FROM customer WHERE trim(coalesce(c_name, '')) = ''")
-def validation_findings(spark, folder):
-    def finding(condition, code, severity):
-        return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
-
-    found = F.array_compact(F.array(finding(F.col("c_acctbal") < 0, "NEGATIVE_BALANCE", "warning"), finding(F.col("c_mktsegment") == "HOUSEHOLD", "SEGMENT_OUT_OF_SCOPE", "error"), finding(F.trim(F.coalesce("c_name", F.lit(""))) == "", "NAME_MISSING", "error")))
-    return table(spark, folder, "customer").select("c_custkey", F.explode(found).alias("f")).select("c_custkey", "f.code", "f.severity")
-
-
 TOKENS = "(SELECT p_partkey AS id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')), lambda t: t <> '')) AS token, p_brand, p_size FROM part)"
 CANDIDATES = f"SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS position FROM (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM {TOKENS} a JOIN {TOKENS} b ON a.token = b.token AND a.id <> b.id)"
 
