@@ -26,13 +26,6 @@ def retry_backoff(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", scoring.backoff_seconds(F.col("l_linenumber")).alias("wait_s"))
 
 
-@query("SELECT o_custkey, o_orderkey, n_sent, n_sent < 3 AS allowed FROM (SELECT o_custkey, o_orderkey, o_orderstatus, coalesce((SELECT count(*) FROM orders s WHERE s.o_custkey = o.o_custkey AND s.o_orderstatus = 'F'), 0) AS n_sent FROM orders o) WHERE o_orderstatus = 'O'")
-def cap_eligibility(spark, folder):
-    o = table(spark, folder, "orders")
-    sent = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return o.where("o_orderstatus = 'O'").join(sent, "o_custkey", "left").withColumn("n_sent", F.coalesce("n", F.lit(0))).select("o_custkey", "o_orderkey", "n_sent", (F.col("n_sent") < 3).alias("allowed"))
-
-
 @query("SELECT o_orderkey, CASE WHEN x.l_orderkey IS NOT NULL THEN 'claiming' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'done' END AS status FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') x ON o_orderkey = x.l_orderkey")
 def update_from_join(spark, folder):
     hit = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select("l_orderkey").distinct()
@@ -45,16 +38,20 @@ def latest_per_group(spark, folder):
     return windows.first_wins(table(spark, folder, "orders"), ["o_custkey"], [F.desc_nulls_last("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
-@query("SELECT c_custkey, last_order FROM (SELECT c_custkey, max(o_orderdate) AS last_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) ORDER BY last_order ASC NULLS FIRST, c_custkey LIMIT 50")
+@query("SELECT c_custkey, last_order, label FROM (SELECT c_custkey, max(o_orderdate) AS last_order, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS label FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) WHERE last_order IS NULL OR last_order <= TIMESTAMP '1998-07-01' ORDER BY CASE label WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END, last_order ASC NULLS FIRST, c_custkey LIMIT 20")
 def refresh_order(spark, folder):
-    last = table(spark, folder, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
-    return table(spark, folder, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "last_order").orderBy(F.asc_nulls_first("last_order"), "c_custkey").limit(50)
+    """The 20 accounts to refresh next: stale ones only, by the label of their latest run, never refreshed ones first."""
+    last = table(spark, folder, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"), F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("label"))
+    c = table(spark, folder, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").where("last_order is null or last_order <= timestamp_ntz '1998-07-01'")
+    place = F.when(F.col("label") == "1-URGENT", 1).when(F.col("label") == "2-HIGH", 2).when(F.col("label") == "3-MEDIUM", 3).otherwise(4)
+    return c.orderBy(place, F.asc_nulls_first("last_order"), "c_custkey").limit(20).select("c_custkey", "last_order", "label")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY c_custkey LIMIT 40")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 250000) ORDER BY c_custkey LIMIT 40")
 def not_yet_processed(spark, folder):
-    o = table(spark, folder, "orders")
-    return table(spark, folder, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey").orderBy("c_custkey").limit(40)
+    """The first 40 accounts without a finished run."""
+    done = table(spark, folder, "orders").where("o_orderstatus = 'F' and o_totalprice > 250000")
+    return table(spark, folder, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey").orderBy("c_custkey").limit(40)
 
 
 @query("WITH o AS (SELECT o_custkey, count(*) AS n_orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_done, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1), l AS (SELECT o_custkey, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT c_mktsegment, count(*) AS accounts, count(n_orders) AS with_orders, coalesce(sum(n_done), 0)::BIGINT AS done, coalesce(sum(n_lines), 0)::BIGINT AS lines, coalesce(sum(n_parts), 0)::BIGINT AS parts, CAST(round(coalesce(avg(mean_price), 0), 2) AS DECIMAL(18, 2)) AS mean_price FROM customer LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN l ON c_custkey = l.o_custkey GROUP BY c_mktsegment")
