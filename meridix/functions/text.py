@@ -92,6 +92,11 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*LEGAL_SUFFIXES)))
 
 
+def normalized_name(name: Column) -> Column:
+    """Lower-case alphanumeric tokens of a name without legal suffixes, joined by spaces."""
+    return F.array_join(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*LEGAL_SUFFIXES)), " ")
+
+
 def prefixed_id(prefix: str, *parts: Column, length: int = 40) -> Column:
     """A deterministic id: the prefix and the first hex digits of a SHA-256 over the parts, joined by bars."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length))

@@ -1,25 +1,62 @@
-"""Entity resolution: blocking on tokens, explainable scores, one decision a record."""
+"""Entity resolution: blocking on name tokens and domains, explainable scores, one decision a record."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridix.functions.text import name_tokens
+from meridix.functions.text import name_tokens, registrable_domain
 from meridix.operators.windows import top_per_group
 
+# Points of what speaks for and against a candidate; strong evidence alone establishes identity.
+STRONG = {"exact_verified_canonical_domain": 100, "exact_official_corporate_url": 95, "explicit_official_identity_tie": 90}
+MEDIUM = {"normalized_company_name": 55, "geography_match": 20, "registered_identity_match": 35, "corporate_social_match": 25, "parent_relationship_consistent": 15}
+NEGATIVE = {"conflicting_authoritative_domain": -100, "conflicting_geography": -100, "clearly_different_legal_entity": -100, "historical_only": -100, "external_provider_relationship": -100}
+
+
+def blocks(records: DataFrame, side: str) -> DataFrame:
+    """(id, block): a record's name tokens and its registrable domain (``id``, ``name``, ``domain``); equal domains have equal registrable ones."""
+    domain = registrable_domain(F.col("domain"))
+    keys = F.concat(F.transform(name_tokens(F.col("name")), lambda t: F.concat(F.lit("t:"), t)), F.when(domain != "", F.array(F.concat(F.lit("d:"), domain))).otherwise(F.array().cast("array<string>")))
+    return records.select(F.col("id").alias(f"{side}_id"), F.explode(keys).alias("block"))
+
 
 def blocked_pairs(left: DataFrame, right: DataFrame, budget: int) -> DataFrame:
-    """Candidates (left_id, right_id) that share a name token, the first ``budget`` of each left record by id. An equi-join on tokens, never all pairs."""
-    a = left.select(F.col("id").alias("left_id"), F.explode(name_tokens(F.col("name"))).alias("token"))
-    b = right.select(F.col("id").alias("right_id"), F.explode(name_tokens(F.col("name"))).alias("token"))
-    pairs = a.join(b, "token").where("left_id != right_id").select("left_id", "right_id").distinct()
+    """Candidates (left_id, right_id, position) that share a block, the first ``budget`` of each left record by id.
+
+    A left record's first ``budget`` partners lie among the first ``budget`` + 1 of each of its blocks (one may be itself),
+    so each block gives those only: pairs grow with its records, not with their square. Spark keeps the first ones of a
+    block in every task before the shuffle."""
+    firsts = top_per_group(blocks(right, "right"), ["block"], [F.col("right_id")], budget + 1, "_place").select("block", "right_id")
+    pairs = blocks(left, "left").join(firsts, "block").where("left_id != right_id").select("left_id", "right_id").distinct()
     return top_per_group(pairs, ["left_id"], [F.col("right_id")], budget, "position")
 
 
-def adjudicate(scored: DataFrame, strong: float) -> DataFrame:
-    """Per left record the best candidate (ties to the larger id), its margin, and a status: one strong candidate matches, several conflict."""
-    w = Window.partitionBy("left_id").orderBy(F.desc("score"), F.desc("right_id"))
-    ranked = scored.withColumns({"place": F.row_number().over(w), "second": F.lead("score").over(w), "n_strong": F.count_if(F.col("score") >= strong).over(Window.partitionBy("left_id"))})
-    status = F.when(F.col("n_strong") == 1, "MATCH").when(F.col("n_strong") > 1, "CONFLICT").otherwise("REVIEW")
-    return ranked.where("place = 1").select("left_id", F.col("right_id").alias("best_id"), "score", (F.col("score") - F.coalesce("second", F.lit(0))).alias("margin"), status.alias("status"))
+def compare(pairs: DataFrame, signals: dict[str, Column]) -> DataFrame:
+    """left_id, right_id, score, strong, rejected from the signals that hold."""
+    points = STRONG | MEDIUM | NEGATIVE
+    held = {k: F.coalesce(c, F.lit(False)) for k, c in signals.items()}
+    any_of = lambda names: reduce(lambda a, b: a | b, [held[k] for k in names if k in held], F.lit(False))
+    score = reduce(lambda a, b: a + b, [F.when(c, points[k]).otherwise(0) for k, c in held.items()])
+    return pairs.select("left_id", "right_id", score.alias("score"), any_of(STRONG).alias("strong"), any_of(NEGATIVE).alias("rejected"))
+
+
+def adjudicate(leads: DataFrame, compared: DataFrame) -> DataFrame:
+    """One decision for each of ``leads`` (left_id, related): left_id, status, best_id, score, n_rejected. Ties go to the larger id.
+
+    No candidate is UNRESOLVED; without strong evidence that nothing contradicts it is AMBIGUOUS, or NO_MATCH where no
+    candidate has points; several such candidates CONFLICT; one is MATCHED, or MATCHED_WITH_RELATIONSHIP."""
+    eligible = F.col("strong") & ~F.col("rejected")
+    facts = compared.groupBy("left_id").agg(
+        F.count_if(eligible).alias("n_eligible"), F.count_if("rejected").alias("n_rejected"), F.count_if(~F.col("rejected") & (F.col("score") > 0)).alias("n_plausible"),
+        F.max(F.when(eligible, F.struct("score", "right_id"))).alias("best"),
+    )
+    j = leads.join(facts, "left_id", "left")
+    status = (
+        F.when(F.col("n_eligible").isNull(), "UNRESOLVED").when((F.col("n_eligible") == 0) & (F.col("n_plausible") > 0), "AMBIGUOUS").when(F.col("n_eligible") == 0, "NO_MATCH")
+        .when(F.col("n_eligible") > 1, "CONFLICT").when(F.col("related"), "MATCHED_WITH_RELATIONSHIP").otherwise("MATCHED")
+    )
+    matched = F.col("n_eligible") == 1
+    return j.select("left_id", status.alias("status"), F.when(matched, F.col("best.right_id")).alias("best_id"), F.when(matched, F.col("best.score")).alias("score"), F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected"))

@@ -16,16 +16,20 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return top_per_group(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def duplicate_decisions(df: DataFrame, record_id: str, keys: list[str], order: Column) -> DataFrame:
-    """Each record's first record with the same keys (its canonical one) and whether it repeats it."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("canonical_id", F.first(record_id).over(w)).withColumn("decision", F.when(F.col(record_id) == F.col("canonical_id"), "unique").otherwise("exact_duplicate"))
+def duplicate_decisions(df: DataFrame, record_id: str, keys: list[str]) -> DataFrame:
+    """Each record's first record with the same keys (its canonical one) and whether it repeats it. Partial minima and a join: no key's records come to one task in full."""
+    first = df.groupBy(*keys).agg(F.min(record_id).alias("canonical_id"))
+    return df.join(first, keys).withColumn("decision", F.when(F.col(record_id) == F.col("canonical_id"), "unique").otherwise("exact_duplicate"))
 
 
-def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str) -> DataFrame:
-    """Rows of the same keys in the last ``seconds``, each row included."""
+def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str, stretch: int = 3600) -> DataFrame:
+    """Rows of the same keys in the last ``seconds``, each row included. A key's rows are dealt by stretches of time, each with the rows before it that its windows reach."""
+    stretch = max(seconds, stretch) * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)))
+    own = F.floor(at / stretch)
+    dealt = df.withColumn("_at", at).withColumn("_own", own).withColumn("_in", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    window = Window.partitionBy(*keys, "_in").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    return dealt.withColumn(name, F.count(F.lit(1)).over(window)).where("_in = _own").drop("_at", "_own", "_in")
 
 
 def sessions_by_gap(df: DataFrame, key: str, ts: str, order: str, minutes: int) -> DataFrame:
@@ -38,8 +42,9 @@ def sessions_by_gap(df: DataFrame, key: str, ts: str, order: str, minutes: int)
 def upsert_latest(existing: DataFrame, changes: DataFrame, keys: list[str], order: str, created: str) -> DataFrame:
     """Rows after an upsert: the latest of each key wins, the earliest creation stays."""
     both = existing.unionByName(changes)
-    kept = both.withColumn(created, F.min(created).over(Window.partitionBy(*keys)))
-    return first_wins(kept, keys, [F.desc(order)])
+    others = [c for c in both.columns if c not in (*keys, created)]
+    kept = both.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("row"), F.min(created).alias(created))
+    return kept.select(*[F.col(f"row.{c}") if c in others else F.col(c) for c in both.columns])
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

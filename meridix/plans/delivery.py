@@ -82,5 +82,5 @@ def streaming_session_upsert(spark, folder):
     """Session state kept by a drained stream; equal to the batch result."""
     schema = table(spark, folder, "events").schema
     stream = sessions.session_state(sessions.read_events(spark, f"{folder}/events.parque[t]", schema))
-    found = sessions.drain(stream, scratch(spark, "sessions"))
+    found = sessions.drain(stream, scratch(spark, "sessions"), "user_id")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})

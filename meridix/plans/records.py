@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from meridix.functions.text import host, name_tokens, normalize_url, prefixed_id, registrable_domain
-from meridix.operators import matching, scoring, windows
+from meridix.functions.text import LEGAL_SUFFIXES, host, normalize_url, normalized_name, prefixed_id, registrable_domain
+from meridix.operators import windows
 from meridix.plans.registry import query
 from meridix.sources.tables import table
 
@@ -28,7 +27,7 @@ def url_normalize(spark, folder):
 @query("SELECT doc_id, first_value(doc_id) OVER w AS canonical_id, CASE WHEN doc_id = first_value(doc_id) OVER w THEN 'unique' ELSE 'exact_duplicate' END AS decision, 'sr_' || substr(sha256(source || '|' || text), 1, 40) AS record_id FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)")
 def exact_duplicate_decisions(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), prefixed_id("sr_", F.col("source"), F.col("text")).alias("record_id"))
-    return windows.duplicate_decisions(d, "doc_id", ["digest"], F.col("doc_id")).select("doc_id", "canonical_id", "decision", "record_id")
+    return windows.duplicate_decisions(d, "doc_id", ["digest"]).select("doc_id", "canonical_id", "decision", "record_id")
 
 
 @query("SELECT sha256(text) AS evidence_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -46,33 +45,6 @@ def suppression_anti_join(spark, folder):
     return table(spark, folder, "documents").join(table(spark, folder, "labels").where("toxic = 1"), "doc_id", "left_anti").select("doc_id")
 
 
-TOKENS = "(SELECT p_partkey AS id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')), lambda t: t <> '')) AS token, p_brand, p_size FROM part)"
-CANDIDATES = f"SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS position FROM (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM {TOKENS} a JOIN {TOKENS} b ON a.token = b.token AND a.id <> b.id)"
-
-
-def _candidates(spark, folder):
-    named = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return matching.blocked_pairs(named, named, 25)
-
-
-@query(f"SELECT * FROM ({CANDIDATES}) WHERE position <= 25")
-def blocking_candidates(spark, folder):
-    return _candidates(spark, folder).withColumn("position", F.col("position").cast("long"))
-
-
-SCORED = f"SELECT left_id, right_id, CAST(CASE WHEN a.p_brand = b.p_brand THEN 40 ELSE 0 END + CASE WHEN a.p_name = b.p_name THEN 30 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 20 ELSE 0 END - CASE WHEN abs(a.p_size - b.p_size) > 20 THEN 15 ELSE 0 END AS INT) AS score FROM (SELECT * FROM ({CANDIDATES}) WHERE position <= 25) JOIN part a ON a.p_partkey = left_id JOIN part b ON b.p_partkey = right_id"
-
-
-@query(f"SELECT left_id, right_id AS best_id, score, score - coalesce(second, 0) AS margin, CASE WHEN n_strong = 1 THEN 'MATCH' WHEN n_strong > 1 THEN 'CONFLICT' ELSE 'REVIEW' END AS status FROM (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count_if(score >= 60) OVER (PARTITION BY left_id) AS n_strong FROM ({SCORED}) WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id DESC)) WHERE place = 1")
-def entity_compare_adjudicate(spark, folder):
-    p = table(spark, folder, "part")
-    facts = lambda side: p.select(F.col("p_partkey").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("p_brand", "p_name", "p_type", "p_size")])
-    j = _candidates(spark, folder).join(facts("left"), "left_id").join(facts("right"), "right_id")
-    same = lambda c, w: F.when(F.col(f"left_{c}") == F.col(f"right_{c}"), w).otherwise(0)
-    score = same("p_brand", 40) + same("p_name", 30) + same("p_type", 20) - F.when(F.abs(F.col("left_p_size") - F.col("right_p_size")) > 20, 15).otherwise(0)
-    return matching.adjudicate(j.select("left_id", "right_id", score.alias("score")), 60)
-
-
 @query("SELECT conv_id, string_agg(turn || ' ' || role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history, count(*) AS turns FROM conversations GROUP BY conv_id")
 def conversation_history(spark, folder):
     line = F.concat(F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
@@ -87,22 +59,9 @@ def keyword_fit_flags(spark, folder):
     return d.withColumn("points", F.when(F.col("licence"), 2).otherwise(0) + F.when(F.col("credential"), 3).otherwise(0))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ('inc', 'incorporated', 'llc', 'ltd', 'limited', 'corp', 'corporation', 'co', 'company', 'plc')), ' ') AS name FROM part WHERE p_name IS NOT NULL")
-def name_normalize(spark, folder):
-    tokens = F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc"))
-    return table(spark, folder, "part").where("p_name is not null").select("p_partkey", F.array_join(tokens, " ").alias("name"))
+NAME = f"array_to_string(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({', '.join(repr(x) for x in LEGAL_SUFFIXES)})), ' ')"
 
 
-@query()
-def name_similarity(spark, folder):
-    """Ratcliff/Obershelp ratio of sorted name tokens for blocked pairs: no built-in has it, so an Arrow-fed function scores the pairs that blocking leaves."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    p = table(spark, folder, "part")
-    names = lambda side: p.select(F.col("p_partkey").alias(f"{side}_id"), F.array_join(F.array_sort(name_tokens(F.col("p_name"))), " ").alias(f"{side}_name"))
-    j = _candidates(spark, folder).join(names("left"), "left_id").join(names("right"), "right_id")
-    return j.select("left_id", "right_id", F.round(ratio("left_name", "right_name"), 4).alias("ratio"))
+@query(f"SELECT p_partkey, {NAME} AS name FROM part WHERE p_name IS NOT NULL")
+def name_normalize(spark, folder):
+    return table(spark, folder, "part").where("p_name is not null").select("p_partkey", normalized_name(F.col("p_name")).alias("name"))
