@@ -18,9 +18,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (local tests)."""
+    """The shared folder that the cluster names; a temporary one only in a local session that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="meridix-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

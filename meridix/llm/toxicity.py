@@ -28,10 +28,8 @@ SAMPLE_PER_CLASS, CURVE_SHARE = 6000, 0.3
 WINDOW, MOST_PAIRS = 24, 8_000_000
 #: Words that a task holds at once while it counts.
 AT_ONCE = 300_000
-#: Absolute discounts of words (by kinds of context, which copies don't raise) and of bigrams (by sightings, which they do): sightings up to them prove nothing and pass to the back-off. What a word's log-ratio must exceed to count as suspicious.
-DISCOUNT, PAIR_DISCOUNT, SUSPICIOUS = 2.0, 10.0, 1.0
-#: Pooled sightings count up to RARE in the shared back-off, which is for rare words; one word's log-ratio counts up to CLIP.
-RARE, CLIP = 4.0, 3.5
+#: Discounts of both orders (of words by kinds of context, of bigrams by sightings): all of a count of one or two, and two of a larger one, pass to the back-off. What a word's log-ratio must exceed to count as suspicious.
+DISCOUNT, SUSPICIOUS = 2.0, 1.0
 THRESHOLD = 0.7
 START = np.uint64(0xA5A5A5A5A5A5A5A5)
 LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -69,13 +67,13 @@ class ToxicityModel:
     curve: tuple = (-2.0, 0.0, 0.0, 2.0, 2.0)
 
     def ratio(self, ctx: np.ndarray, at: np.ndarray, n: tuple) -> np.ndarray:
-        """The toxic less the ordinary log-probability of words after contexts, clipped, given the bigrams' discounted counts."""
+        """The toxic less the ordinary log-probability of words after contexts, given the bigrams' discounted counts."""
         logs = []
         for c in (0, 1):
             total, low = self.totals[c][ctx], self.lower[c][at]
             seen = total > 0
             logs.append(np.log(np.minimum(np.where(seen, (n[c] + self.mass[c][ctx] * low) / np.where(seen, total, 1), low), 1.0)))
-        return np.clip(logs[1] - logs[0], -CLIP, CLIP)
+        return logs[1] - logs[0]
 
     def ratios(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word the log-ratio by the bigram models (without the gains that aren't broadcast) and by their lower order alone; and the bigrams."""
@@ -85,7 +83,7 @@ class ToxicityModel:
         full = self.ratio(ctx, at, (0.0, 0.0))
         if self.pairs is not None and len(self.pairs):
             full = full + np.append(self.gains, 0.0)[_find(self.pairs, h)]
-        return full, np.clip(np.log(self.lower[1][at]) - np.log(self.lower[0][at]), -CLIP, CLIP), h
+        return full, np.log(self.lower[1][at]) - np.log(self.lower[0][at]), h
 
 
 def features(full: np.ndarray, low: np.ndarray) -> tuple[float, float, float, float]:
@@ -152,16 +150,16 @@ def _word_model(pairs: DataFrame) -> ToxicityModel:
     """The models' word tables, from the counts of bigrams. Words whose counts the discounts use up equal unknown ones in every ratio, so they stay in Spark."""
     zero, held = F.lit(0.0), lambda k, most: F.least(F.col(k).cast("double"), F.lit(most))
     ends = pairs.select(F.col("w").alias("h"), *[zero.alias(k) for k in ("t0", "t1", "m0", "m1")], *[(F.col(f"n{c}") > 0).cast("double").alias(f"k{c}") for c in (0, 1)], F.greatest("n0", "n1").alias("most"))
-    starts = pairs.select(F.col("v").alias("h"), *[F.col(f"n{c}").cast("double").alias(f"t{c}") for c in (0, 1)], *[held(f"n{c}", PAIR_DISCOUNT).alias(f"m{c}") for c in (0, 1)], zero.alias("k0"), zero.alias("k1"), F.lit(0).alias("most"))
+    starts = pairs.select(F.col("v").alias("h"), *[F.col(f"n{c}").cast("double").alias(f"t{c}") for c in (0, 1)], *[held(f"n{c}", DISCOUNT).alias(f"m{c}") for c in (0, 1)], zero.alias("k0"), zero.alias("k1"), F.lit(0).alias("most"))
     names = ("t0", "t1", "m0", "m1", "k0", "k1")
     table = materialize(starts.union(ends).groupBy("h").agg(*[F.sum(k).alias(k) for k in names], F.max("most").alias("most")), "toxic-words")
-    shared = F.least(F.col("k0") + F.col("k1"), F.lit(RARE))
+    shared = F.col("k0") + F.col("k1")
     sums = table.agg(F.count(F.lit(1)).alias("words"), F.sum((shared > 0).cast("double")).alias("kinds"), F.sum(shared).alias("shared"), *[F.sum(k).alias(k) for k in ("k0", "k1")], *[F.sum(held(f"k{c}", DISCOUNT)).alias(f"f{c}") for c in (0, 1)]).first().asDict()
     sums = {k: x or 0 for k, x in sums.items()}
-    words, *got = _by_key(table.where(f"k0 > {DISCOUNT} or k1 > {DISCOUNT} or t0 > m0 or t1 > m1 or most > {PAIR_DISCOUNT}").select("h", *names).toArrow(), *names)
+    words, *got = _by_key(table.where(f"k0 > {DISCOUNT} or k1 > {DISCOUNT} or t0 > m0 or t1 > m1 or most > {DISCOUNT}").select("h", *names).toArrow(), *names)
     t0, t1, m0, m1, k0, k1 = (np.append(x, 0.0) for x in got)
     # The lowest order: continuation counts of both classes together, with a little for words that neither has.
-    base = (np.maximum(np.minimum(k0 + k1, RARE) - 0.75, 0) + 0.75 * max(1.0, sums["kinds"]) / (sums["words"] + 1)) / max(1.0, sums["shared"])
+    base = (np.maximum(k0 + k1 - 0.75, 0) + 0.75 * max(1.0, sums["kinds"]) / (sums["words"] + 1)) / max(1.0, sums["shared"])
     # Both classes give the same part to it, else the smaller one, which knows fewer words, would claim every rare word.
     back = (sums["f0"] + sums["f1"]) / max(1.0, sums["k0"] + sums["k1"])
     lower = []
@@ -177,7 +175,7 @@ def _gains(pairs: DataFrame, held) -> DataFrame:
     def gain(batches):
         for batch in batches:
             v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-            m, n = held.value, tuple(np.maximum(batch.column(f"n{c}").to_numpy() - PAIR_DISCOUNT, 0).astype(np.float32) for c in (0, 1))
+            m, n = held.value, tuple(np.maximum(batch.column(f"n{c}").to_numpy() - DISCOUNT, 0).astype(np.float32) for c in (0, 1))
             ctx, at = _find(m.words, v), _find(m.words, w)
             more = (m.ratio(ctx, at, n) - m.ratio(ctx, at, (0.0, 0.0))).astype(np.float32)
             some = more != 0
@@ -235,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     pairs = materialize(_count_pairs(counted.select("text", "toxic")), "toxic-pairs")
     made = Learned(_word_model(pairs), None)
     # Bigrams up to the discount gain nothing.
-    strong = pairs.where(f"n0 > {PAIR_DISCOUNT} or n1 > {PAIR_DISCOUNT}")
+    strong = pairs.where(f"n0 > {DISCOUNT} or n1 > {DISCOUNT}")
     gains = _gains(strong, docs.sparkSession.sparkContext.broadcast(made.model))
     if strong.count() <= MOST_PAIRS:
         made.model.pairs, gain = _by_key(gains.toArrow(), "gain")
