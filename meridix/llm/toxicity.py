@@ -46,10 +46,28 @@ def pair_hash(before: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(before * GOLDEN ^ w)
 
 
-def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Positions in sorted keys; their number where a key is missing."""
-    at = np.searchsorted(keys, h)
-    return np.where(np.append(keys, np.uint64(0))[at] == h, at, len(keys)) if len(keys) else np.zeros(len(h), np.int64)
+class Index:
+    """Positions in sorted keys that are spread evenly, by their leading bits: a look-up reads one or two places, where a binary search would read one a level."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length() + 1)
+        self.keys, self.shift = np.append(keys, np.uint64(0)), np.uint64(64 - bits)
+        self.starts = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.starts[1:])
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes; the number of keys where one is missing."""
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[slot].astype(np.int64), self.starts[slot + 1]
+        out = np.full(len(h), len(self.keys) - 1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            hit = self.keys[at[open_]] == h[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
 
 
 @dataclass
@@ -66,6 +84,25 @@ class ToxicityModel:
     gains: np.ndarray | None = None
     curve: tuple = (-2.0, 0.0, 0.0, 2.0, 2.0)
 
+    def index(self, name: str) -> Index:
+        """Built where it is used, once a process."""
+        held = self.__dict__.setdefault("_indexes", {})
+        keys = getattr(self, name)
+        if name not in held or held[name][0] is not keys:
+            held[name] = (keys, Index(keys))
+        return held[name][1]
+
+    @property
+    def padded(self) -> np.ndarray:
+        """Gains, with nothing for bigrams that have no entry."""
+        held = self.__dict__.setdefault("_indexes", {})
+        if "gains" not in held or held["gains"][0] is not self.gains:
+            held["gains"] = (self.gains, np.append(self.gains, np.float32(0)))
+        return held["gains"][1]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_indexes"}
+
     def ratio(self, ctx: np.ndarray, at: np.ndarray, n: tuple) -> np.ndarray:
         """The toxic less the ordinary log-probability of words after contexts, given the bigrams' discounted counts."""
         logs = []
@@ -78,11 +115,12 @@ class ToxicityModel:
     def ratios(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word the log-ratio by the bigram models (without the gains that aren't broadcast) and by their lower order alone; and the bigrams."""
         w, before = words_of(text)
-        at, h = _find(self.words, w), pair_hash(before, w)
-        ctx = np.concatenate((_find(self.words, before[:1]), at[:-1]))
+        find, h = self.index("words"), pair_hash(before, w)
+        at = find(w)
+        ctx = np.concatenate((find(before[:1]), at[:-1]))
         full = self.ratio(ctx, at, (0.0, 0.0))
         if self.pairs is not None and len(self.pairs):
-            full = full + np.append(self.gains, 0.0)[_find(self.pairs, h)]
+            full = full + self.padded[self.index("pairs")(h)]
         return full, np.log(self.lower[1][at]) - np.log(self.lower[0][at]), h
 
 
@@ -176,7 +214,7 @@ def _gains(pairs: DataFrame, held) -> DataFrame:
         for batch in batches:
             v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
             m, n = held.value, tuple(np.maximum(batch.column(f"n{c}").to_numpy() - DISCOUNT, 0).astype(np.float32) for c in (0, 1))
-            ctx, at = _find(m.words, v), _find(m.words, w)
+            ctx, at = m.index("words")(v), m.index("words")(w)
             more = (m.ratio(ctx, at, n) - m.ratio(ctx, at, (0.0, 0.0))).astype(np.float32)
             some = more != 0
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(v, w)[some].view(np.int64)), pa.array(more[some])], names=["h", "gain"])
