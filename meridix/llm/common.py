@@ -56,6 +56,13 @@ def small(df: DataFrame, rows: int, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in parts of at most ``rows`` rows, so that what Python makes of a part's texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

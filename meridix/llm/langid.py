@@ -8,6 +8,7 @@ n-grams and each text's first one, and numpy multiplies it by the log-probabilit
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridix.llm.common import held_out, learning_share
+from meridix.llm.common import held_out, learning_share, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,12 +48,12 @@ def ngrams(codes: np.ndarray, owner: np.ndarray, lead: int = 0):
             yield ((h * SALTS[-1]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[whole], owner[: len(codes) - n + 1][whole]
 
 
-def windows(texts: list[np.ndarray]):
+def windows(texts: Iterable[np.ndarray]):
     """(codes, owner, lead) for ``ngrams``: texts side by side up to CHUNK characters; a longer text by itself in parts, each led by the end of the one before, so that every n-gram counts once."""
-    held, size = [], 0
+    held, size = {}, 0
 
     def out():
-        return np.concatenate([texts[k] for k in held]), np.repeat(held, [len(texts[k]) for k in held]), 0
+        return np.concatenate([*held.values()]), np.repeat(list(held), [len(x) for x in held.values()]), 0
 
     for k, codes in enumerate(texts):
         if len(codes) > CHUNK:
@@ -63,8 +64,8 @@ def windows(texts: list[np.ndarray]):
             continue
         if held and size + len(codes) > CHUNK:
             yield out()
-            held, size = [], 0
-        held.append(k)
+            held, size = {}, 0
+        held[k] = codes
         size += len(codes)
     if held:
         yield out()
@@ -81,7 +82,7 @@ class LanguageModel:
         """Language of each text and its posterior; ``und`` and 0 without a letter or without a learned language. Ties go to the first label."""
         some = [k for k, t in enumerate(texts) if self.labels and t and any(map(str.isalpha, t))]
         total = np.zeros((len(some), len(self.labels)))
-        for codes, owner, lead in windows([codes_of(texts[k]) for k in some]):
+        for codes, owner, lead in windows(codes_of(texts[k]) for k in some):
             for buckets, of in ngrams(codes, owner, lead):
                 if len(of):
                     first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
@@ -118,7 +119,7 @@ def learn(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageMo
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if lang not in held and len(held) >= LANGS_AT_ONCE:
                     yield from flush()
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -160,7 +161,7 @@ def keep_recognised(docs: DataFrame, least: float, model: LanguageModel | None =
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridix.llm.common import WORD, discard, materialize, mix64, ordinal, word_count
+from meridix.llm.common import WORD, discard, materialize, mix64, ordinal, slices, word_count
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -226,7 +226,7 @@ def mixed_blocks(docs: DataFrame, plan: Mix) -> DataFrame:
     ``plan`` is a mix of the same ``docs``. Null and empty texts give no words; an empty table gives no rows; other columns are ignored."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, texts = [], batch.column("row").field("text").to_pylist()
             for text, no, pieces in zip(texts, batch.column("source_no").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
                 got = words_between(text, [(p["at"], p["words"]) for p in pieces])
@@ -249,7 +249,7 @@ def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     names, kinds = docs.columns, docs.schema
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             held = batch.column("row")
             columns = dict(zip(names, held.flatten(), strict=True))
             take, texts = [], []

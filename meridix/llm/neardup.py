@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridix.llm.common import GOLDEN, discard, materialize, mix64, small, span_hashes
+from meridix.llm.common import GOLDEN, discard, materialize, mix64, slices, small, span_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,8 +113,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 bands = [keys[place[t[2]]] if t[2] else None for t in todo]
                 return pa.RecordBatch.from_arrays([pa.array([t[0] for t in todo], pa.int64()), pa.array([t[1] for t in todo], pa.int64()), pa.array([t[2] for t in todo], pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "n_shingles", "bands"])
 
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                joined = normal_words(text)
+            for at, text in enumerate(batch.column("text")):
+                joined = normal_words(text.as_py())
                 key = hashlib.md5(joined).digest() if joined else None
                 if key and key not in held:
                     held[key] = shingle_set(joined)
@@ -144,7 +144,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
     def sets(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches):
             fresh = []
             for at, no in enumerate(batch.column("class_no").to_pylist()):
                 if no not in seen:

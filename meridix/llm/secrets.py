@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridix.llm.common import slices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The base patterns, in the order in which kinds are listed.
@@ -188,7 +190,7 @@ def find_secrets(docs: DataFrame, redacted: bool = False) -> DataFrame:
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = scan(text)
@@ -208,7 +210,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     at, kept = docs.columns.index("text"), docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t if t is None else redact(t, scan(t)) for t in batch.column(at).to_pylist()]
             out = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
             if "n_chars" in docs_names:
