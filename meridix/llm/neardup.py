@@ -32,6 +32,8 @@ BANDS, ROWS = 36, 4
 HUBS, GROWTH = 16, 8
 #: Members of a bucket that are compared with each other as they are.
 FEW = HUBS + 1
+#: Parts of a bucket whose members are ranked apart.
+PARTS = 64
 #: Shingles that an index of hubs holds at most (24 bytes each in every task); more hubs are joined instead.
 INDEXED = 2_000_000
 #: Links that one task joins into a forest at a time.
@@ -321,8 +323,13 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _ranked(members: DataFrame, most: int) -> DataFrame:
-    """class_no, n of the first ``most`` members of each bucket."""
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class_no"))).where(F.col("rank") <= most).select("class_no", "n").distinct()
+    """class_no, n of the first ``most`` members of each bucket, ranked within ``PARTS`` parts of a bucket first: no task sorts a whole hot bucket."""
+    # A struct, since rows that are dealt by bucket already would not be dealt anew for (bucket, part).
+    cell = F.struct("bucket", F.pmod(F.xxhash64("class_no"), F.lit(PARTS)).alias("part"))
+    rows = members.select("bucket", "class_no", "n", cell.alias("cell"))
+    for key in ("cell", "bucket"):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("class_no"))).where(F.col("rank") <= most).drop("rank")
+    return rows.select("class_no", "n").distinct()
 
 
 def _dense_links(docs: DataFrame, classes: DataFrame, dense: DataFrame, roots: DataFrame) -> DataFrame:

@@ -543,3 +543,12 @@ def test_pipeline_keeps_its_contract(spark, texts):
     assert len(clean) == len(texts) and all(brute_spans(r["text"]) == "" and r["n_chars"] == len(r["text"]) for r in clean if brute_spans(texts[r["doc_id"]]))
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_hot_buckets_are_ranked_in_parts(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS bucket", "id AS class_no", "id % 9 AS n").repartition(8, "bucket")
+    members = defaultdict(list)
+    for r in rows.collect():
+        members[r["bucket"]].append(r["class_no"])
+    for most in (16, 2000):
+        assert sorted(r["class_no"] for r in neardup._ranked(rows, most).collect()) == sorted(c for held in members.values() for c in sorted(held)[:most])
