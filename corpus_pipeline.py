@@ -43,7 +43,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify_language), ("near_dedup", drop_near_copies), ("secret_scan", redact_secrets), ("mix", mix_sources), ("bpe", encode)]
 
-#: Learned models, signatures and digests of subword ids have no SQL form; tests hold run() against the operators one by one.
+#: Learned models, signatures and digests of subword ids have no SQL form. Tests hold the operators to brute force one by one;
+#: of run() itself they check the columns, two of its stages and that rows come out.
 ORACLE_SQL = None
 
 
