@@ -146,3 +146,17 @@ def span_hashes(joined: bytes, width: int) -> np.ndarray:
     else:
         starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
     return mix64((prefix[ends] - prefix[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) * GOLDEN)
+
+
+#: Bytes of words of letters and digits, A-Z in lower case, all beyond ASCII kept; every other byte becomes a space.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def stretches(raw: bytes, size: int = 1 << 20):
+    """``raw`` in parts of about ``size`` bytes, cut before a space: no word is cut, and a long text never becomes one list of words."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end]
+        at = end
