@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridix.llm import additive, bitsliced, bpe, html_extract, langid, mixing, neardup, resampling, secrets, sharding, toxicity
+from meridix.llm import additive, bitsliced, bpe, html_extract, langid, licenses, mixing, neardup, resampling, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "comp")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_html_text, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_text, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates, op11_license_scan, op12_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
