@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridix.llm import additive, bitsliced, bpe, html_extract, langid, licenses, mixing, neardup, resampling, secrets, sharding, toxicity
+from meridix.llm import additive, bitsliced, bpe, collocations, html_extract, langid, licenses, mixing, neardup, resampling, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_html_text, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates, op11_license_scan, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_html_text, op3_bit_sliced_top_k, op4_additive_quantisation, op5_jump_shards, op6_toxicity, op7_secret_scan, op8_language_id, op9_bpe_round_trip, op10_near_duplicates, op11_license_scan, op12_importance_resampling, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_importance_resampling": resampling.SQL}
+    return {"op12_importance_resampling": resampling.SQL, "op13_collocations": collocations.SQL}
