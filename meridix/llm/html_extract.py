@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST_PAGES, LEAST_SHARE, LAYOUT_PAGES, BROADCAST_BYTES = 3, 0.5, 6, 32 << 20
 #: A page is a version of the reference, and proves nothing, if its main text shares COPY_SHARE of what lies between the least share that any page has (the template's) and all; shares are counted in SHARES steps. From MANY_PAGES pages on, what MOST_SHARE of all pages repeat is template too.
 COPY_SHARE, SHARES, MANY_PAGES, MOST_SHARE = 0.5, 20, 20, 0.9
-#: Elements deeper than this become siblings, but their end tags and furniture count; child lists whose product is larger are aligned in linear memory.
+#: Elements deeper than this become siblings, but their end tags and furniture count; child lists whose product is larger are cut at anchors.
 MOST_DEPTH, MOST_PAIRS = 150, 40_000
 
 # Element names of the HTML standard, and words that name page furniture in classes, ids and roles.
@@ -34,6 +36,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("script style title noscript iframe template head nav aside footer form button select textarea input dialog menu svg canvas embed audio video map option xmp noembed noframes".split())
+# Words that may stand beside one of NAMES in the class of a container, as in ad-slot or comment-list.
+STRUCTURE = frozenset("slot box container wrap wrapper list section area widget block unit bar panel inner outer item items group site page".split())
 NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead banner footer sidebar aside notice notices cookie cookies consent ad ads advert adverts advertisement sponsor sponsored promo form search login newsletter signup comment comments commentlist respond reply replies".split())
 #: Elements that a name makes furniture by a part of a class or id; inside an article and for other elements a whole class must consist of names.
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form figure fieldset details menu iframe".split())
@@ -42,7 +46,9 @@ CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"
 IMPLIED = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# A tag ends at the next > outside quotes, or stops without one before the next < outside them; its last group tells which.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?>[^>"'<]+|"[^"]*"|'[^']*'|["'])*+)(>?)""", re.S)
+UNQUOTED = re.compile(TOKEN.pattern.replace(r"""(?>[^>"'<]+|"[^"]*"|'[^']*'|["'])*+""", "[^<>]*"), re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -66,36 +72,58 @@ def _element(tag: str, attrs: str, inside_article: bool) -> Node:
         label = f"{tag}.{got.get('class', '').strip().lower()}" if got.get("class") else tag
         if tag not in ("html", "body", "main", "article") or "comment" in names or "comments" in names:
             if tag not in ("html", "body", "main", "article") and (inside_article or tag not in CONTAINERS):
-                whole = tag in CONTAINERS or not inside_article
-                furniture |= whole and any(c and NAMES.issuperset(re.split(r"[-_]+", c.strip("-_"))) for c in got.get("class", "").lower().split())
+                parts = [set(re.split(r"[-_]+", c.strip("-_"))) for c in got.get("class", "").lower().split()]
+                if tag in CONTAINERS:
+                    furniture |= any(NAMES & p and p <= NAMES | STRUCTURE for p in parts) or got.get("id", "").lower() in ("comments", "respond")
+                elif not inside_article:
+                    furniture |= any(p <= NAMES for p in parts)
             else:
                 furniture |= not NAMES.isdisjoint(names)
         furniture |= got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
     return Node(tag, label, furniture)
 
 
+def _token(text: str, at: int, tried: int) -> tuple[re.Match | None, int]:
+    """The next comment, declaration or tag from ``at`` on. Text up to ``tried`` had its quotes followed in vain already: there, tags are read without them, so that no stretch is followed twice."""
+    at = text.find("<", at)
+    while at >= 0:
+        m = (UNQUOTED if at < tried else TOKEN).match(text, at)
+        if m and m[2] and not m[4] and at >= tried:
+            tried = m.end()
+            m = UNQUOTED.match(text, at)
+        if m and (m[4] or not m[2]):
+            return m, tried
+        at = text.find("<", m.end() if m else at + 1)
+    return None, tried
+
+
 def parse(html: str | None) -> Node:
     """The element tree of a page, with the standard's implied end tags for paragraphs, list items and table cells; broken markup never fails."""
     root = Node("", "", False)
     stack, at, text, articles = [root], 0, html or "", 0
     # Open elements below the stack, each with the node that takes what it holds.
     below: list[tuple[Node, Node]] = []
+    open_below: Counter = Counter()
     into = lambda: below[-1][1] if below else stack[-1]
-    for m in iter(lambda: TOKEN.search(text, at), None):
+    tried = 0
+    while True:
+        m, tried = _token(text, at, tried)
+        if not m:
+            break
         if m.start() > at:
             into().children.append(text[at : m.start()])
         at = m.end()
-        tag, closing, attrs = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
+        tag, closing, attrs = (m[2] or "").lower(), m[1], m[3] or ""
         if not tag:
             continue
         if closing:
-            for depth in range(len(below) - 1, -1, -1):
-                if below[depth][0].tag == tag:
-                    articles -= sum(n.tag == "article" for n, _ in below[depth:])
-                    del below[depth:]
-                    break
-            else:
-                depth = -1
+            depth = -1
+            if open_below[tag]:
+                depth = next(k for k in range(len(below) - 1, -1, -1) if below[k][0].tag == tag)
+                gone = Counter(n.tag for n, _ in below[depth:])
+                articles -= gone["article"]
+                open_below.subtract(gone)
+                del below[depth:]
             if depth >= 0:
                 if tag in BLOCKS:
                     into().children.append(Node(tag, tag, False))
@@ -104,6 +132,7 @@ def parse(html: str | None) -> Node:
                 if stack[depth].tag == tag:
                     articles -= sum(n.tag == "article" for n in stack[depth:]) + sum(n.tag == "article" for n, _ in below)
                     below.clear()
+                    open_below.clear()
                     del stack[depth:]
                     break
             continue
@@ -121,13 +150,14 @@ def parse(html: str | None) -> Node:
         node = _element(tag, attrs, articles > 0)
         into().children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(text, at)
             at = end.end() if end else len(text)
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
             if len(stack) < MOST_DEPTH:
                 stack.append(node)
             else:
                 below.append((node, node if node.furniture and not (below and below[-1][1].furniture) else into()))
+                open_below[tag] += 1
             articles += tag == "article"
     if at < len(text):
         into().children.append(text[at:])
@@ -145,26 +175,55 @@ def _finish(root: Node) -> None:
         todo.extend(c for c in reversed(node.children) if type(c) is not str)
     inline: dict[int, str] = {}
     for node in reversed(order):
-        text = "".join(c if type(c) is str else " " if c.tag in BLOCKS or c.tag == "br" else inline[id(c)] for c in node.children if type(c) is str or not c.furniture)
+        text = "".join(unescape(c) if type(c) is str else " " if c.tag in BLOCKS or c.tag == "br" else inline[id(c)] for c in node.children if type(c) is str or not c.furniture)
         if node.tag in BLOCKS or not node.tag:
-            node.own = " ".join(unescape(text).split())
+            node.own = " ".join(text.split())
         inline[id(node)] = text
         node.shape = hash((node.label, *(c.shape for c in node.children if type(c) is not str)))
 
 
+def anchors(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """Places of equal nodes (shape and text), the first with the first and so on, and of those the longest run that keeps their order."""
+    where: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
+    for side, nodes in enumerate((x, y)):
+        for k, n in enumerate(nodes):
+            where.setdefault((n.shape, n.own), ([], []))[side].append(k)
+    pairs = sorted(pair for i, j in where.values() for pair in zip(i, j, strict=False))
+    # Longest increasing run of the second places, by the smallest end of a run of each length.
+    ends, at, before = [], [], []
+    for k, (_, q) in enumerate(pairs):
+        n = bisect_left(ends, q)
+        ends[n : n + 1], at[n : n + 1] = [q], [k]
+        before.append(at[n - 1] if n else -1)
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def in_order(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+    """Each node with the next free one of its label; one pass."""
+    places: dict[str, list[int]] = {}
+    for k in range(len(y) - 1, -1, -1):
+        places.setdefault(y[k].label, []).append(k)
+    out, least = [], 0
+    for p in x:
+        free = places.get(p.label, [])
+        while free and free[-1] < least:
+            free.pop()
+        if free:
+            least = free.pop() + 1
+            out.append((p, y[least - 1]))
+    return out
+
+
 def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Aligned nodes of two trees by simple tree matching: the most pairs with equal labels that keep order and ancestry."""
-    memo: dict[tuple[int, int], int] = {}
+    """Aligned nodes of two trees by simple tree matching: the most pairs with equal labels that keep order and ancestry.
 
-    def table(x: list[Node], y: list[Node]) -> list[list[int]]:
-        best = [[0] * (len(y) + 1)]
-        for p in x:
-            above, row = best[-1], [0]
-            for k, q in enumerate(y):
-                w = weight(p, q)
-                row.append(max(above[k + 1], row[k], above[k] + w) if w else max(above[k + 1], row[k]))
-            best.append(row)
-        return best
+    Child lists whose product is over MOST_PAIRS are cut at anchors first (equal nodes) and
+    matched between them; what lies between two anchors and is still too long pairs in order."""
+    memo: dict[tuple[int, int], int] = {}
 
     def weight(p: Node, q: Node) -> int:
         if p.label != q.label:
@@ -172,27 +231,20 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
         key = (p.shape, q.shape)
         if key not in memo:
             x, y = ([c for c in n.children if type(c) is not str] for n in (p, q))
-            memo[key] = 1 + last(x, y)[-1]
+            memo[key] = 1 + sum(weight(c, d) for c, d in aligned(x, y))
         return memo[key]
 
-    def last(x: list[Node], y: list[Node]) -> list[int]:
-        """The table's last row, in linear memory."""
-        row = [0] * (len(y) + 1)
+    def aligned(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+        if len(x) * len(y) > MOST_PAIRS:
+            return between(x, y, anchors(x, y))
+        best = [[0] * (len(y) + 1)]
         for p in x:
-            above, row = row, [0]
+            above, row = best[-1], [0]
             for k, q in enumerate(y):
                 w = weight(p, q)
                 row.append(max(above[k + 1], row[k], above[k] + w) if w else max(above[k + 1], row[k]))
-        return row
-
-    def aligned(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-        if len(x) > 1 and len(x) * len(y) > MOST_PAIRS:
-            # Hirschberg: halve one list, and cut the other where both halves together match the most.
-            half = len(x) // 2
-            up, down = last(x[:half], y), last(x[half:][::-1], y[::-1])
-            cut = max(range(len(y) + 1), key=lambda k: up[k] + down[len(y) - k])
-            return aligned(x[:half], y[:cut]) + aligned(x[half:], y[cut:])
-        best, i, j, found = table(x, y), len(x), len(y), []
+            best.append(row)
+        i, j, found = len(x), len(y), []
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -203,6 +255,16 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 found.append((x[i], y[j]))
         return found
 
+    def between(x: list[Node], y: list[Node], fixed: list[tuple[int, int]]) -> list[tuple[Node, Node]]:
+        out, i, j = [], 0, 0
+        for p, q in [*fixed, (len(x), len(y))]:
+            gap = x[i:p], y[j:q]
+            out += aligned(*gap) if len(gap[0]) * len(gap[1]) <= MOST_PAIRS else in_order(*gap)
+            if p < len(x):
+                out.append((x[p], y[q]))
+            i, j = p + 1, q + 1
+        return out
+
     out, todo = [], [(a, b)]
     while todo:
         p, q = todo.pop()
@@ -265,7 +327,7 @@ def blocks_of(node: Node, dropped: set[int]) -> list[str]:
     out, run = [], []
 
     def end():
-        block = " ".join(unescape("".join(run)).split())
+        block = " ".join("".join(run).split())
         run.clear()
         if block:
             out.append(block)
@@ -274,7 +336,7 @@ def blocks_of(node: Node, dropped: set[int]) -> list[str]:
         for c in n.children:
             if type(c) is str:
                 if id(block) not in dropped:
-                    run.append(c)
+                    run.append(unescape(c))
             elif c.tag == "br":
                 run.append(" ")
             elif c.furniture:
@@ -293,14 +355,12 @@ def blocks_of(node: Node, dropped: set[int]) -> list[str]:
 
 
 def main_text(html: str | None, reference: Node | None = None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Main text of a page; ``template`` numbers the nodes of the reference whose text belongs to the template."""
+    """Main text of a page; ``template`` numbers the nodes of the reference whose text belongs to the template. A page that holds nothing else has no text."""
     page = parse(html)
     dropped: set[int] = set()
     if reference and template:
         dropped = {id(p) for p, r in matched(page, reference) if r.number in template and p.own and p.own == r.own}
-    area = _main(page)
-    found = blocks_of(area, dropped)
-    return "\n\n".join(found or blocks_of(area, set()))
+    return "\n\n".join(blocks_of(_main(page), dropped))
 
 
 def _layout(html):
