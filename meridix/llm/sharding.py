@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridix.llm.mixing import each
+
 #: Multiplier of the published generator.
 LCG = 2862933555777941757
 LOW, HIGH = LCG & 0xFFFFFFFF, LCG >> 32
 #: A key needs about ln(shards) draws; this many serve nearly every key, and the rest get as many as there are shards.
 FIRST_DRAWS = 24
+#: Parts in which a shard's rows are numbered.
+PARTS = 1024
 
 
 def _lit(x: int) -> Column:
@@ -51,29 +55,23 @@ def jump_shards(key: Column, shards: int) -> Column:
     return F.transform(F.array(walk), lambda w: F.struct(F.when(w["shard"] == shards, w["before"]).otherwise(w["shard"]).cast("int").alias("shard"), w["shard"].cast("int").alias("grown_shard")))[0]
 
 
-def key_bits(key: Column) -> Column:
-    """Eight pseudorandom bits of the key: they spread the numbering of a shard's rows over 256 tasks."""
-    key = F.coalesce(key.cast("long"), _lit(-1))
-    hi, _ = _draw(F.shiftrightunsigned(key, 32), key.bitwiseAND(_lit(0xFFFFFFFF)))
-    return hi.bitwiseAND(_lit(255)).cast("int")
-
-
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Shard of each document by its ``doc_id`` alone, with a gapless slot within the shard.
 
     Nulls: a null id is the key -1; a null text has no bytes and the CRC of an empty text. Equal rows are counted before
-    the shuffle and get neighbouring slots, so a row that repeats a billion times is one row in the numbering. An empty
-    table gives no rows; other columns are ignored."""
+    the shuffle and get neighbouring slots, so a row that repeats a billion times is one row in the numbering, and its slots
+    come out of arrays of bounded size. Within a shard, rows are numbered in PARTS parts by a hash of id, size and CRC:
+    different texts of one id, or of none, spread over all of them. An empty table gives no rows; other columns are ignored."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     slim = d.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
     rows = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumns({"_at": jump_shards(F.col("doc_id"), shards), "_sub": key_bits(F.col("doc_id"))}).select("doc_id", "size", "text_crc32", "n", "_at.shard", "_at.grown_shard", "_sub")
+    rows = rows.withColumns({"_at": jump_shards(F.col("doc_id"), shards), "_sub": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS))}).select("doc_id", "size", "text_crc32", "n", "_at.shard", "_at.grown_shard", "_sub")
     # Two-level numbering: few counts for each (shard, sub), then a running sum within each.
     counts = rows.groupBy("shard", "_sub").agg(F.sum("n").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_sub", F.coalesce("_before", F.lit(0)).alias("_before"))
     running = Window.partitionBy("shard", "_sub").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # At most 256 rows a shard: broadcast while that is small, else a shuffled join on the same keys.
-    before = F.broadcast(before) if shards <= 4096 else before
+    # At most PARTS rows a shard: broadcast while that is small, else a shuffled join on the same keys.
+    before = F.broadcast(before) if shards * PARTS <= 1 << 20 else before
     numbered = rows.withColumn("_upto", F.sum("n").over(running)).join(before, ["shard", "_sub"])
-    first = F.col("_before") + F.col("_upto") - F.col("n")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard")
+    numbered = each(numbered.withColumn("_first", F.col("_before") + F.col("_upto") - F.col("n")), "n", "_copy")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_copy")).alias("slot"), "grown_shard")
