@@ -92,7 +92,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
     for dim, n in sizes.items():
         share = F.when(F.size("embedding") == dim, min(1.0, min(SAMPLE, max(1, SAMPLE_VALUES // dim)) / n)).otherwise(share)
     learned = {}
-    sample = rows.where(learning_share(F.col("vec_id"), share)).orderBy("vec_id", "embedding").select("embedding").toArrow().column("embedding").combine_chunks() if sizes else None
+    sample = rows.where(learning_share(share, F.col("vec_id"))).orderBy("vec_id", "embedding").select("embedding").toArrow().column("embedding").combine_chunks() if sizes else None
     for dim in sizes:
         got = [v for v in (sample.to_pylist() if len(sizes) > 1 else []) if len(v) == dim] if len(sizes) > 1 else None
         matrix = np.array(got, np.float64).reshape(-1, dim) if got is not None else np.asarray(sample.values if hasattr(sample, "values") else sample.flatten(), np.float64).reshape(-1, dim)

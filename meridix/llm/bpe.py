@@ -145,7 +145,10 @@ def _by_chunk(chunks: DataFrame, buckets: int) -> DataFrame:
     chunks.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.table(name)
+    back = spark.table(name)
+    back.schema  # resolved now: the plan keeps files and buckets, the catalog needs no entry any more
+    spark.sql(f"DROP TABLE {name}")
+    return back
 
 
 class WordTable:

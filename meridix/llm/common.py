@@ -89,9 +89,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learning_share(key: Column, share: Column) -> Column:
+def learning_share(share: Column, *keys: Column) -> Column:
     """True for about ``share`` of the keys, the same ones in every run."""
-    return F.pmod(F.xxhash64(key, F.lit("learn")), F.lit(1 << 30)) < share * float(1 << 30)
+    return F.pmod(F.xxhash64(*keys, F.lit("learn")), F.lit(1 << 30)) < share * float(1 << 30)
 
 
 MIX_A, MIX_B, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -128,10 +128,42 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def span_hashes(joined: bytes, width: int) -> np.ndarray:
-    """64-bit hashes of every run of ``width`` words of ``joined``, words separated by one space each.
+#: Bytes of a text that are hashed at once (about 44 times as many are held meanwhile).
+HASHED_AT_ONCE = 1 << 20
+
+
+def one_space(words: bytes) -> bytes:
+    """Words with one space between them, white space runs gone. Long texts become no list of words: runs of spaces halve instead."""
+    if len(words) <= HASHED_AT_ONCE:
+        return b" ".join(words.split())
+    words = words.translate(bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256)))
+    while b"  " in words:
+        words = words.replace(b"  ", b" ")
+    return words.strip(b" ")
 
-    A polynomial hash over randomised bytes, so that one prefix sum serves all spans; with fewer words than ``width`` the whole sequence is one span, and without words there is none."""
+
+def span_hashes(joined: bytes, width: int) -> np.ndarray:
+    """64-bit hashes of every run of ``width`` words of ``joined``, words separated by one space each, in order.
+
+    With fewer words than ``width`` the whole sequence is one span, and without words there is none. A long text is hashed in
+    parts; each takes the words that its last spans need from the next one."""
+    if len(joined) <= HASHED_AT_ONCE:
+        return _span_hashes(joined, width)
+    out, at = [], 0
+    while at < len(joined):
+        end = stop = joined.find(b" ", at + HASHED_AT_ONCE)
+        for _ in range(width - 1):
+            stop = joined.find(b" ", stop + 1) if stop >= 0 else -1
+        part = joined[at:] if stop < 0 else joined[at:stop]
+        if not at or part.count(b" ") >= width - 1:
+            out.append(_span_hashes(part, width))
+        # Beyond ``end`` stand the words of the next part; without a place to stop, this part had all spans.
+        at = len(joined) if stop < 0 else end + 1
+    return np.concatenate(out)
+
+
+def _span_hashes(joined: bytes, width: int) -> np.ndarray:
+    """A polynomial hash over randomised bytes, so that one prefix sum serves all spans."""
     if not joined:
         return np.empty(0, np.uint64)
     raw = np.frombuffer(joined, np.uint8)

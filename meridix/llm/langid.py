@@ -99,7 +99,9 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """Learn from rows with text and lang that are not held out: about ``sample_per_lang`` whole texts a language, chosen by a hash of the id."""
+    """Learn from rows with text and lang that are not held out: about ``sample_per_lang`` whole texts a language, chosen by a hash of id and text.
+
+    Every language counts as equally likely beforehand (no prior): how often a corpus has it says little of one text."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
     labels = sorted(counts)
@@ -108,7 +110,8 @@ def learn(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageMo
     if not labels:
         return LanguageModel([], np.empty((1 << BUCKET_BITS, 0), np.float32))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_per_lang / n))]), F.col("lang"))
-    sample = rows.where(learning_share(F.col("doc_id"), share))
+    # By id and text: rows that share an id, or have none, are chosen one by one.
+    sample = rows.where(learning_share(share, F.col("doc_id"), F.col("text")))
 
     def count(batches):
         held: dict[str, np.ndarray] = {}

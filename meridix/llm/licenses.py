@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridix.llm.common import PLAIN
+from meridix.llm.common import PLAIN, one_space
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -71,10 +71,8 @@ def notice(label: str, words: str, edits: int) -> Notice:
 
 
 def collapsed(words: bytes) -> bytes:
-    """One space before, between and after words; empty without a word. Runs of spaces halve, so no list of words is made."""
-    while b"  " in words:
-        words = words.replace(b"  ", b" ")
-    words = words.strip(b" ")
+    """One space before, between and after words; empty without a word."""
+    words = one_space(words)
     return b" " + words + b" " if words else b""
 
 

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridix.llm.common import GOLDEN, discard, materialize, mix64, slices, small, span_hashes
+from meridix.llm.common import GOLDEN, discard, materialize, mix64, one_space, slices, small, span_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,7 +47,7 @@ BATCH = 400_000
 
 def normal_words(text: str | None) -> bytes:
     """The words of a text, A-Z lower-cased, with one space between them; bytes.split cuts at ASCII white space only."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    return one_space((text or "").encode("utf-8", "surrogatepass").lower())
 
 
 def shingle_set(joined: bytes, width: int = WIDTH) -> np.ndarray:

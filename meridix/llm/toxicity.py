@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridix.llm.common import GOLDEN, held_out, learning_share, materialize, mix64, small, span_hashes
+from meridix.llm.common import GOLDEN, held_out, learning_share, materialize, mix64, one_space, small, span_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,7 +37,7 @@ LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in r
 
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of letters, lower case) and of the bigrams that end in them."""
-    w = span_hashes(b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()), 1)
+    w = span_hashes(one_space((text or "").lower().encode("utf-8", "surrogatepass").translate(LETTERS)), 1)
     before = np.concatenate(([START], w[:-1])) if len(w) else w
     return w, before
 
@@ -266,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = CURVE_SHARE * min(sample_per_class, *(counts.get(c, 0) for c in (0, 1)))
     share = F.when(F.col("toxic") == 1, wanted / max(1, counts.get(1, 0))).otherwise(wanted / max(1, counts.get(0, 0)))
-    for_curve = learning_share(F.col("doc_id"), share)
+    for_curve = learning_share(share, F.col("doc_id"))
     counted = rows.where(~for_curve) if len(counts) == 2 else rows.limit(0)
     pairs = materialize(_count_pairs(counted.select("text", "toxic")), "toxic-pairs")
     made = Learned(_word_model(pairs), None)
