@@ -33,9 +33,30 @@ def intent_scores(events: DataFrame, today: str) -> DataFrame:
     return raw.select("user_id", "n_signals", decimal(F.col("raw"), 4).alias("raw_intent"), decimal(F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.col("raw"))), 2).alias("intent"))
 
 
-def traffic_class(agent: Column, method: Column, repeats: Column, hints: Column) -> Column:
-    """automated, unknown or human_candidate, by the first rule that holds."""
-    return F.when(agent.rlike(r"(?i)bot|crawl|spider|preview|scanner|proxy"), "automated").when(method != "GET", "automated").when(repeats >= 20, "automated").when(hints >= 2, "human_candidate").otherwise("unknown")
+# What gives scanners, mail gateways and headless browsers away in a user agent; a name ending in bot must end there.
+SCANNERS = ("googleimageproxy", "proofpoint", "mimecast", "barracuda", "urlscan", "headlesschrome", "phantomjs", "crawler", "spider", r"bot(?:/|$|[^\p{L}\p{N}_])")
+#: How sure an event is to be a person's.
+CONFIDENCE = {"automated": 0.1, "human_candidate": 0.8, "unknown": 0.4}
+
+
+def traffic_class(agent: Column, method: Column, repeats: Column, accept: Column, client_hints: Column, fetch_mode: Column) -> tuple[Column, Column]:
+    """(class, reason): automated, unknown or human_candidate, by the first rule that holds. Null or empty headers are absent."""
+    there = lambda c: F.coalesce(c != "", F.lit(False))
+    label, why = F.lit("unknown"), F.lit("insufficient_evidence")
+    hints = sum((there(c).cast("int") for c in (accept, client_hints, fetch_mode)), F.lit(0))
+    rules = [(agent.rlike("(?i)" + p), "automated", f"scanner_{k}") for k, p in enumerate(SCANNERS, 1)]
+    rules += [
+        (~F.upper(method).isin("GET", "HEAD"), "unknown", "non_browser_method"),
+        ((F.coalesce(repeats, F.lit(1)) >= 20) & ~there(fetch_mode), "automated", "high_repeat_without_fetch_metadata"),
+        ((hints >= 2) & there(agent), "human_candidate", "coherent_browser_hints"),
+    ]
+    for holds, to, reason in reversed(rules):
+        label, why = F.when(holds, to).otherwise(label), F.when(holds, reason).otherwise(why)
+    return label, why
+
+
+def confidence(label: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), label).cast("decimal(3,2)")
 
 
 def backoff_seconds(attempt: Column, base: int = 60, cap: int = 3600, most: int = 3) -> Column:

@@ -22,6 +22,20 @@ def duplicate_decisions(df: DataFrame, record_id: str, keys: list[str]) -> DataF
     return df.join(first, keys).withColumn("decision", F.when(F.col(record_id) == F.col("canonical_id"), "unique").otherwise("exact_duplicate"))
 
 
+def trailing_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, tuple[Column, int]], stretch: int = 3600) -> DataFrame:
+    """For each name the sum of a column over the rows of the same keys in the last so many seconds, each row included: (t - seconds, t].
+
+    A key's rows are dealt by stretches of time, once for all windows, each with the rows before it that the widest window
+    reaches; rows of one instant count together."""
+    stretch = max(stretch, *(seconds for _, seconds in sums.values())) * 1_000_000
+    own = F.floor(F.col("_at") / stretch)
+    dealt = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns({f"_{name}": c for name, (c, _) in sums.items()}).withColumn("_own", own)
+    dealt = dealt.withColumn("_in", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    by = Window.partitionBy(*keys, "_in").orderBy("_at")
+    found = dealt.withColumns({name: F.sum(f"_{name}").over(by.rangeBetween(1 - seconds * 1_000_000, 0)) for name, (_, seconds) in sums.items()})
+    return found.where("_in = _own").drop("_at", "_own", "_in", *[f"_{name}" for name in sums])
+
+
 def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str, stretch: int = 3600) -> DataFrame:
     """Rows of the same keys in the last ``seconds``, each row included. A key's rows are dealt by stretches of time, each with the rows before it that its windows reach."""
     stretch = max(seconds, stretch) * 1_000_000

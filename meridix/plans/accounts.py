@@ -52,21 +52,32 @@ def session_gap_windows(spark, folder):
     return s.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
-AGENT = "CASE event_type WHEN 'error' THEN 'LinkScanner/1.0' WHEN 'view' THEN 'Mozilla/5.0 (X11)' WHEN 'signup' THEN 'FeedBot/2' ELSE 'Mozilla/5.0' END"
-TRAFFIC = f"""SELECT event_id, user_id, CASE WHEN regexp_matches({AGENT}, '(?i)bot|crawl|spider|preview|scanner|proxy') THEN 'automated' WHEN (CASE WHEN event_id % 11 = 0 THEN 'HEAD' ELSE 'GET' END) <> 'GET' THEN 'automated' WHEN event_id % 25 >= 20 THEN 'automated' WHEN user_id % 4 >= 2 THEN 'human_candidate' ELSE 'unknown' END AS traffic FROM events"""
+# Requests have no headers in the tables; agents of all ten kinds, near misses and browsers follow from an event's id, in the query and its twin alike.
+AGENTS = ("Mozilla/5.0 (X11)", "GoogleImageProxy", "Mozilla/5.0 Proofpoint", "Mimecast-1", "barracuda/2", "urlscan.io", "HeadlessChrome/9", "PhantomJS", "news-crawler", "Baiduspider", "FeedBot/2", "superbot", "robotics lab", "botanist", "Mozilla/5.0 (Mac)", None)
+LISTED = "[" + ", ".join("NULL" if a is None else f"'{a}'" for a in AGENTS) + "]"
+TRAFFIC = f"""SELECT event_id, user_id, ts, CASE WHEN scanner > 0 THEN 'automated' WHEN upper(method) NOT IN ('GET', 'HEAD') THEN 'unknown' WHEN repeats >= 20 AND mode IS NULL THEN 'automated' WHEN hints >= 2 AND agent IS NOT NULL THEN 'human_candidate' ELSE 'unknown' END AS traffic,
+CASE WHEN scanner > 0 THEN 'scanner_' || scanner WHEN upper(method) NOT IN ('GET', 'HEAD') THEN 'non_browser_method' WHEN repeats >= 20 AND mode IS NULL THEN 'high_repeat_without_fetch_metadata' WHEN hints >= 2 AND agent IS NOT NULL THEN 'coherent_browser_hints' ELSE 'insufficient_evidence' END AS reason
+FROM (SELECT *, CASE WHEN agent IS NULL THEN 0 ELSE coalesce(list_position([agent ILIKE '%' || p || '%' FOR p IN ['googleimageproxy', 'proofpoint', 'mimecast', 'barracuda', 'urlscan', 'headlesschrome', 'phantomjs', 'crawler', 'spider']] || [lower(agent) IN ('feedbot/2', 'superbot')], true), 0) END AS scanner, CAST(user_id % 2 = 0 AS INT) + CAST(user_id % 3 = 0 AS INT) + CAST(mode IS NOT NULL AS INT) AS hints
+FROM (SELECT event_id, user_id, ts, {LISTED}[(event_id % 16 + 1)::INT] AS agent, CASE event_id % 11 WHEN 0 THEN 'head' WHEN 1 THEN 'POST' ELSE 'GET' END AS method, event_id % 25 AS repeats, CASE WHEN user_id % 5 < 3 THEN 'navigate' END AS mode FROM events))"""
+
+
+def requests(events):
+    """Events as requests, with the headers that AGENTS and the ids give them."""
+    i = F.col("event_id")
+    agent = F.element_at(F.array(*map(F.lit, AGENTS)), (i % 16 + 1).cast("int"))
+    method = F.when(i % 11 == 0, "head").when(i % 11 == 1, "POST").otherwise("GET")
+    header = lambda holds, value: F.when(holds, value)
+    return events.withColumns({"agent": agent, "method": method, "repeats": i % 25, "accept": header(F.col("user_id") % 2 == 0, "text/html"), "client_hints": header(F.col("user_id") % 3 == 0, "x"), "fetch_mode": header(F.col("user_id") % 5 < 3, "navigate")})
 
 
 def _traffic(spark, folder):
-    e = table(spark, folder, "events")
-    agent = F.when(F.col("event_type") == "error", "LinkScanner/1.0").when(F.col("event_type") == "view", "Mozilla/5.0 (X11)").when(F.col("event_type") == "signup", "FeedBot/2").otherwise("Mozilla/5.0")
-    method = F.when(F.col("event_id") % 11 == 0, "HEAD").otherwise("GET")
-    # Repeats and browser hints come with a request; here they follow from its ids.
-    return e.select("event_id", "user_id", scoring.traffic_class(agent, method, F.col("event_id") % 25, F.col("user_id") % 4).alias("traffic"))
+    label, why = scoring.traffic_class(*(F.col(c) for c in ("agent", "method", "repeats", "accept", "client_hints", "fetch_mode")))
+    return requests(table(spark, folder, "events")).select("event_id", "user_id", label.alias("traffic"), why.alias("reason"))
 
 
-@query(f"SELECT *, CAST(CASE traffic WHEN 'automated' THEN 0.1 WHEN 'human_candidate' THEN 0.8 ELSE 0.4 END AS DECIMAL(3, 2)) AS confidence FROM ({TRAFFIC})")
+@query(f"SELECT event_id, user_id, traffic, reason, CAST(CASE traffic WHEN 'automated' THEN 0.1 WHEN 'human_candidate' THEN 0.8 ELSE 0.4 END AS DECIMAL(3, 2)) AS confidence FROM ({TRAFFIC})")
 def traffic_classification(spark, folder):
-    return _traffic(spark, folder).withColumn("confidence", F.when(F.col("traffic") == "automated", 0.1).when(F.col("traffic") == "human_candidate", 0.8).otherwise(0.4).cast("decimal(3,2)"))
+    return _traffic(spark, folder).withColumn("confidence", scoring.confidence(F.col("traffic")))
 
 
 @query(f"SELECT user_id, count(*) AS n_human FROM ({TRAFFIC}) WHERE traffic <> 'automated' GROUP BY user_id")
@@ -97,13 +108,20 @@ def upsert_latest_wins(spark, folder):
     return windows.upsert_latest(e.where("version % 2 = 0"), e.where("version % 2 = 1"), ["user_id", "event_type"], "version", "created_at")
 
 
-MOVES = {("new", "view"): "aware", ("new", "click"): "engaged", ("aware", "click"): "engaged", ("aware", "signup"): "trial", ("engaged", "signup"): "trial", ("trial", "purchase"): "customer", ("engaged", "error"): "follow_up_due", ("follow_up_due", "click"): "engaged", ("follow_up_due", "signup"): "trial"}
-STEP = "CASE " + " ".join(f"WHEN s = '{a}' AND x = '{b}' THEN '{c}'" for (a, b), c in MOVES.items()) + " ELSE s END"
+# An event as an observation of a contact; every seventh is an answer, every eleventh finds the contact connected.
+KINDS = {"signup": "connection_request_sent", "click": "message_sent", "purchase": "Connection_Accepted ", "error": "opt_out", "view": "profile_viewed"}
+SEEN = "CASE WHEN event_id % 7 = 0 THEN 'replied' WHEN event_id % 11 = 0 OR event_type = 'purchase' THEN 'active' WHEN event_type IN ('signup', 'click') THEN 'awaiting_reply' WHEN event_type = 'error' THEN 'suppressed' END"
+NEXT_AT = "TIMESTAMP '2024-01-10' + INTERVAL 1 DAY * (event_id % 12)"
 
 
-@query(f"SELECT user_id, list_reduce(list_prepend('new', list(event_type ORDER BY event_id)), lambda s, x: {STEP}) AS state, count(*) AS n_events FROM events GROUP BY user_id")
+@query(f"""WITH o AS (SELECT user_id, event_id, {SEEN} AS settled, ts >= {NEXT_AT} AS late, {NEXT_AT} AS next_at FROM events)
+SELECT user_id, count(*) AS n_events, list_reduce(['new'] || list(coalesce(settled, CASE WHEN late THEN 'late' ELSE '' END) ORDER BY event_id), lambda s, x: CASE WHEN x = 'late' AND s = 'awaiting_reply' THEN 'follow_up_due' WHEN x IN ('late', '') THEN s ELSE x END) AS state, arg_max(CASE WHEN coalesce(settled, 'active') IN ('active', 'awaiting_reply') THEN [next_at] ELSE [NULL] END, event_id)[1] AS next_action_at FROM o GROUP BY user_id""")
 def contact_state_machine(spark, folder):
-    return folds.fold_states(table(spark, folder, "events"), "user_id", "event_id", "event_type", "new", MOVES)
+    i, e = F.col("event_id"), table(spark, folder, "events")
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.col("event_type"))
+    due = F.lit("2024-01-10").cast("timestamp_ntz") + F.make_dt_interval((i % 12).cast("int"))
+    o = e.select("user_id", "event_id", kind.alias("event"), (i % 7 == 0).alias("inbound_message"), F.when(i % 11 == 0, True).alias("connected"), F.col("ts").alias("observed_at"), due.alias("next_action_at"))
+    return folds.fold_states(o, "user_id", "event_id", "new")
 
 
 BUCKET = "CAST(('0x' || substr(sha256('exp-1:' || c_custkey), 1, 16))::UBIGINT % 10000 AS INT)"

@@ -11,14 +11,23 @@ from meridix.plans.registry import query
 from meridix.sources.tables import scratch, table
 from meridix.streaming import sessions
 
-AGO = "OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {} SECOND PRECEDING AND CURRENT ROW)"
+# Searches in a minute and an hour, fetched URLs in a minute and a day.
+SEARCHES, FETCHES = (27, 450), (135, 900)
+AGO = "OVER (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL {} MICROSECOND PRECEDING AND CURRENT ROW)"
+# Requests: a search for each view and click, else a fetch of up to ten URLs.
+CALLS = "SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 'search' ELSE 'fetch' END AS kind, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE event_id % 10 + 1 END AS urls FROM events"
 
 
-@query(f"SELECT event_type, count(*) AS n, count_if(m > 3) AS over_minute, count_if(h > 27) AS over_hour, max(h) AS peak_hour FROM (SELECT event_type, count(*) {AGO.format(60)} AS m, count(*) {AGO.format(3600)} AS h FROM events) GROUP BY event_type")
+@query(f"SELECT kind, count(*) AS n, sum(urls)::BIGINT AS urls, max(m)::BIGINT AS peak_minute, max(h)::BIGINT AS peak_hour, max(d)::BIGINT AS peak_day, count_if(m > CASE kind WHEN 'search' THEN {SEARCHES[0]} ELSE {FETCHES[0]} END) AS over_minute, count_if(kind = 'search' AND h > {SEARCHES[1]}) AS over_hour, count_if(kind = 'fetch' AND d > {FETCHES[1]}) AS over_day FROM (SELECT kind, urls, sum(urls) {AGO.format(59_999_999)} AS m, sum(urls) {AGO.format(3_599_999_999)} AS h, sum(urls) {AGO.format(86_399_999_999)} AS d FROM ({CALLS})) GROUP BY kind")
 def rate_ceilings(spark, folder):
-    e = windows.trailing_count(table(spark, folder, "events"), ["event_type"], "ts", 60, "m")
-    e = windows.trailing_count(e, ["event_type"], "ts", 3600, "h")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m") > 3).alias("over_minute"), F.count_if(F.col("h") > 27).alias("over_hour"), F.max("h").alias("peak_hour"))
+    """Requests that their windows' ceilings would hold back: sums of URLs, all windows over one deal by stretches of time."""
+    search = F.col("event_type").isin("view", "click")
+    calls = table(spark, folder, "events").select("ts", F.when(search, "search").otherwise("fetch").alias("kind"), F.when(search, 1).otherwise(F.col("event_id") % 10 + 1).alias("urls"))
+    w = windows.trailing_sums(calls, ["kind"], "ts", {"m": (F.col("urls"), 60), "h": (F.col("urls"), 3600), "d": (F.col("urls"), 86400)})
+    is_search = F.col("kind") == "search"
+    over = {"over_minute": F.col("m") > F.when(is_search, SEARCHES[0]).otherwise(FETCHES[0]), "over_hour": is_search & (F.col("h") > SEARCHES[1]), "over_day": ~is_search & (F.col("d") > FETCHES[1])}
+    peaks = {"peak_minute": "m", "peak_hour": "h", "peak_day": "d"}
+    return w.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("urls").alias("urls"), *[F.max(c).alias(k) for k, c in peaks.items()], *[F.count_if(c).alias(k) for k, c in over.items()])
 
 
 @query("SELECT user_id, count(*) AS requests, count_if(ts - before < INTERVAL 21600 SECOND) AS hits FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")

@@ -47,3 +47,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='meridix-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the scratch folder and read back: what follows starts from files that any executor can read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
