@@ -16,11 +16,11 @@ def contains_any(text: Column, words) -> Column:
     return reduce(or_, (text.contains(w) for w in words))
 
 
-def first_of(text: Column, rules, default=None) -> Column:
-    """The label of the first (needle, label) whose needle the text holds."""
+def first_of(has, rules, default=None) -> Column:
+    """The label of the first (needle, label) whose needle the text holds (``has``, from words to a condition)."""
     out = F.lit(default).cast("string")
     for needle, label in reversed(rules):
-        out = F.when(text.contains(needle), label).otherwise(out)
+        out = F.when(has([needle]), label).otherwise(out)
     return out
 
 
@@ -33,23 +33,20 @@ def words_in(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def fit_raw(notes: Column, employees: Column, sessions: Column, login: Column) -> Column:
-    """Points for size, traffic and login, and for each group of words that the notes hold; capped at 10 by ``capped``."""
-    text = F.lower(F.coalesce(notes, F.lit("")))
+def fit_raw(has, employees: Column, sessions: Column, login: Column) -> Column:
+    """Points for size, traffic and login, and for each group of words that the notes hold (``has``, from words to a condition); capped at 10 by ``capped``."""
     points = [F.when(employees.between(50, 500), 1), F.when(sessions.between(100_000, 5_000_000), 1), F.when(login, 1)]
-    points += [F.when(contains_any(text, words), n) for _, n, words in V.FIT_AMPLIFIERS]
+    points += [F.when(has(words), n) for _, n, words in V.FIT_AMPLIFIERS]
     return reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0)) for p in points))
 
 
-def fit_attributes(notes: Column, employees: Column, sessions: Column, login: Column) -> Column:
-    text = F.lower(F.coalesce(notes, F.lit("")))
+def fit_attributes(has, employees: Column, sessions: Column, login: Column) -> Column:
     facts = [(employees.between(50, 500), "employee_band"), (sessions.between(100_000, 5_000_000), "traffic_band"), (login, "login_surface")]
-    return labels(*facts, *[(contains_any(text, words), key) for key, _, words in V.FIT_AMPLIFIERS])
+    return labels(*facts, *[(has(words), key) for key, _, words in V.FIT_AMPLIFIERS])
 
 
-def negative_flags(notes: Column) -> Column:
-    text = F.lower(F.coalesce(notes, F.lit("")))
-    return labels(*[(contains_any(text, words), key) for key, words in V.NEGATIVE_RULES])
+def negative_flags(has) -> Column:
+    return labels(*[(has(words), key) for key, words in V.NEGATIVE_RULES])
 
 
 def capped(raw: Column) -> Column:

@@ -51,10 +51,11 @@ def _midnight(now, zone):
 
 
 def _sent_today(sends, owners, key: str, owner: str, zone: str, name: str):
-    """Per owner the sends since its local midnight: one partial count, no correlated scan."""
+    """Per owner the sends since its local midnight, no correlated scan: sends are counted by owner and minute first (every zone's midnight is a whole minute), and only those counts meet the owners."""
     now = F.lit(NOW).cast("timestamp_ntz")
-    sent = sends.where("status = 'sent'").select(F.col(key).alias("_key"), "scheduled_at").join(F.broadcast(owners.select(F.col(owner).alias("_key"), F.col(zone).alias("_zone"))), "_key")
-    return sent.where(F.col("scheduled_at") >= _midnight(now, F.col("_zone"))).groupBy("_key").agg(F.count(F.lit(1)).alias(name))
+    sent = sends.where("status = 'sent'").groupBy(F.col(key).alias("_key"), F.date_trunc("minute", "scheduled_at").alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    met = sent.join(owners.select(F.col(owner).alias("_key"), F.col(zone).alias("_zone")), "_key")
+    return met.where(F.col("_minute") >= _midnight(now, F.col("_zone"))).groupBy("_key").agg(F.sum("_n").alias(name))
 
 
 MIDNIGHT = "date_trunc('day', TIMESTAMP '" + NOW + "' + {0}) - {0}"

@@ -1,4 +1,4 @@
-"""Queries on delivery control: rate ceilings, caches, leases, attempts, verification, merged candidates, streamed sessions."""
+"""Queries on delivery control: rate ceilings, leases, attempts, verification, merged candidates, streamed sessions."""
 
 from __future__ import annotations
 
@@ -30,14 +30,6 @@ def rate_ceilings(spark, folder):
     return w.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("urls").alias("urls"), *[F.max(c).alias(k) for k, c in peaks.items()], *[F.count_if(c).alias(k) for k, c in over.items()])
 
 
-@query("SELECT user_id, count(*) AS requests, count_if(ts - before < INTERVAL 21600 SECOND) AS hits FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
-def cache_hits(spark, folder):
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
-    e = table(spark, folder, "events").select("user_id", "ts", before.alias("before"))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"), F.count_if(age < 21600 * 1_000_000).alias("hits"))
-
-
 @query("SELECT user_id, attempts, CASE WHEN decided IS NOT NULL THEN 'complete' WHEN attempts >= 5 THEN 'failed' ELSE 'pending' END AS status FROM (SELECT user_id, count_if(event_type = 'error') AS attempts, max(CASE WHEN event_type = 'purchase' AND value > 180 THEN 1 END) AS decided FROM events GROUP BY user_id)")
 def analysis_job_status(spark, folder):
     e = table(spark, folder, "events")

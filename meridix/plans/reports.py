@@ -92,12 +92,12 @@ def recent_companies(spark, folder):
     return top.join(found, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("c_custkey", F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("completed_at"), *map(zero, ("evidence", "people", "signals")))
 
 
-@query("SELECT s_nationkey, string_agg(s_name || ':' || CAST(CAST(s_acctbal AS DECIMAL(18, 2)) AS VARCHAR), ';' ORDER BY s_acctbal DESC, s_name) AS detail, count_if(s_acctbal > 0) AS depth FROM supplier GROUP BY s_nationkey")
+@query("SELECT c_custkey // 20 AS company, string_agg(c_name || ':' || CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR), ';' ORDER BY c_acctbal DESC, c_name) AS detail, count_if(c_acctbal > 0) AS depth FROM customer GROUP BY 1")
 def company_details(spark, folder):
-    """The people of each company in one ordered line, and how many have evidence."""
-    entry = F.struct((-F.col("s_acctbal")).alias("a"), F.col("s_name").alias("b"), F.concat("s_name", F.lit(":"), F.col("s_acctbal").cast("decimal(18,2)").cast("string")).alias("c"))
-    s = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(entry)).alias("all"), F.count_if(F.col("s_acctbal") > 0).alias("depth"))
-    return s.select("s_nationkey", F.array_join(F.transform("all", lambda x: x["c"]), ";").alias("detail"), "depth")
+    """The people of each company (twenty at most) in one ordered line, and how many have evidence."""
+    entry = F.struct((-F.col("c_acctbal")).alias("a"), F.col("c_name").alias("b"), F.concat("c_name", F.lit(":"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("c"))
+    s = table(spark, folder, "customer").groupBy(F.expr("c_custkey div 20").alias("company")).agg(F.array_sort(F.collect_list(entry)).alias("all"), F.count_if(F.col("c_acctbal") > 0).alias("depth"))
+    return s.select("company", F.array_join(F.transform("all", lambda x: x["c"]), ";").alias("detail"), "depth")
 
 
 @query("SELECT user_id, event_id, event_type, ts, CASE event_type WHEN 'click' THEN 'link' WHEN 'error' THEN 'system' ELSE 'page' END AS surface FROM events WHERE event_type IN ('click', 'view', 'signup')")

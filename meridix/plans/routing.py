@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridix.functions import vocabulary as V
-from meridix.operators import rules, scoring
+from meridix.operators import rules, scoring, terms
 from meridix.plans.accounts import SCORES, TODAY
 from meridix.plans.registry import query
 from meridix.plans.sqltext import has_any, labels, listed, quoted
@@ -52,10 +52,12 @@ def company_fit(spark, folder):
     key = F.col("doc_id")
     d = table(spark, folder, "documents").selectExpr("doc_id", "text", *[f"{sql.format(k='doc_id')} AS {name}" for name, sql in STRUCTURE.items()])
     d = d.withColumn("notes", F.concat_ws(" ", "text", _phrase(key), _phrase(key * 7 + 3)))
-    facts = [F.col(c) for c in ("notes", *STRUCTURE)]
-    raw = rules.fit_raw(*facts)
+    found = terms.Index(w for *_, words in V.FIT_AMPLIFIERS + V.NEGATIVE_RULES for w in words)
+    d = d.withColumn("found", found.terms_in(F.lower(F.coalesce("notes", F.lit("")))))
+    facts, has = [F.col(c) for c in STRUCTURE], found.any_of(F.col("found"))
+    raw = rules.fit_raw(has, *facts)
     joined = lambda c: F.array_join(c, ",")
-    return d.select("doc_id", raw.alias("raw"), rules.capped(raw).alias("fit"), joined(rules.fit_attributes(*facts)).alias("attributes"), joined(rules.negative_flags(F.col("notes"))).alias("flags"))
+    return d.select("doc_id", raw.alias("raw"), rules.capped(raw).alias("fit"), joined(rules.fit_attributes(has, *facts)).alias("attributes"), joined(rules.negative_flags(has)).alias("flags"))
 
 
 STAGES = [*V.BEHAVIOUR_P1, "VISITED", "UNKNOWN", "READ_DOCS", "LEFT", "NEW", "OPENED"]
@@ -86,8 +88,10 @@ def priority_routing(spark, folder):
     c = table(spark, folder, "customer").selectExpr("c_custkey", "c_mktsegment", *[f"{sql.format(k='c_custkey')} AS {name}" for name, sql in STRUCTURE.items()])
     c = c.withColumn("notes", F.concat_ws(", ", _phrase(key), _phrase(key * 5 + 1), _phrase(key * 11 + 2), _phrase(key * 13 + 5)))
     stage = F.get(F.array(*map(F.lit, STAGES)), (key % (len(STAGES) * 4)).cast("int"))
-    facts = [F.col(x) for x in ("notes", *STRUCTURE)]
-    c = c.select(key, "c_mktsegment", rules.capped(rules.fit_raw(*facts)).alias("fit"), rules.negative_flags(F.col("notes")).alias("flags"), F.coalesce(stage.isin(*V.BEHAVIOUR_P1), F.lit(False)).alias("behaviour"))
+    found = terms.Index(w for *_, words in V.FIT_AMPLIFIERS + V.NEGATIVE_RULES for w in words)
+    facts, has = [F.col(x) for x in STRUCTURE], found.any_of(F.col("found"))
+    c = c.withColumn("found", found.terms_in(F.lower("notes")))
+    c = c.select(key, "c_mktsegment", rules.capped(rules.fit_raw(has, *facts)).alias("fit"), rules.negative_flags(has).alias("flags"), F.coalesce(stage.isin(*V.BEHAVIOUR_P1), F.lit(False)).alias("behaviour"))
     s = scoring.intent_scores(table(spark, folder, "events"), TODAY).select("user_id", "intent")
     j = c.join(s, key == F.col("user_id"), "left").withColumn("intent", F.coalesce("intent", F.lit(0).cast("decimal(18,2)")))
     priority, modifiers = rules.route(F.col("fit"), F.col("intent"), F.col("behaviour"), F.col("flags"), key % 5 == 0, key % 4)
