@@ -20,7 +20,8 @@ def intent_signals(pages: DataFrame) -> DataFrame:
     contexts = [(s, c) for s, own in V.INTENT_CONTEXTS for c in own]
     index = terms.Index(t for _, c in contexts for t in c)
     text = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
-    p = pages.where("event_date is not null").select("id", "event_date", index.terms_in(text).alias("found")).where(F.size("found") > 0)
+    # Terms first: few pages hold any, and only those are read for a date.
+    p = pages.select("id", "event_date", index.terms_in(text).alias("found")).where((F.size("found") > 0) & F.col("event_date").isNotNull())
     shown = F.array(*[F.struct(F.lit(V.SIGNAL_NAMES.get(s, s)).alias("signal_type"), index.first_context(F.col("found"), own).alias("terms")) for s, own in V.INTENT_CONTEXTS])
     p = p.select("id", "event_date", F.explode(F.filter(shown, lambda s: s["terms"].isNotNull())).alias("s"))
     table = lambda at: F.create_map(*[F.lit(x) for k, v in V.INTENT_RULES.items() for x in (k, v[at])])

@@ -219,11 +219,15 @@ def event_dates(spark, folder):
 
 def event_date(published, page):
     """The published date, else the first ISO date of the page, else the first spelled-out one; impossible dates are none."""
-    d, iso = F.regexp_extract(page, US_DATE, 1), F.regexp_extract(page, ISO_DATE, 1)
-    month = F.element_at(F.create_map(*[F.lit(x) for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split()) for x in (m, f"{k + 1:02d}")]), F.lower(F.left(d, F.lit(3))))
-    spelled = F.concat_ws("-", F.right(d, F.lit(4)), month, F.lpad(F.regexp_extract(d, " +([0-9]+),", 1), 2, "0"))
+    months = F.create_map(*[F.lit(x) for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split()) for x in (m, f"{k + 1:02d}")])
     whole = lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
-    return F.coalesce(whole(F.substring(F.trim(published), 1, 10)), whole(iso), whole(F.when(d != "", spelled)))
+
+    def spelled(d):
+        return F.concat_ws("-", F.right(d, F.lit(4)), F.element_at(months, F.lower(F.left(d, F.lit(3)))), F.lpad(F.regexp_extract(d, " +([0-9]+),", 1), 2, "0"))
+
+    # The page is read for spelled-out dates once, if it has no other date: a name in a function stands for the match.
+    last = F.transform(F.array(F.regexp_extract(page, US_DATE, 1)), lambda d: F.when(d != "", whole(spelled(d))))
+    return F.coalesce(whole(F.substring(F.trim(published), 1, 10)), whole(F.regexp_extract(page, ISO_DATE, 1)), F.get(last, F.lit(0)))
 
 
 STATES = ["new", "awaiting_reply", "active", "replied"]
