@@ -60,3 +60,28 @@ def adjudicate(leads: DataFrame, compared: DataFrame) -> DataFrame:
     )
     matched = F.col("n_eligible") == 1
     return j.select("left_id", status.alias("status"), F.when(matched, F.col("best.right_id")).alias("best_id"), F.when(matched, F.col("best.score")).alias("score"), F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected"))
+
+
+# What a decision's trace says of each outcome.
+OUTCOMES = {
+    "UNRESOLVED": "No deterministic candidates were generated.", "NO_MATCH": "All candidates were rejected or lacked any positive identity evidence.",
+    "AMBIGUOUS": "Plausible candidate evidence exists, but deterministic identity evidence is insufficient; returning AMBIGUOUS.", "CONFLICT": "Multiple candidates have strong identity evidence; returning CONFLICT.",
+}
+
+
+def decision_records(leads: DataFrame, compared: DataFrame, budget: int) -> DataFrame:
+    """What is stored of each decision: left_id, status, best_id, decision_id, rejected, research_required, trace.
+
+    The id is a digest of the candidates and their scores, best first, so a decision that would come out of other evidence
+    is another one. A lead has ``budget`` candidates at most, so its ordered list is short."""
+    eligible = F.col("strong") & ~F.col("rejected")
+    lists = compared.groupBy("left_id").agg(F.sort_array(F.collect_list(F.struct(eligible.alias("eligible"), "score", "right_id", "rejected")), False).alias("all"))
+    j = adjudicate(leads, compared).join(lists, "left_id", "left").withColumn("all", F.coalesce("all", F.array().cast(lists.schema["all"].dataType)))
+    material = F.array_join(F.transform("all", lambda c: F.concat(c["right_id"].cast("string"), F.lit(":"), c["score"].cast("string"))), "|")
+    lead = F.col("left_id").cast("string")
+    said = F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair]), F.col("status"))
+    chosen = F.concat(F.lit("Candidate "), F.col("best_id").cast("string"), F.lit(" selected with score "), F.col("score").cast("string"), F.lit("."))
+    trace = F.array(F.concat(F.lit("candidate_generation: Selected "), F.size("all").cast("string"), F.lit(f" candidates with budget {budget}.")), F.concat(F.lit("adjudication: "), F.coalesce(said, chosen)))
+    rejected = F.array_join(F.transform(F.filter("all", lambda c: c["rejected"]), lambda c: c["right_id"].cast("string")), ",")
+    decision = F.concat(F.lit("erd:"), lead, F.lit(":"), F.substring(F.sha2(F.concat(lead, F.lit("|"), material), 256), 1, 24))
+    return j.select("left_id", "status", "best_id", decision.alias("decision_id"), rejected.alias("rejected"), (~F.col("status").startswith("MATCHED")).alias("research_required"), F.array_join(trace, " / ").alias("trace"))

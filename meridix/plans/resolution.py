@@ -17,15 +17,17 @@ BLOCKS = f"""
 SELECT p_partkey AS id, unnest(list_concat(list_transform(list_filter(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')), lambda t: t <> '' AND t NOT IN ({listed(T.LEGAL_SUFFIXES)})), lambda t: 't:' || t),
     CASE WHEN {BARE} <> '' THEN ['d:' || array_to_string(string_split({BARE}, '.')[-3:], '.')] ELSE [] END)) AS block FROM part
 """
+#: Candidates of a lead, by id: the table has no order of arrival.
+BUDGET = 25
 CANDIDATES = f"""
 SELECT left_id, right_id, position FROM (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS position FROM (
-    SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM ({BLOCKS}) a JOIN ({BLOCKS}) b ON a.block = b.block AND a.id <> b.id)) WHERE position <= 25
+    SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM ({BLOCKS}) a JOIN ({BLOCKS}) b ON a.block = b.block AND a.id <> b.id)) WHERE position <= {BUDGET}
 """
 
 
 def _candidates(spark, folder):
     named = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), T.bare_host(F.expr(DOMAIN)).alias("domain"))
-    return matching.blocked_pairs(named, named, 25)
+    return matching.blocked_pairs(named, named, BUDGET)
 
 
 @query(CANDIDATES)
@@ -62,6 +64,11 @@ FROM (SELECT p_partkey AS left_id FROM part) LEFT JOIN (
 """)
 def entity_compare_adjudicate(spark, folder):
     """Each lead's decision over its candidates. The weak signal of similar names (name_similarity) is left out: it ranks, but never decides."""
+    return matching.adjudicate(*_compared(spark, folder))
+
+
+def _compared(spark, folder):
+    """Leads, and their candidates with what speaks for and against each."""
     p = table(spark, folder, "part")
     side = lambda s: p.select(F.col("p_partkey").alias(f"{s}_id"), T.bare_host(F.expr(DOMAIN)).alias(f"{s}_domain"), T.normalized_name(F.col("p_name")).alias(f"{s}_name"), F.col("p_brand").alias(f"{s}_brand"), F.col("p_size").alias(f"{s}_size"))
     j = _candidates(spark, folder).join(side("left"), "left_id").join(side("right"), "right_id")
@@ -69,7 +76,23 @@ def entity_compare_adjudicate(spark, folder):
     signals = {k: F.expr(c) for k, c in FACTS.items()}
     signals |= {"exact_verified_canonical_domain": same("domain") & (F.col("right_size") % 3 == 0), "normalized_company_name": same("name"), "geography_match": same("brand")}
     leads = p.select(F.col("p_partkey").alias("left_id"), (F.col("p_partkey") % 4 == 0).alias("related"))
-    return matching.adjudicate(leads, matching.compare(j, signals))
+    return leads, matching.compare(j, signals)
+
+
+DECIDED = "CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN eligible = 0 AND plausible > 0 THEN 'AMBIGUOUS' WHEN eligible = 0 THEN 'NO_MATCH' WHEN eligible > 1 THEN 'CONFLICT' WHEN left_id % 4 = 0 THEN 'MATCHED_WITH_RELATIONSHIP' ELSE 'MATCHED' END"
+
+
+@query(f"""
+WITH compared AS ({COMPARED}),
+lists AS (SELECT left_id, count(*) AS n, count_if(strong AND NOT rejected) AS eligible, count_if(NOT rejected AND score > 0) AS plausible, max(right_id) FILTER (WHERE strong AND NOT rejected) AS top, max(score) FILTER (WHERE strong AND NOT rejected) AS points,
+    string_agg(right_id || ':' || score, '|' ORDER BY (strong AND NOT rejected) DESC, score DESC, right_id DESC) AS material, string_agg(right_id::VARCHAR, ',' ORDER BY score DESC, right_id DESC) FILTER (WHERE rejected) AS gone FROM compared GROUP BY left_id),
+decided AS (SELECT *, {DECIDED} AS status FROM (SELECT p_partkey AS left_id FROM part) LEFT JOIN lists USING (left_id))
+SELECT left_id, status, CASE WHEN eligible = 1 THEN top END AS best_id, 'erd:' || left_id || ':' || substr(sha256(left_id || '|' || coalesce(material, '')), 1, 24) AS decision_id, coalesce(gone, '') AS rejected, NOT starts_with(status, 'MATCHED') AS research_required,
+    'candidate_generation: Selected ' || coalesce(n, 0) || ' candidates with budget {BUDGET}. / adjudication: ' || CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in matching.OUTCOMES.items())} ELSE 'Candidate ' || top || ' selected with score ' || points || '.' END AS trace FROM decided
+""")
+def resolution_records(spark, folder):
+    """What is stored of each decision: its id, the candidates it rejects and how it came about."""
+    return matching.decision_records(*_compared(spark, folder), BUDGET)
 
 
 @query()

@@ -50,3 +50,16 @@ def test_host_and_url_forms(spark):
     assert value(T.canonical_url, "HTTP://A.com:80/b//?q#f") == "http://a.com/b?q" and value(T.phone, "+1 (2) 3-4") == "+1234"
     assert value(T.registrable_domain, "a.b.ac.uk") == "b.ac.uk" and value(T.email, "A@B@C.D") == "A@B@c.d"
     assert value(T.profile_url, "linkedin.com/company/x") is None
+
+
+def test_decision_records(spark):
+    import hashlib
+
+    leads = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False), (5, False)], "left_id long, related boolean")
+    compared = spark.createDataFrame([(2, 20, 55, False, False), (2, 21, -45, False, True), (3, 30, 100, True, False), (3, 31, 120, False, False), (4, 40, 100, True, False), (4, 41, 95, True, False), (5, 50, 0, True, True)], "left_id long, right_id long, score int, strong boolean, rejected boolean")
+    got = {r["left_id"]: r for r in matching.decision_records(leads, compared, 25).collect()}
+    assert {k: (r["status"], r["best_id"], r["rejected"], r["research_required"]) for k, r in got.items()} == {1: ("UNRESOLVED", None, "", True), 2: ("AMBIGUOUS", None, "21", True), 3: ("MATCHED_WITH_RELATIONSHIP", 30, "", False), 4: ("CONFLICT", None, "", True), 5: ("NO_MATCH", None, "50", True)}
+    # Eligible candidates come first, whatever the others' scores.
+    for lead, material in ((1, ""), (2, "20:55|21:-45"), (3, "30:100|31:120"), (4, "40:100|41:95")):
+        assert got[lead]["decision_id"] == f"erd:{lead}:{hashlib.sha256(f'{lead}|{material}'.encode()).hexdigest()[:24]}"
+    assert got[3]["trace"] == "candidate_generation: Selected 2 candidates with budget 25. / adjudication: Candidate 30 selected with score 100."
