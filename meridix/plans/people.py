@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridix.functions import vocabulary as V
-from meridix.operators import rules, terms, windows
+from meridix.operators import people, rules, terms, windows
 from meridix.plans.registry import query
 from meridix.plans.sqltext import first_of, has_any, labels, listed, quoted
 from meridix.sources.tables import table
@@ -318,3 +318,42 @@ def personal_contacts(spark, folder):
     found = F.transform(F.regexp_extract_all(F.expr(FOUND), F.lit(EMAIL), F.lit(0)), F.lower)
     own = F.filter(found, lambda e: ~F.substring_index(e, "@", 1).isin(*V.GENERIC_MAILBOXES))
     return table(spark, folder, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("contacts"))
+
+
+# Ten names with profiles that match, half match or lack; claims about them from line items.
+MAKERS = {
+    "full_name": pick(["Ada Lovelace", "Grace Hopper", "Mary Ann Evans", "Cher", "Jean-Luc O'Neil"], "s_suppkey"), "job_title": pick(["CTO", "Head of Product", None, "", "CFO & VP Finance"], "s_suppkey * 3"),
+    "role_family": pick(["security", None, ""], "s_suppkey"), "profile": pick(["https://www.linkedin.com/in/ada-lovelace", "https://www.linkedin.com/in/ghopper", None, "https://www.linkedin.com/in/cher", "https://www.linkedin.com/in/jean-luc-o-neil-7", "https://www.linkedin.com/in/grace-hopper"], "s_suppkey * 7"),
+    "domain": pick(["acme.com", "www.Acme.com", "other.org"], "s_suppkey * 11"), "company_name": pick(["Acme", None], "s_suppkey * 13"),
+}
+CLAIMS = {
+    "claim_type": pick(["company_current", "person", "former_role", "Company Page", None, "person", "person"], "l_orderkey + l_linenumber"), "claim_name": pick(["Ada Lovelace", "GRACE  hopper", "Mary Ann Evans", "jean luc o neil", None, "cher", "Ada Byron"], "l_orderkey * 3 + l_linenumber"),
+    "claim_text": pick(["leads engineering", "leads engineering", "leads engineering", "ex-acme", "previously cfo of other", "non-executive board director", "leads", "leads", "leads", "leads"], "l_orderkey * 7 + l_linenumber * 5"),
+    "ended": "l_orderkey % 23 = 0", "is_current": "CASE WHEN l_orderkey % 29 = 0 THEN FALSE WHEN l_orderkey % 3 = 0 THEN TRUE END", "claim_domain": pick(["acme.com", "WWW.ACME.com", None], "l_orderkey"), "claim_company": pick(["ACME", None, "Zed"], "l_linenumber"),
+    "source_url": pick(["https://www.acme.com/team", "https://linkedin.com/in/x", "https://blog.example.org/a", None, "https://news.acme.com:8443/b", "https://www.linkedin.com/y", "https://notacme.com"], "l_orderkey * 5 + l_linenumber * 3"),
+}
+_TOKENS = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+_AT = "regexp_replace(lower(regexp_extract(coalesce(source_url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
+_TARGET = "regexp_replace(lower(trim(domain)), '^www\\.', '')"
+_SLUG = "regexp_extract(profile, '([^/]*)$', 1)"
+
+
+@query(f"""
+WITH p AS (SELECT s_suppkey AS person_id, {', '.join(f'{s} AS {k}' for k, s in MAKERS.items())} FROM supplier), e AS (SELECT l_suppkey AS person_id, {', '.join(f'{s} AS {k}' for k, s in CLAIMS.items())} FROM lineitem WHERE l_partkey % 9 = 0),
+met AS (SELECT e.*, domain, company_name, lower(coalesce(claim_type, '')) AS kind, coalesce(claim_text, '') AS body, {_AT} AS h, {_TARGET} AS target FROM e JOIN p USING (person_id) WHERE trim(coalesce(claim_name, '')) <> '' AND {_TOKENS('claim_name')} = {_TOKENS('full_name')}),
+seen AS (SELECT person_id, bool_or(h <> '' AND (h = target OR ends_with(h, '.' || target))) AS site, bool_or(contains(kind, 'company') AND (regexp_replace(lower(coalesce(claim_domain, '')), '^www\\.', '') = target OR coalesce(company_name <> '' AND lower(coalesce(claim_company, '')) = lower(company_name), false))) AS claimed,
+    bool_or({has_any('kind', people.FORMER)} OR {has_any('body', people.FORMER)}) AS former, bool_or(coalesce(ended, false) OR coalesce(NOT is_current, false)) AS stale, bool_or({has_any('body', people.BOARD)} OR regexp_matches(body, {quoted(people.PAST_TITLE)})) AS board, count(DISTINCT CASE WHEN h NOT IN ('', 'linkedin.com') THEN h END) >= 2 AS free FROM met GROUP BY person_id),
+f AS (SELECT p.*, coalesce(site, false) AS site, coalesce(claimed, false) AS claimed, coalesce(former, false) AS former, coalesce(stale, false) AS stale, coalesce(free, false) AS free, coalesce(board, false) AND {has_any("lower(coalesce(job_title, ''))", people.OPERATING)} AS clash,
+    coalesce(len({_TOKENS('full_name')}) >= 2 AND len({_TOKENS(_SLUG)}) >= 2 AND list_has_all({_TOKENS(_SLUG)}, {_TOKENS('full_name')}), false) AND profile IS NOT NULL AS slug, coalesce(job_title, '') <> '' OR coalesce(role_family, '') <> '' AS titled FROM p LEFT JOIN seen USING (person_id)),
+g AS (SELECT *, (site OR claimed) AND NOT former AND NOT stale AS here FROM f),
+s AS (SELECT *, CAST(greatest(0, least(100, CASE WHEN slug OR free THEN 30 ELSE 0 END + CASE WHEN here THEN 30 ELSE 0 END + CASE WHEN titled THEN 20 ELSE 0 END + CASE WHEN site THEN 10 ELSE 0 END + CASE WHEN free THEN 10 ELSE 0 END - CASE WHEN former THEN 25 WHEN stale THEN 15 ELSE 0 END - CASE WHEN profile IS NOT NULL AND NOT slug THEN 20 ELSE 0 END)) / 100 AS DECIMAL(3, 2)) AS identity,
+    CAST(CASE WHEN former OR stale THEN 0 WHEN site AND free THEN 0.95 WHEN site THEN 0.85 WHEN here THEN 0.75 ELSE 0 END AS DECIMAL(3, 2)) AS employer, CAST(CASE WHEN slug THEN 0.95 WHEN profile IS NOT NULL THEN 0.80 ELSE 0 END AS DECIMAL(3, 2)) AS linkedin, CAST(CASE WHEN clash THEN 0 WHEN titled THEN 1 ELSE 0 END AS DECIMAL(3, 2)) AS title FROM g),
+o AS (SELECT *, CAST(least(1, identity * 0.65 + employer * 0.20 + linkedin * 0.15) AS DECIMAL(5, 4)) AS overall FROM s)
+SELECT person_id, identity, employer, linkedin, title, overall, CASE WHEN profile IS NULL OR employer < 0.75 OR title < 0.75 THEN 'review' WHEN overall >= 0.90 THEN 'outreach_ready' WHEN overall >= 0.75 THEN 'strong_candidate' ELSE 'review' END AS status,
+    array_to_string({labels(('slug OR free', 'name_match'), ('here', 'current_company_match'), ('titled', 'title_match'), ('site', 'company_site_support'), ('free', 'independent_source_support'), ('former', 'former_employee_penalty'), ('stale', 'stale_employment_penalty'), ('profile IS NOT NULL AND NOT slug', 'ambiguous_name_penalty'), ('clash', 'current_title_conflict'))}, ',') AS reasons FROM o
+""")
+def decision_maker_resolution(spark, folder):
+    """Confidences and status of found people from the evidence that names them."""
+    found = table(spark, folder, "supplier").selectExpr("s_suppkey AS person_id", *[f"{s} AS {k}" for k, s in MAKERS.items()])
+    claims = table(spark, folder, "lineitem").where("l_partkey % 9 = 0").selectExpr("l_suppkey AS person_id", *[f"{s} AS {k}" for k, s in CLAIMS.items()])
+    return people.resolve_people(found, claims)

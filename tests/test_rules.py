@@ -63,3 +63,29 @@ def test_decision_records(spark):
     for lead, material in ((1, ""), (2, "20:55|21:-45"), (3, "30:100|31:120"), (4, "40:100|41:95")):
         assert got[lead]["decision_id"] == f"erd:{lead}:{hashlib.sha256(f'{lead}|{material}'.encode()).hexdigest()[:24]}"
     assert got[3]["trace"] == "candidate_generation: Selected 2 candidates with budget 25. / adjudication: Candidate 30 selected with score 100."
+
+
+def test_people_from_evidence(spark):
+    from meridix.operators.people import resolve_people
+
+    page = "https://www.linkedin.com/in/"
+    people = [
+        (1, "Jane Doe", "CTO", None, page + "jane-doe", "acme.com", "Acme"), (2, "Jane Doe", "CTO", None, page + "jdoe", "acme.com", "Acme"), (3, "Jane Doe", "CFO", "finance", page + "doe-jane-1", "www.acme.com", None),
+        (4, "Cher", None, "", page + "cher", "acme.com", "Acme"), (5, "Bo Li", "", "security", None, "acme.com", "Acme"), (6, "Ann Lee", "Head of Growth", None, page + "ann-lee", "acme.com", "Acme"),
+    ]
+    evidence = [  # person, claim type, name, text, ended, current, domain, company, url
+        (1, "person", "jane  DOE", "leads", None, None, None, None, "https://www.acme.com/team"), (1, "person", "Jane Doe", "", None, True, None, None, "http://news.org:80/a"), (1, "person", "Jane Roe", "former", None, None, None, None, "x"),
+        (2, "company_current", "Jane Doe", "", None, None, "www.ACME.com", None, "https://linkedin.com/x"), (3, "person", "Jane Doe", "previously CFO of X".lower(), None, None, None, None, "https://eu.acme.com/"),
+        (5, "person", "Bo Li", "", None, False, None, None, "https://acme.com/"), (6, "former_role", "Ann Lee", "", None, None, None, None, "https://acme.com/"), (6, "person", "Ann Lee", "", None, None, None, None, "https://notacme.com/"),
+    ]
+    p = spark.createDataFrame(people, "person_id int, full_name string, job_title string, role_family string, profile string, domain string, company_name string")
+    e = spark.createDataFrame(evidence, "person_id int, claim_type string, claim_name string, claim_text string, ended boolean, is_current boolean, claim_domain string, claim_company string, source_url string")
+    got = {r["person_id"]: tuple(float(x) if k < 5 else x for k, x in enumerate(r[1:])) for r in resolve_people(p, e).collect()}
+    assert got == {
+        1: (1.0, 0.95, 0.95, 1.0, 0.9825, "outreach_ready", "name_match,current_company_match,title_match,company_site_support,independent_source_support"),
+        2: (0.3, 0.75, 0.8, 1.0, 0.465, "review", "current_company_match,title_match,ambiguous_name_penalty"),
+        3: (0.9, 0.85, 0.95, 0.0, 0.8975, "review", "name_match,current_company_match,title_match,company_site_support,current_title_conflict"),
+        4: (0.0, 0.0, 0.8, 0.0, 0.12, "review", "ambiguous_name_penalty"),
+        5: (0.15, 0.0, 0.0, 1.0, 0.0975, "review", "title_match,company_site_support,stale_employment_penalty"),
+        6: (0.45, 0.0, 0.95, 1.0, 0.435, "review", "name_match,title_match,company_site_support,independent_source_support,former_employee_penalty"),
+    }
