@@ -13,6 +13,7 @@ from meridix.operators import allocation, contracts, idempotency, threads, upser
 from meridix.plans.accounts import TRAFFIC, requests
 from meridix.plans.registry import query
 from meridix.plans.sqltext import quoted
+from meridix.sources import mail
 from meridix.sources.tables import scratch, table
 from meridix.streaming import ingestion, sessions
 
@@ -206,3 +207,25 @@ def open_task_upserts(spark, folder):
     op = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "claim").otherwise("upsert")
     e = table(spark, folder, "events").select("user_id", "event_id", "ts", "value", "event_type", op.alias("op"))
     return upserts.open_tasks(e, ["user_id"], "ts", "event_id", ["event_type", "value"])
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text, min(turn) OVER w AS first, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id))
+SELECT conv_id || '.' || turn AS uid, '<m' || conv_id || '.' || turn || '@x>' AS message_id, CASE WHEN turn % 5 = 4 THEN '' ELSE 'jo' || conv_id || '@example.com' END AS sender, 'Gruß ' || conv_id AS subject,
+    CASE WHEN before IS NULL THEN '<m' || conv_id || '.' || turn || '@x>' ELSE '<m' || conv_id || '.' || CASE WHEN turn % 2 = 0 THEN first ELSE before END || '@x>' END AS thread_key, sha256(trim(text)) AS body_sha256, CASE WHEN turn % 5 = 4 THEN 'sender_invalid' END AS error FROM c
+""")
+def parsed_mail(spark, folder):
+    """Conversations written as raw mail, plain or in parts with an attachment, and read back."""
+    c, by = table(spark, folder, "conversations"), Window.partitionBy("conv_id").orderBy("turn")
+    name = lambda t: F.concat(F.lit("<m"), F.col("conv_id"), F.lit("."), t, F.lit("@x>"))
+    first, before = F.min("turn").over(Window.partitionBy("conv_id")), F.lag("turn").over(by)
+    c = c.select("conv_id", "turn", "text", name(F.col("turn")).alias("own"), name(before).alias("answers"), name(first).alias("root"))
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
+    refers = F.when(F.col("answers").isNull(), "").when(F.col("turn") % 2 == 0, line("References: ", F.col("root"), " ", F.col("answers"))).otherwise(line("In-Reply-To: ", F.col("answers")))
+    sender = F.when(F.col("turn") % 5 == 4, "nobody").otherwise(F.concat(F.lit("Jo Doe <JO"), "conv_id", F.lit("@Example.com>")))
+    head = F.concat(line("Message-ID: ", F.col("own")), line("From: ", sender), line("Subject: =?utf-8?q?Gru=C3=9F?= ", F.col("conv_id").cast("string")), refers, F.lit("MIME-Version: 1.0\n"))
+    kind, transfer = "Content-Type: text/plain; charset=utf-8\n", "Content-Transfer-Encoding: 8bit\n\n"
+    parts = F.concat(F.lit(f"Content-Type: multipart/mixed; boundary=BOUND\n\n--BOUND\n{kind}{transfer}"), "text", F.lit(f"\n--BOUND\n{kind}Content-Disposition: attachment; filename=a.txt\n\nno text of the mail\n--BOUND--\n"))
+    raw = F.concat(head, F.when(F.col("turn") % 3 == 1, parts).otherwise(F.concat(F.lit(kind + transfer), "text")))
+    m = mail.parsed(c.select(F.concat("conv_id", F.lit("."), "turn").alias("uid"), raw.cast("binary").alias("raw")))
+    return m.select("uid", "message_id", F.when(F.col("error").isNull(), F.col("sender")).otherwise("").alias("sender"), "subject", "thread_key", F.sha2("body", 256).alias("body_sha256"), "error")

@@ -202,3 +202,36 @@ def test_batches_of_requests(spark, links, tmp_path):
     assert (str(s["first_seen"]), str(s["last_seen"])) == ("2024-01-03 10:00:00", "2024-01-03 11:00:00")
     assert {r["session_id"] for r in ingestion.current_sessions(spark, folder, kept_days=0).collect()} == {"q"}
     assert {r["session_id"] for r in ingestion.compact_sessions(spark, folder, kept_days=0).collect()} == {"q"}
+
+
+def test_parsed_mail(spark):
+    from email.message import EmailMessage
+
+    from meridix.sources import mail
+
+    def message(body, html=None, attached=None, **headers):
+        m = EmailMessage()
+        for k, v in headers.items():
+            m[k.replace("_", "-")] = v
+        if body is not None:
+            m.set_content(body)
+        if html:
+            m.add_alternative(html, subtype="html") if body is not None else m.set_content(html, subtype="html")
+        if attached:
+            m.add_attachment(attached, filename="a.txt")
+        return m.as_bytes()
+
+    reply = {"Message_ID": "<r@x>", "From": "Buyer <BUYER@example.com>", "Subject": "Re: Grüße", "In_Reply_To": "<send@x>", "X_SL_Send_Id": "s-1"}
+    html_only = EmailMessage()
+    html_only["Message-ID"], html_only["From"] = "<h@x>", "a@b.c"
+    html_only.make_mixed()
+    html_only.add_attachment("<style>p{}</style><p>One <b>two</b></p><script>x</script>three", subtype="html", disposition="inline")
+    mails = [
+        ("1", message("Interested, let's talk.\n", **reply)), ("2", message("Unsubscribe", **reply | {"References": "<send@x> <mid@x>"})), ("3", message("Plain", html="<p>HTML</p>", attached="Attached", Message_ID="<3@x>", From="a@b.c")),
+        ("4", html_only.as_bytes()), ("5", message("x", From="a@b.c")), ("6", message("x", Message_ID="<6@x>", From="nobody")), ("7", b""), ("8", None), ("9", b"\xff\xfe broken \x00 bytes\n\nrest"),
+    ]
+    got = {r["uid"]: r for r in mail.parsed(spark.createDataFrame(mails, "uid string, raw binary")).collect()}
+    one = got["1"]
+    assert (one["message_id"], one["sender"], one["subject"], one["thread_key"], one["source_send_id"], one["body"], one["error"]) == ("<r@x>", "buyer@example.com", "Re: Grüße", "<send@x>", "s-1", "Interested, let's talk.", None)
+    assert got["2"]["thread_key"] == "<send@x>" and got["3"]["body"] == "Plain" and got["3"]["thread_key"] == "<3@x>" and got["4"]["body"] == "One\ntwo\nthree"
+    assert [got[k]["error"] for k in "56789"] == ["message_id_missing", "sender_invalid", "message_id_missing", "message_id_missing", "message_id_missing"]
