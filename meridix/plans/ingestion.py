@@ -13,7 +13,7 @@ from meridix.operators import allocation, contracts, idempotency, threads, upser
 from meridix.plans.accounts import TRAFFIC, requests
 from meridix.plans.registry import query
 from meridix.plans.sqltext import quoted
-from meridix.sources import mail
+from meridix.sources import intake_store, mail
 from meridix.sources.tables import scratch, table
 from meridix.streaming import ingestion, sessions
 
@@ -229,3 +229,38 @@ def parsed_mail(spark, folder):
     raw = F.concat(head, F.when(F.col("turn") % 3 == 1, parts).otherwise(F.concat(F.lit(kind + transfer), "text")))
     m = mail.parsed(c.select(F.concat("conv_id", F.lit("."), "turn").alias("uid"), raw.cast("binary").alias("raw")))
     return m.select("uid", "message_id", F.when(F.col("error").isNull(), F.col("sender")).otherwise("").alias("sender"), "subject", "thread_key", F.sha2("body", 256).alias("body_sha256"), "error")
+
+
+# Three deliveries of the suppliers: the second repeats and changes some, the third repeats all of the second.
+_STATE = "CASE WHEN n % 7 = 0 THEN 'QUARANTINED' WHEN n % 5 = 0 THEN 'ACCEPTED_WITH_WARNINGS' WHEN n % 11 = 0 THEN 'DUPLICATE' ELSE 'ACCEPTED' END"
+_ROUNDS = ("TRUE", "n % 2 = 0 OR n % 7 = 0", "n % 2 = 0 OR n % 7 = 0")
+
+
+@query(f"""
+WITH r AS (SELECT s_suppkey AS n, s_name FROM supplier),
+b0 AS (SELECT *, {_STATE} AS state FROM r),
+b1 AS (SELECT n, CASE WHEN n % 26 = 0 THEN 'COLLISION' WHEN n % 7 <> 0 THEN 'REPLAY_NOOP' ELSE 'STORED' END AS outcome FROM r WHERE {_ROUNDS[1]}),
+b2 AS (SELECT n, CASE WHEN n % 26 = 0 THEN 'COLLISION' WHEN n % 7 <> 0 OR n % 14 = 0 THEN 'REPLAY_NOOP' ELSE 'STORED' END AS outcome FROM r WHERE {_ROUNDS[2]})
+SELECT 'outcome.' || outcome AS name, count(*) AS n FROM (SELECT 'STORED' AS outcome FROM b0 UNION ALL SELECT outcome FROM b1 UNION ALL SELECT outcome FROM b2) GROUP BY outcome
+UNION ALL SELECT 'records', count(*) FROM r UNION ALL SELECT 'observations', 2 * count(*) FROM r UNION ALL SELECT 'findings', count(*) FROM r WHERE n % 7 = 0
+UNION ALL SELECT 'quarantined', count(*) FROM r WHERE n % 7 = 0 AND (n % 14 <> 0 OR n % 26 = 0) UNION ALL SELECT 'leads', count(*) FROM r WHERE n % 7 <> 0 OR n % 14 = 0 AND n % 26 <> 0
+""")
+def intake_persistence(spark, folder):
+    """Intake results fanned out to records, states, observations, findings, leads and quarantine, delivered three times with repeats, collisions and records that leave quarantine."""
+    path, n = scratch(spark, "intake"), F.col("n")
+    s, outcomes = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("n"), "s_name"), None
+    for batch, chosen in enumerate(_ROUNDS):
+        # From the second delivery on every 26th record has other content, and every 14th is accepted at last.
+        state = F.expr(_STATE) if batch == 0 else F.when(n % 14 == 0, "ACCEPTED").otherwise(F.expr(_STATE))
+        key = F.concat(F.lit("sr_"), n)
+        content = F.sha2(F.concat("s_name", F.when((n % 26 == 0) & F.lit(batch > 0), "!").otherwise("")), 256)
+        lead = F.when(state != "QUARANTINED", F.concat(F.lit("lead_"), n))
+        observed = F.array(*[F.struct(F.concat(F.lit(f"obs_{f}_"), n).alias("observation_id"), F.lit(f).alias("field"), F.col("s_name").alias("value")) for f in ("display_name", "domain")])
+        found = F.filter(F.array(F.struct(F.when(state == "QUARANTINED", F.concat(F.lit("finding_"), n)).alias("finding_id"), F.lit("INVALID_DOMAIN").alias("code"))), lambda f: f["finding_id"].isNotNull())
+        results = s.where(chosen).select(n.alias("seq"), key.alias("source_record_id"), content.alias("raw_fingerprint"), state.alias("state"), lead.alias("lead_id"), F.col("s_name").alias("display_name"), F.lit("x.example").alias("domain"), observed.alias("observations"), found.alias("findings"))
+        done = intake_store.persist(results, path, batch).select(F.concat(F.lit("outcome."), "outcome").alias("name"))
+        outcomes = done if outcomes is None else outcomes.union(done)
+    rows = {name: spark.read.parquet(f"{path}/{name}") for name in ("records", "observations", "findings")} | {"quarantined": intake_store.quarantined(spark, path), "leads": intake_store.leads(spark, path)}
+    for name, own in rows.items():
+        outcomes = outcomes.union(own.select(F.lit(name).alias("name")))
+    return outcomes.groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -235,3 +235,31 @@ def test_parsed_mail(spark):
     assert (one["message_id"], one["sender"], one["subject"], one["thread_key"], one["source_send_id"], one["body"], one["error"]) == ("<r@x>", "buyer@example.com", "Re: Grüße", "<send@x>", "s-1", "Interested, let's talk.", None)
     assert got["2"]["thread_key"] == "<send@x>" and got["3"]["body"] == "Plain" and got["3"]["thread_key"] == "<3@x>" and got["4"]["body"] == "One\ntwo\nthree"
     assert [got[k]["error"] for k in "56789"] == ["message_id_missing", "sender_invalid", "message_id_missing", "message_id_missing", "message_id_missing"]
+
+
+def test_intake_results_fan_out_and_replay(spark, tmp_path):
+    from meridix.sources import intake_store
+
+    folder = str(tmp_path)
+    schema = "seq int, source_record_id string, raw_fingerprint string, state string, lead_id string, display_name string, domain string, observations array<struct<observation_id:string,value:string>>, findings array<struct<finding_id:string,code:string>>"
+
+    def deliver(batch, rows):
+        return sorted((r["seq"], r["outcome"]) for r in intake_store.persist(spark.createDataFrame(rows, schema), folder, batch).collect())
+
+    a = (1, "a", "fa", "ACCEPTED", "la", "Acme", "a.com", [("o1", "x"), ("o2", "y")], [])
+    b = (2, "b", "fb", "QUARANTINED", None, None, None, [], [("f1", "BAD")])
+    again = (3, "a", "fa", "ACCEPTED", "la", "Acme 2", "a.com", [("o9", "x")], [])
+    other = (4, "a", "other", "ACCEPTED", "la", "Acme 3", "a.com", [("o8", "x")], [])
+    first = [a, b, again, other]
+    assert deliver(0, first) == [(1, "STORED"), (2, "STORED"), (3, "REPLAY_NOOP"), (4, "COLLISION")]
+    # The same batch once more, as after a crash, changes nothing.
+    assert deliver(0, first) == [(1, "STORED"), (2, "STORED"), (3, "REPLAY_NOOP"), (4, "COLLISION")]
+    assert [r[0] for r in intake_store.quarantined(spark, folder).collect()] == ["b"]
+    second = [a, (2, "b", "fb", "ACCEPTED", "lb", "Beta", "b.com", [("o1", "other record"), ("o3", "z")], [("f1", "BAD")]), (3, "c", "fc", "QUARANTINED", None, None, None, [], [("f2", "BAD")])]
+    assert deliver(1, second) == [(1, "REPLAY_NOOP"), (2, "STORED"), (3, "STORED")]
+    assert [r[0] for r in intake_store.quarantined(spark, folder).collect()] == ["c"]
+    got = lambda name, key: sorted(r[key] for r in spark.read.parquet(f"{folder}/{name}").collect())
+    assert got("records", "source_record_id") == ["a", "b", "c"] and got("observations", "observation_id") == ["o1", "o2", "o3"] and got("findings", "finding_id") == ["f1", "f2"]
+    assert sorted(map(tuple, intake_store.leads(spark, folder).collect())) == [("la", "Acme", "a.com"), ("lb", "Beta", "b.com")]
+    states = spark.read.option("basePath", f"{folder}/states").parquet(f"{folder}/states")
+    assert sorted(map(tuple, intake_store.latest_states(states).collect())) == [("a", "ACCEPTED", "la"), ("b", "ACCEPTED", "lb"), ("c", "QUARANTINED", None)]
