@@ -94,3 +94,14 @@ def test_pipeline_equals_a_chain_of_plain_stages(spark):
         ids = coder.encode(text, add_special_tokens=False).ids
         want[doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(coder.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == want
+
+
+def test_mixed_blocks_of_awkward_tables(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \t", None), (4, "one two", "a"), (4, "one two", "a"), (None, "x y z", None), (5, "word " * 3000, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'s' as shard", "1 as slot", "2 as block", "3 as n_words", "4 as place")
+    plan = mixing.mix(table)
+    blocks = mixing.mixed_blocks(table, plan).collect()
+    assert blocks and all(b["n_words"] == len(words(b["text"])) for b in blocks)
+    assert sum(b["n_words"] for b in blocks) == sum(r["taken"] for r in plan.taken().collect())
+    for none in (table.limit(0), table.where("doc_id < 4")):
+        assert mixing.mixed_blocks(none, mixing.mix(none)).count() == 0
