@@ -1,6 +1,8 @@
 """Corpus pipeline: language ID, near-dedup, secret scans, mixing to target weights, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's docs.
+For every stage: an empty table gives no rows; null ids and sources are values like others; columns beside doc_id, text, lang,
+source and n_chars may have any names and stay as they are (the last stage leaves them out); texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ LEAST_CONFIDENCE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language stay; texts without letters and undecided ones go."""
+    """Documents with a recognised language stay; null texts, texts without letters and undecided ones go. Equal rows stay or go together; of languages that tie the first by code point is taken."""
     return langid.keep_recognised(docs, LEAST_CONFIDENCE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """One document of each group of near copies stays: the one with the smallest doc_id. Of rows that share id and text one stays, also where there is no id; texts without words are near nothing but their own repeats."""
     return neardup.keep_representatives(docs)
 
 
@@ -32,19 +34,18 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass of the mix over a document, with the words that the pass takes."""
+    """A row for each pass of the mix over a document, with the words that the pass takes. Null texts and texts without words drop out; repeated rows are mixed one by one; reruns agree."""
     return mixing.mixed_documents(docs, mixing.mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row's ids and decoded text."""
+    """Token counts and digests of every row's ids and decoded text; a null text counts as an empty one, and equal rows give equal rows."""
     return bpe.encode_decode(docs, tokenizer_path())
 
 
 STAGES = [("language_id", identify_language), ("near_dedup", drop_near_copies), ("secret_scan", redact_secrets), ("mix", mix_sources), ("bpe", encode)]
 
-#: Learned models, signatures and digests of subword ids have no SQL form. Tests hold the operators to brute force one by one;
-#: of run() itself they check the columns, two of its stages and that rows come out.
+#: Learned models, signatures and digests of subword ids have no SQL form: a test holds the rows of run() to a chain of plain stages.
 ORACLE_SQL = None
 
 
