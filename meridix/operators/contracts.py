@@ -29,6 +29,11 @@ def _below(path: Column, name: Column) -> Column:
     return F.concat_ws(".", F.when(path != "", path), name)
 
 
+def _within(part: Column, schema: dict, root: dict, path: Column) -> Column:
+    """The failure of a part that may be missing."""
+    return F.try_element_at(F.transform(F.array_compact(F.array(part)), lambda x: failure(x, schema, root, path)), F.lit(1))
+
+
 def _first(found: Column) -> Column:
     return F.try_element_at(F.array_compact(found), F.lit(1))
 
@@ -39,7 +44,15 @@ def failure(value: Column, schema: dict, root: dict | None = None, path: Column
     Knows type, required, properties, additionalProperties, items, minItems, enum, const, minLength, maxLength, pattern,
     minimum, maximum, format (uuid, email) and $ref into the document's own $defs. Names may hold letters, digits and _."""
     root, path = root or schema, F.lit("") if path is None else path
+    # Named once: in a plain expression every keyword would read the value, and all above it, anew.
     kind = F.schema_of_variant(value)
+    named = {"required", "additionalProperties"} & schema.keys()
+    names = F.map_keys(F.when(kind.startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>"))) if named else F.lit(None).cast("array<string>")
+    held = F.array(F.struct(value.alias("value"), kind.alias("kind"), path.alias("path"), names.alias("names")))
+    return F.get(F.transform(held, lambda h: _failure(h["value"], h["kind"], h["names"], schema, root, h["path"])), F.lit(0))
+
+
+def _failure(value: Column, kind: Column, names: Column, schema: dict, root: dict, path: Column) -> Column:
     text = lambda: F.when(_is(kind, "string"), F.try_variant_get(value, "$", "string"))
     number = lambda: F.when(_is(kind, "number"), F.try_variant_get(value, "$", "double"))
     fields = F.when(_is(kind, "object"), F.try_variant_get(value, "$", "map<string,variant>"))
@@ -74,13 +87,13 @@ def failure(value: Column, schema: dict, root: dict | None = None, path: Column
         elif keyword == "format" and wants in FORMATS:
             must(text().rlike(FORMATS[wants]), f"format {wants}")
         elif keyword == "required":
-            checks.append(_first(F.array(*[F.when(fields.isNotNull() & ~F.map_contains_key(fields, F.lit(name)), _fail(path, f"required {name}")) for name in wants])))
+            checks.append(_first(F.array(*[F.when(~F.array_contains(names, name), _fail(path, f"required {name}")) for name in wants])))
         elif keyword == "properties":
             for name, own in wants.items():
                 part = F.try_variant_get(value, f"$.{name}", "variant")
-                checks.append(F.when(part.isNotNull(), failure(part, own, root, _below(path, F.lit(name)))))
+                checks.append(_within(part, own, root, _below(path, F.lit(name))))
         elif keyword == "additionalProperties" and wants is False:
-            must(F.size(F.array_except(F.map_keys(fields), F.array(*map(F.lit, schema.get("properties", {}))))) == 0, keyword)
+            must(F.size(F.array_except(names, F.array(*map(F.lit, schema.get("properties", {}))))) == 0, keyword)
         elif keyword == "additionalProperties" and isinstance(wants, dict):
             others = F.filter(F.map_entries(fields), lambda e: ~e["key"].isin(*schema.get("properties", {})) if schema.get("properties") else F.lit(True))
             checks.append(_first(F.transform(others, lambda e: failure(e["value"], wants, root, _below(path, e["key"])))))
@@ -93,5 +106,5 @@ def failure(value: Column, schema: dict, root: dict | None = None, path: Column
 
 def contract_failure(text: Column, schema: dict) -> Column:
     """The first failure of a JSON text; ``json`` if it is none."""
-    value = F.try_parse_json(text)
-    return F.when(value.isNull(), F.lit("json")).otherwise(failure(value, schema))
+    found = F.transform(F.array_compact(F.array(F.try_parse_json(text))), lambda value: F.coalesce(failure(value, schema), F.lit("")))
+    return F.nullif(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("json")), F.lit(""))

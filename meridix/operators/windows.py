@@ -26,13 +26,15 @@ def trailing_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, tuple
     """For each name the sum of a column over the rows of the same keys in the last so many seconds, each row included: (t - seconds, t].
 
     A key's rows are dealt by stretches of time, once for all windows, each with the rows before it that the widest window
-    reaches; rows of one instant count together."""
+    reaches; rows of one instant count together. A sum is what came until now less what had come by the window's start:
+    both frames only grow, so a row costs the same however many others its window holds."""
     stretch = max(stretch, *(seconds for _, seconds in sums.values())) * 1_000_000
     own = F.floor(F.col("_at") / stretch)
     dealt = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns({f"_{name}": c for name, (c, _) in sums.items()}).withColumn("_own", own)
     dealt = dealt.withColumn("_in", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
     by = Window.partitionBy(*keys, "_in").orderBy("_at")
-    found = dealt.withColumns({name: F.sum(f"_{name}").over(by.rangeBetween(1 - seconds * 1_000_000, 0)) for name, (_, seconds) in sums.items()})
+    until = lambda name, end: F.coalesce(F.sum(f"_{name}").over(by.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+    found = dealt.withColumns({name: until(name, 0) - until(name, -seconds * 1_000_000) for name, (_, seconds) in sums.items()})
     return found.where("_in = _own").drop("_at", "_own", "_in", *[f"_{name}" for name in sums])
 
 
