@@ -15,7 +15,8 @@ KEYS = ["event_id", "source_event_id", "ingest_key"]
 def resolve(requests: DataFrame, links: DataFrame) -> DataFrame:
     """Requests whose token is a link that is neither revoked nor expired at the time, with the link's identities, the traffic's class, reason and confidence, and an ingest key from token and idempotency key."""
     live = F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > F.col("occurred_at")))
-    met = requests.join(links, "token").where(live)
+    # Links grow with the input, and a row weighs many times what its file does: neither side is broadcast.
+    met = requests.join(links.hint("merge"), "token").where(live)
     label, reason = scoring.traffic_class(*(F.col(c) for c in ("agent", "method", "repeats", "accept", "client_hints", "fetch_mode")))
     met = met.withColumns({"traffic": label, "reason": reason}).withColumn("confidence", scoring.confidence(F.col("traffic")))
     key = F.when(F.col("idempotency_key") != "", F.concat(F.lit("link:"), F.col("token"), F.lit(":"), F.col("idempotency_key")))

@@ -44,6 +44,29 @@ def test_stored_rows_block(spark):
     assert sorted(r["id"] for r in idempotency.not_stored(new, old, "id", ["k1", "k2"]).collect()) == [1, 4]
 
 
+def test_only_frequent_values_are_broadcast(spark):
+    rng = random.Random(5)
+    rows = [(k, "hot" if k % 3 == 0 else f"v{rng.randrange(90)}", rng.choice([None, f"w{rng.randrange(60)}"])) for k in range(400)]
+    table = spark.createDataFrame(rows, "id int, k1 string, k2 string")
+    keys = ["k1", "k2"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # From no frequent value to all of them.
+    for frequent in (1000, 100, 3, 1):
+        kept = idempotency.first_accepted(table, "id", keys, frequent)
+        assert sorted(r["id"] for r in kept.collect()) == one_by_one(rows, keys)
+        assert "Broadcast" not in plan(kept)
+        new = idempotency.not_stored(table.where("id >= 200"), table.where("id < 200"), "id", keys, frequent)
+        seen = {(k, v) for r in rows[:200] for k, v in enumerate(r[1:]) if v}
+        assert sorted(r["id"] for r in new.collect()) == [r[0] for r in rows[200:] if not seen & set(enumerate(r[1:]))]
+
+
+def test_links_and_requests_meet_by_shuffle(spark):
+    link = "token string, revoked_at timestamp, expires_at timestamp, person_id long, account_id string, campaign_id string, send_id string, link_type string"
+    request = "arrival long, event_id string, source_event_id string, token string, idempotency_key string, session_id string, occurred_at timestamp, agent string, method string, repeats long, accept string, client_hints string, fetch_mode string"
+    met = ingestion.resolve(spark.createDataFrame([], request), spark.createDataFrame([], link))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def failures(spark, schema, values):
     rows = spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in enumerate(values)], "k int, j string")
     return [r["f"] for r in sorted(rows.select("k", contracts.contract_failure(F.col("j"), schema).alias("f")).collect())]
