@@ -61,9 +61,10 @@ def test_only_frequent_values_are_broadcast(spark):
 
 
 def test_links_and_requests_meet_by_shuffle(spark):
-    link = "token string, revoked_at timestamp, expires_at timestamp, person_id long, account_id string, campaign_id string, send_id string, link_type string"
-    request = "arrival long, event_id string, source_event_id string, token string, idempotency_key string, session_id string, occurred_at timestamp, agent string, method string, repeats long, accept string, client_hints string, fetch_mode string"
-    met = ingestion.resolve(spark.createDataFrame([], request), spark.createDataFrame([], link))
+    link = ["revoked_at timestamp", "expires_at timestamp", "person_id long", "account_id string", "campaign_id string", "send_id string", "link_type string"]
+    request = ["arrival long", "event_id string", "source_event_id string", "idempotency_key string", "session_id string", "occurred_at timestamp", "agent string", "method string", "repeats long", "accept string", "client_hints string", "fetch_mode string"]
+    rows = lambda columns: spark.range(9).selectExpr("string(id) AS token", *[f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in columns])
+    met = ingestion.resolve(rows(request), rows(link))
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
