@@ -1,5 +1,6 @@
 """Rules that no SQL twin covers, against plain Python."""
 
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -89,3 +90,21 @@ def test_people_from_evidence(spark):
         5: (0.15, 0.0, 0.0, 1.0, 0.0975, "review", "title_match,company_site_support,stale_employment_penalty"),
         6: (0.45, 0.0, 0.95, 1.0, 0.435, "review", "name_match,title_match,company_site_support,independent_source_support,former_employee_penalty"),
     }
+
+
+def test_candidates_whatever_the_tasks_and_frequent_blocks(spark):
+    rng = random.Random(11)
+    words = ["north", "south", "east", "west", *[f"w{k}" for k in range(30)]]
+    rows = [(k, " ".join(rng.choices(words, k=3)) if k % 13 else "", rng.choice(["", f"www.x{k % 7}.co.uk", "y.com"])) for k in range(160)]
+    table = spark.createDataFrame(rows, "id long, name string, domain string")
+    met = {}
+    for r in matching.blocks(table, "left").collect():
+        met.setdefault(r["block"], set()).add(r["left_id"])
+    near = {k: sorted(set().union(*[ids for ids in met.values() if k in ids]) - {k}) for k, _, _ in rows}
+    for budget, task_records in ((4, 20_000), (4, 40), (25, 9), (200, 1)):
+        pairs = matching.blocked_pairs(table, table, budget, task_records)
+        want = sorted((k, x, at) for k, xs in near.items() for at, x in enumerate(xs[:budget], 1))
+        assert sorted(map(tuple, pairs.collect())) == want
+        # Records and not file sizes decide how many tasks make the pairs.
+        n, plan = -(-160 // task_records), pairs._jdf.queryExecution().executedPlan().toString()
+        assert n == 1 or plan.count(f", {n}), REPARTITION_BY_NUM") >= 2
