@@ -105,3 +105,19 @@ def test_mixed_blocks_of_awkward_tables(spark):
     assert sum(b["n_words"] for b in blocks) == sum(r["taken"] for r in plan.taken().collect())
     for none in (table.limit(0), table.where("doc_id < 4")):
         assert mixing.mixed_blocks(none, mixing.mix(none)).count() == 0
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, tmp_path):
+    import corpus_pipeline
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 9000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 600).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(3000).alias("n_chars"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.redact_secrets(spark, docs, str(tmp_path))
+    assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 2 * corpus_pipeline.BATCH_BYTES
