@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meridix.functions.text import decimal
 from meridix.operators import scoring, windows
 from meridix.plans.registry import query
-from meridix.sources.tables import table
+from meridix.sources.tables import table, tasks
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS position FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('O', 'P') AND o_orderdate <= TIMESTAMP '1998-01-01' AND c_acctbal >= 0 AND n_regionkey <> 3 ORDER BY position LIMIT 100")
@@ -89,8 +89,11 @@ def set_reconciliation(spark, folder):
 
 @query("SELECT o_custkey, s_nationkey, count(DISTINCT o_orderkey) AS paths, CAST(round(sum(l_extendedprice), 2) AS DECIMAL(18, 2)) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
 def attribution_path(spark, folder):
+    """Lines and orders meet, and orders are counted once, in tasks whose number follows from the number of lines."""
     o, l, s = (table(spark, folder, t) for t in ("orders", "lineitem", "supplier"))
-    j = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    n = tasks(l)
+    lines = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey", "l_extendedprice").repartition(n, "l_orderkey")
+    j = lines.join(o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("o_custkey", "s_nationkey").agg(F.countDistinct("o_orderkey").alias("paths"), decimal(F.sum("l_extendedprice"), 2).alias("amount"))
 
 

@@ -2,12 +2,15 @@
 
 import random
 from difflib import SequenceMatcher
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from meridix import catalog
 from meridix.functions import text as T
 from meridix.operators import matching, rules, windows
+from meridix.plans import queue
+from meridix.sources import tables
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -108,3 +111,25 @@ def test_candidates_whatever_the_tasks_and_frequent_blocks(spark):
         # Records and not file sizes decide how many tasks make the pairs.
         n, plan = -(-160 // task_records), pairs._jdf.queryExecution().executedPlan().toString()
         assert n == 1 or plan.count(f", {n}), REPARTITION_BY_NUM") >= 2
+
+
+def test_paths_whatever_the_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    orders = [(k, k % 7) for k in range(100)] + [(3, 3), (4, 1), (None, 2), (101, None)]  # a repeated order, one of two accounts, no order, no account
+    lines = [(rng.choice([*range(102), None]), rng.choice([*range(6), None]), float(rng.randint(1, 900))) for _ in range(700)]
+    nations = {k: k % 3 for k in range(5)} | {4: None}
+    for name, rows, kinds in (("orders", orders, "o_orderkey long, o_custkey long"), ("lineitem", lines, "l_orderkey long, l_suppkey long, l_extendedprice double"), ("supplier", list(nations.items()), "s_suppkey long, s_nationkey int")):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {}
+    for key, account in orders:
+        for order, by, price in lines:
+            if order == key and key is not None and by in nations:
+                met = want.setdefault((account, nations[by]), [set(), 0.0])
+                met[0].add(key)
+                met[1] += price
+    for task_rows, n in ((250_000, 1), (50, 14)):
+        monkeypatch.setattr(queue, "tasks", partial(tables.tasks, task_rows=task_rows))
+        got = queue.attribution_path(spark, str(tmp_path))
+        # Lines and not file sizes decide how many tasks hold them.
+        assert n == 1 or got._jdf.queryExecution().executedPlan().toString().count(f", {n}), REPARTITION_BY_NUM") == 2
+        assert {(r[0], r[1]): (r[2], float(r[3])) for r in got.collect()} == {k: (len(ids), total) for k, (ids, total) in want.items()}
