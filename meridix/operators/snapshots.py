@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridix.sources.tables import TASK_ROWS, tasks
+
 # Verification states that count as verified, and the confidence that counts as high.
 VERIFIED, HIGH = ("verified", "deliverable", "valid"), 0.8
 
@@ -62,9 +64,10 @@ def quality_totals(by_company: DataFrame) -> DataFrame:
     )
 
 
-def evidence_documents(evidence: DataFrame, runs: DataFrame, part_size: int = 200) -> DataFrame:
-    """company_id, part, parts, document: a company's evidence as nested JSON, newest first, in parts of about ``part_size`` entries, so no company is one row however much it has. Entries go to parts by a hash of their id; the number of parts follows from the counts."""
-    e = evidence.join(runs.select("run_id", "company_id"), "run_id")
+def evidence_documents(evidence: DataFrame, runs: DataFrame, part_size: int = 200, task_rows: int = TASK_ROWS) -> DataFrame:
+    """company_id, part, parts, document: a company's evidence as nested JSON, newest first, in parts of about ``part_size`` entries, so no company is one row however much it has. Entries go to parts by a hash of their id; the number of parts follows from the counts, the number of tasks from the rows of evidence."""
+    n = tasks(evidence, task_rows)
+    e = evidence.repartition(n, "run_id").join(runs.select("run_id", "company_id").repartition(n, "run_id"), "run_id").repartition(n, "company_id")
     sizes = e.groupBy("company_id").agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("parts"))
     e = e.join(sizes, "company_id").withColumn("part", F.pmod(F.xxhash64("evidence_id"), F.col("parts")).cast("int"))
     entry = F.struct((-F.unix_date("observed_at")).alias("_age"), F.col("evidence_id").alias("id"), "decision_maker_id", "source_url", "confidence", F.col("observed_at").cast("string").alias("observed_at"))

@@ -50,3 +50,14 @@ def test_documents_are_cut_in_parts(spark):
     assert len(parts) <= 10 and all(len(p) < 120 for p in parts) and sorted(x["id"] for p in parts for x in p) == list(range(500))
     assert all([x["observed_at"] for x in p] == sorted((x["observed_at"] for x in p), reverse=True) for p in parts)
     assert [json.loads(d["document"]) for d in docs if d["company_id"] == 200] == [[{"id": 900}]]
+
+
+def test_rows_decide_how_many_tasks_make_documents(spark):
+    runs = spark.createDataFrame([(k, k % 40) for k in range(120)], "run_id int, company_id int")
+    e = spark.range(1200).selectExpr("cast(id % 120 as int) as run_id", "id as evidence_id", "1 as decision_maker_id", "'u' as source_url", "0.5 as confidence", "date'2024-01-01' as observed_at")
+    docs = snapshots.evidence_documents(e, runs, 5, task_rows=100)
+    assert docs._jdf.queryExecution().executedPlan().toString().count(", 12), REPARTITION_BY_NUM") >= 2
+    got = {}
+    for d in docs.collect():
+        got.setdefault(d["company_id"], []).extend(x["id"] for x in json.loads(d["document"]))
+    assert {c: sorted(ids) for c, ids in got.items()} == {c: list(range(c, 1200, 40)) for c in range(40)}
