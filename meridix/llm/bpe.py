@@ -30,8 +30,8 @@ from meridix.llm.common import scratch_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words after which a chunk ends (a text is never cut), and blocks that a bucket codes at once.
-CHUNK, AT_ONCE = 1 << 22, 64
+#: Words after which a chunk ends (a text is never cut), and blocks that a bucket codes at once. A worker holds one chunk; Python keeps much of that memory for the stages that follow.
+CHUNK, AT_ONCE = 1 << 20, 64
 # The white space of the file's patterns, and what Python's own splitting takes for white space beside it.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_SPACES = "\x1c\x1d\x1e\x1f"
@@ -84,13 +84,19 @@ class Positions(dict):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Unsigned integers below 2**32 in two planes of 16 bits, compressed."""
-    return pa.compress(np.concatenate([values & 0xFFFF, values >> 16]).astype(np.uint16).tobytes(), codec="zstd", asbytes=True)
+    """Unsigned integers below 2**32 in two planes of 16 bits, compressed. Nothing wider than the planes is made of them on the way."""
+    planes = np.empty((2, len(values)), np.uint16)
+    planes[0] = values & values.dtype.type(0xFFFF)
+    planes[1] = values >> values.dtype.type(16)
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
-    low, high = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint16).astype(np.int64).reshape(2, n)
-    return low | high << 16
+    low, high = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd"), np.uint16).reshape(2, n)
+    out = high.astype(np.uint32)
+    out <<= 16
+    out |= low
+    return out
 
 
 SPLIT = "chunk long, doc_ids array<long>, sizes array<long>, at binary, buckets binary, n_words long, blocks array<struct<bucket: int, n: int, size: int, words: binary>>"

@@ -553,3 +553,26 @@ def test_hot_buckets_are_ranked_in_parts(spark):
         members[r["bucket"]].append(r["class_no"])
     for most in (16, 2000):
         assert sorted(r["class_no"] for r in neardup._ranked(rows, most).collect()) == sorted(c for held in members.values() for c in sorted(held)[:most])
+
+
+def test_bpe_chunks_hold_little(spark):
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    # A worker holds one chunk at a time: about a million words and no text cut.
+    text = " ".join(f"w{k % 997}" for k in range(10_000))
+    docs = spark.range(0, 250, 1, 1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        sent = spark.sparkContext.broadcast(file.read())
+    chunks = bpe._split(docs, sent, 8).select("doc_ids", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("words")).collect()
+    assert len(chunks) >= 3 and max(c["words"] for c in chunks) < (1 << 20) + 50_000
+    assert sorted(i for c in chunks for i in c["doc_ids"]) == list(range(250))
+    # Packing makes nothing of several times the size of its input.
+    values = np.random.default_rng(3).integers(0, 1 << 32, 1 << 20).astype(np.uint32)
+    tracemalloc.start()
+    packed = bpe._pack(values)
+    assert tracemalloc.get_traced_memory()[1] < 3.5 * values.nbytes
+    tracemalloc.reset_peak()
+    assert (bpe._unpack(packed, len(values)) == values).all() and tracemalloc.get_traced_memory()[1] < 4 * values.nbytes
+    tracemalloc.stop()
