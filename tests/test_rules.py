@@ -133,3 +133,36 @@ def test_paths_whatever_the_tasks(spark, tmp_path, monkeypatch):
         # Lines and not file sizes decide how many tasks hold them.
         assert n == 1 or got._jdf.queryExecution().executedPlan().toString().count(f", {n}), REPARTITION_BY_NUM") == 2
         assert {(r[0], r[1]): (r[2], float(r[3])) for r in got.collect()} == {k: (len(ids), total) for k, (ids, total) in want.items()}
+
+
+def test_all_pairs_whatever_the_cells(spark):
+    rng = random.Random(3)
+    words = ["north", "south", "east", *[f"w{k}" for k in range(20)]]
+    rows = [(k % 150 or None, " ".join(rng.choices(words, k=3)) if k % 13 else "", rng.choice(["", f"www.x{k % 7}.co.uk", "y.com"]), k) for k in range(170)]  # ids that repeat, and none
+    table = spark.createDataFrame(rows, "id long, name string, domain string, row int").cache()
+    met = {}
+    for r in matching.blocks(table.where("id is not null"), "left").collect():
+        met.setdefault(r["left_id"], set()).add(r["block"])
+    want = sorted((a, b, x, y) for a, *_, x in rows for b, *_, y in rows if a and b and a != b and met.get(a, set()) & met.get(b, set()))
+    assert len(want) > 25 * len(rows)
+    for cell_records in (10_000, 20, 3):
+        pairs = matching.all_pairs(table, table, cell_records)
+        assert sorted(map(tuple, pairs.select("left_id", "right_id", "left_row", "right_row").collect())) == want
+    assert matching.all_pairs(table.limit(0), table.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(1, None, "x.com"), (2, "north", "www.x.com"), (3, "north", "")], "id long, name string, domain string")
+    assert sorted(map(tuple, matching.all_pairs(nameless, nameless).select("left_id", "right_id").collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+
+
+def test_decisions_look_at_every_candidate(spark, tmp_path):
+    from meridix.plans import resolution
+
+    rows = [(k, "common name", "Brand#1", "T", 1, 1.0) for k in range(90)]  # each lead has 89 candidates
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    holds = lambda kind, a, b: any(k in kind and eval(c.replace(" = ", " == "), {"left_id": a, "right_id": b}) for k, c in resolution.FACTS.items())
+    got = {r["left_id"]: r for r in catalog.QUERIES["entity_compare_adjudicate"](spark, str(tmp_path)).collect()}
+    assert len(got) == 90
+    for a, r in got.items():
+        others = [b for b in range(90) if b != a]
+        eligible = [b for b in others if holds(matching.STRONG, a, b) and not holds(matching.NEGATIVE, a, b)]
+        assert r["n_rejected"] == sum(holds(matching.NEGATIVE, a, b) for b in others)
+        assert r["best_id"] == (eligible[0] if len(eligible) == 1 else None) and (r["status"] == "CONFLICT") == (len(eligible) > 1)
