@@ -166,3 +166,18 @@ def test_decisions_look_at_every_candidate(spark, tmp_path):
         eligible = [b for b in others if holds(matching.STRONG, a, b) and not holds(matching.NEGATIVE, a, b)]
         assert r["n_rejected"] == sum(holds(matching.NEGATIVE, a, b) for b in others)
         assert r["best_id"] == (eligible[0] if len(eligible) == 1 else None) and (r["status"] == "CONFLICT") == (len(eligible) > 1)
+
+
+def test_name_similarity_of_every_pair(spark, tmp_path):
+    names = ["north ring", "ring of north", "Ring Ltd", "rings", "north", "", None]
+    rows = [(k, names[k % 7], "Brand#1", "T", 1, 1.0) for k in range(320)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    tokens = {k: None if n is None else sorted({t for t in n.lower().split() if t not in T.LEGAL_SUFFIXES}) for k, n, *_ in rows}
+    host = lambda k: k % 300 if k % 7 else None
+    want = {(a, b) for a in tokens for b in tokens if a != b and (set(tokens[a] or ()) & set(tokens[b] or ()) or host(a) is not None and host(a) == host(b))}
+    found = catalog.QUERIES["name_similarity"](spark, str(tmp_path)).collect()
+    got = {(r["left_id"], r["right_id"]): r["ratio"] for r in found}
+    assert len(found) == len(got) and set(got) == want
+    for (a, b), ratio in got.items():
+        x, y = tokens[a], tokens[b]
+        assert (ratio is None) == (x is None or y is None) and (ratio is None or abs(ratio - SequenceMatcher(None, " ".join(x), " ".join(y)).ratio()) < 1e-4)
